@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import pieces, quality, simhash
 from .common import table
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.vocabulary(vocabulary))
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
