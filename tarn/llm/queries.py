@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, simhash
+from . import pieces, pii, quality, simhash
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op9_token_counts": op9_token_counts,
