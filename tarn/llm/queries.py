@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, quality, simhash
+from . import ctw, pieces, pii, quality, simhash
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,11 +26,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.vocabulary(vocabulary))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_pii": op3_pii,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
