@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, pieces, pii, quality, simhash
+from . import ctw, pieces, pii, quality, simhash, substrings
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.vocabulary(vocabulary))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
 }
