@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, pieces, pii, quality, simhash, substrings
+from . import ctw, pieces, pii, quality, simhash, substrings, suffix_dedup
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), pieces.vocabulary(vocabulary))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
 }
