@@ -19,7 +19,7 @@ class _Hashes(dict):
     """Token -> hash, kept for tokens seen lately."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
         return h
@@ -35,11 +35,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """
     tokens = TOKEN.findall(text or "")
     if not tokens:
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
     slots = np.concatenate((h * MIX[0], h[:-1] * MIX[1] + h[1:] * MIX[0])) >> np.uint64(64 - BITS)
     slots, counts = np.unique(slots.astype(np.int64), return_counts=True)
-    return slots, np.sqrt(counts / counts.sum())
+    return slots.astype(np.int32), np.sqrt(counts / counts.sum()).astype(np.float32)
 
 
 def ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], alpha: float, beta: float, l1: float, l2: float, passes: int, seed: int = 7) -> np.ndarray:
