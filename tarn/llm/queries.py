@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk
+from . import ctw, decontaminate, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's topic is the label of the vector with its id."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("topic"))
@@ -53,6 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_exact_topk": op4_exact_topk,
