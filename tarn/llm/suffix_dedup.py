@@ -41,7 +41,8 @@ def _repeats(pdf: pd.DataFrame, size: int, batch: int, most_bytes: int) -> pd.Da
     if not len(pdf):
         return pd.DataFrame({"anchor": [], "digest": [], "runs": []})
     pieces = list(pdf["piece"])
-    t = np.frombuffer(b"\0".join(pieces), np.uint8).astype(np.int64) + 1
+    data = np.frombuffer(b"\0".join(pieces), np.uint8)
+    t = data.astype(np.int64) + 1
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes + 1) - 1
     t[ends[:-1]] = 0
@@ -49,7 +50,7 @@ def _repeats(pdf: pd.DataFrame, size: int, batch: int, most_bytes: int) -> pd.Da
     order = suffix_array(t, batch, most_bytes)
     snippet = np.searchsorted(ends, order)
     order = order[order - starts[snippet] < pdf["n"].to_numpy()[snippet]]
-    same = common_prefixes(t, order, size) >= size
+    same = common_prefixes(data, order, size) >= size
     twice = same | np.append(same[1:], False)
     found = np.sort(order[twice])
     snippet = np.searchsorted(ends, found)
@@ -126,7 +127,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     places = stored(places.dropDuplicates(["doc_id", "key", "start"]), "places")
     distinct = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n")).alias("at"))
     distinct = stored(distinct.select("anchor", "digest", "copies", "at.*"), "snippets")
-    alike = distinct.groupBy("anchor").agg(F.count("*").alias("alike")).where("alike > 1")
+    alike = distinct.groupBy("anchor").agg(F.count("*").alias("alike"), F.min("copies").alias("fewest")).where("alike > 1 and fewest = 1").drop("fewest")
     mixed = distinct.join(alike, "anchor")
     wanted = mixed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "alike")).alias("wanted"))
 

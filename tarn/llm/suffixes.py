@@ -80,61 +80,63 @@ def _induce(t: np.ndarray, target: np.ndarray, seeds: np.ndarray, first: int, fo
     wanted = target.copy()
     wanted[seeds] = True
     firsts = _ranges(t, wanted, batch)
-    ends = np.append(firsts[1:], int(t.max()) + 1)
+    top = int(t.max()) + 1
+    ends = np.append(firsts[1:], top)
+    place = np.repeat(np.arange(len(firsts), dtype=np.int16 if len(firsts) < 1 << 15 else np.int64), ends - firsts)
+    pushes = np.append(False, target[:-1])  # whether what stands before a place is a target, and its symbol
+    symbol = np.append(0, t[:-1]).astype(np.int32 if top < 1 << 31 else np.int64)
     queue = _Queue(len(firsts), folder, most_bytes)
-    place = lambda symbols: np.searchsorted(firsts, symbols, "right") - 1
-    seed_cuts = np.searchsorted(t[seeds], np.append(firsts, ends[-1]))
+    seed_cuts = np.searchsorted(t[seeds], np.append(firsts, top))
     if first >= 0:
-        queue.push(int(place(t[first])), np.array([first], np.int64))
+        queue.push(int(place[t[first]]), np.array([first], np.int64))
     out = []
     for r in range(len(firsts)):
         come, mine = queue.pop(r), seeds[seed_cuts[r] : seed_cuts[r + 1]]
         pos = np.concatenate((come, mine))
         if not len(pos):
             continue
-        levels, successors, held = [pos], [], len(pos)
-        edge, edge_at = pos, np.arange(held)
+        levels, successors, outside, symbols, held = [], [], [], [], 0
+        edge = pos
         while len(edge):
-            before = edge - 1
-            ok = before >= 0
-            ok[ok] = target[before[ok]] & (t[before[ok]] < ends[r])
-            edge, after = before[ok], edge_at[ok]
-            edge_at = np.arange(held, held + len(edge))
-            held += len(edge)
             levels.append(edge)
-            successors.append(after)
+            ok, s = pushes[edge], symbol[edge]
+            stay = ok & (s < ends[r])
+            outside.append(ok & ~stay)
+            symbols.append(s)
+            at = np.flatnonzero(stay)
+            successors.append(at + held)
+            held += len(edge)
+            edge = edge[at] - 1
+        n = len(levels[0])
         if ends[r] - firsts[r] == 1:  # one symbol: longer runs of it come later, seeds last
-            popped = np.concatenate((come, *levels[1:], mine))
+            order = np.concatenate((np.arange(len(come)), np.arange(n, held), np.arange(len(come), n)))
         else:
-            pos = np.concatenate(levels)
-            n = len(levels[0])
-            base = (t[pos].astype(np.int64) - int(firsts[r])) << 34
+            after = np.concatenate(successors)
+            base = (t[np.concatenate(levels)].astype(np.int64) - int(firsts[r])) << 34
             base[len(come) : n] |= 1 << 33
             base[:n] |= np.arange(n)
             base[n:] |= 1 << 32
-            after = np.concatenate((*successors, np.empty(0, np.int64))).astype(np.int64)
             rank, key = None, base
             while True:
-                order = np.argsort(key, kind="stable")
-                new = np.empty(len(order), np.int64)
-                new[order] = np.arange(len(order))
+                order = np.argsort(key)
+                new = np.empty(held, np.int64)
+                new[order] = np.arange(held)
                 if not len(after) or (rank is not None and np.array_equal(new, rank)):
                     break
                 rank, key = new, base.copy()
                 key[n:] |= rank[after]
-            popped = pos[order]
+        popped = np.concatenate(levels)[order]
         out.append(popped)
-        before = popped - 1
-        ok = before >= 0
-        ok[ok] = target[before[ok]] & (t[before[ok]] >= ends[r])
-        before = before[ok]
+        leave = np.concatenate(outside)[order]
+        before = popped[leave] - 1
         if len(before):
-            to = place(t[before])
-            order = np.argsort(to.astype(np.int32), kind="stable")
+            to = place[np.concatenate(symbols)[order][leave]]
+            order = np.argsort(to, kind="stable")
             to, before = to[order], before[order]
             cuts = np.flatnonzero(np.diff(to)) + 1
-            for at, part in zip(to[np.concatenate(([0], cuts))].tolist(), np.split(before, cuts)):
-                queue.push(at, part)
+            bounds = [0, *cuts.tolist(), len(to)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                queue.push(int(to[a]), before[a:b])
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
@@ -158,7 +160,7 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     active, offset = np.arange(len(lms)), 0
     while len(active):
         w = word(active, offset)
-        order = np.lexsort((w, rank[active])) if offset else np.argsort(w, kind="stable")
+        order = np.lexsort((w, rank[active])) if offset else np.argsort(w)
         r, w = rank[active][order], w[order]
         new_group = np.concatenate(([True], r[1:] != r[:-1]))
         new_part = new_group | np.concatenate(([True], w[1:] != w[:-1]))
@@ -202,19 +204,24 @@ def suffix_array(t: np.ndarray, batch: int = 1 << 18, most_bytes: int = 1 << 26,
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """How many symbols each suffix shares with the one before it in `order`, up to `most`; 0 for the first."""
+    """How many bytes each suffix of `t` (uint8) shares with the one before it in `order`, up to `most`; 0 for the first.
+
+    Eight bytes are compared at a time, and only pairs that are equal so far go on.
+    """
     out = np.zeros(len(order), np.int64)
+    data = np.concatenate((t, np.zeros(most + 8, np.uint8)))
+    words = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
     a, b, which = order[:-1], order[1:], np.arange(1, len(order))
-    n, done = len(t), 0
-    while len(which) and done < most:
-        step = min(16, most - done)
-        alive = np.ones(len(which), bool)
-        for k in range(done, done + step):
-            x, y = a + k, b + k
-            inside = (x < n) & (y < n)
-            alive &= inside
-            alive[alive] = t[x[alive]] == t[y[alive]]
-            out[which[alive]] += 1
-        a, b, which = a[alive], b[alive], which[alive]
-        done += step
-    return out
+    for done in range(0, most, 8):
+        if not len(which):
+            break
+        differ = words[a + done] ^ words[b + done]
+        same = differ == 0
+        first = differ[~same]
+        out[which[~same]] = done + np.searchsorted(_BYTE_ENDS, first & (~first + np.uint64(1)), "right") // 8
+        a, b, which = a[same], b[same], which[same]
+    out[which] = most
+    return np.minimum(np.minimum(out, most), np.concatenate(([0], len(t) - np.maximum(order[:-1], order[1:]))) if len(order) else out)
+
+
+_BYTE_ENDS = np.uint64(1) << np.arange(1, 64, dtype=np.uint64)
