@@ -71,7 +71,7 @@ def canonical_url(url: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Slashes forward, none at the ends, lower case. Non-ASCII names are composed (NFC) by nfc_path()."""
-    return F.lower(F.trim(F.lit("/"), F.translate(path, "\\", "/")))
+    return F.lower(F.trim(F.translate(path, "\\", "/"), F.lit("/")))
 
 
 @F.pandas_udf(T.StringType())
@@ -148,8 +148,8 @@ def parse_query(text: str) -> Query:
     none, alternative = [], False
     for m in re.finditer(r'(-?)"([^"]*)"|(-?)(\S+)', text.lower()):
         minus, body = (m[1], m[2]) if m[2] is not None else (m[3], m[4])
-        if m[4] == "or" and groups:
-            alternative = True
+        if m[4] == "or":
+            alternative = bool(groups)
             continue
         terms = tuple(re.findall(r"[^\W]+", body))
         if not terms:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,31 +34,43 @@ def over_fetch(limit: int) -> int:
     return min(max(limit * 3, 30), 100)
 
 
-def query_table(spark: SparkSession, queries: list[text.Query]) -> DataFrame:
-    """(query, groups, none, words): parsed queries; their number is the caller's list's."""
-    rows = [(q.text, [[list(t) for t in g] for g in q.groups], [list(t) for t in q.none], list(q.words)) for q in queries]
-    return spark.createDataFrame(rows, "query string, groups array<array<array<string>>>, none array<array<string>>, words array<string>")
+def _literal(q: text.Query) -> Column:
+    words = F.lit(list(q.words)) if q.words else F.array().cast("array<string>")
+    phrase = lambda t: F.lit(list(t))
+    groups = F.array(*(F.array(*map(phrase, g)) for g in q.groups)) if q.groups else F.array().cast("array<array<array<string>>>")
+    none = F.array(*map(phrase, q.none)) if q.none else F.array().cast("array<array<string>>")
+    every = sorted({w for t in q.none for w in t} | set(q.words))
+    return F.struct(F.lit(q.text).alias("query"), groups.alias("groups"), none.alias("none"), words.alias("words"), F.lit(every).alias("terms"))
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(unit_id, term, pos, weight): every token of title, context (area, topic, channel, author) and content in turn."""
+def tagged_tokens(units: DataFrame) -> Column:
+    """array<struct<pos, term, weight>>: the tokens of title, context (area, topic, channel, author) and content in turn."""
     context = F.concat_ws(" ", *(F.col(c) for c in ("source_area", "topic", "channel", "author") if c in units.columns))
     fields = [("title", F.col("title")), ("context", context), ("content", F.col("content"))]
     tagging = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight"))
     tagged = F.flatten(F.array(*(F.transform(text.tokens(c), tagging(FIELD_WEIGHTS[n])) for n, c in fields)))
-    exploded = units.select("unit_id", F.posexplode(tagged).alias("pos", "t"))
-    return exploded.select("unit_id", F.col("t.term").alias("term"), F.col("pos").cast("int").alias("pos"), F.col("t.weight").alias("weight"))
+    return F.transform(tagged, lambda t, i: F.struct(i.alias("pos"), t["term"].alias("term"), t["weight"].alias("weight")))
+
+
+def postings(units: DataFrame) -> DataFrame:
+    """(unit_id, term, pos, weight): the tokens as a table, for an index that is kept."""
+    return units.select("unit_id", F.explode(tagged_tokens(units)).alias("t")).select("unit_id", "t.term", "t.pos", "t.weight")
 
 
-def occurrences(post: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, unit_id, hits array<struct<pos,term,weight>>): a query's words in every unit that has any of them.
+def occurrences(units: DataFrame, queries: list[text.Query]) -> DataFrame:
+    """(unit_id, query, groups, none, words, terms, hits): each query's words in every unit that has any of them.
 
-    An equality join on the term in place of matching each unit against each query. The query side is as long as the
-    caller's list of queries; Spark broadcasts it if it is small by its own measure.
+    The queries are a list of the caller's, so they travel in the plan: a unit's tokens are cut down to the words that
+    any query names while the row is read, and nothing is joined or shuffled.
     """
-    wanted = queries.select("query", F.explode(F.array_distinct(F.concat("words", F.flatten("none")))).alias("term"))
-    hits = post.join(wanted, "term").groupBy("query", "unit_id")
-    return hits.agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("hits"))
+    queries = [q for q in queries if q.words or q.none]
+    if not queries:
+        raise ValueError("no query has a word")
+    every = sorted({w for q in queries for w in (*q.words, *(x for t in q.none for x in t))})
+    rows = units.select("unit_id", F.filter(tagged_tokens(units), lambda h: h["term"].isin(*every)).alias("_all")).where(F.size("_all") > 0)
+    rows = rows.select("unit_id", "_all", F.explode(F.array(*map(_literal, queries))).alias("q")).select("unit_id", "_all", "q.*")
+    hits = F.filter("_all", lambda h: F.array_contains("terms", h["term"]))
+    return rows.withColumn("hits", hits).drop("_all").where(F.size("hits") > 0)
 
 
 def _holds(hits: Column, terms: Column) -> Column:
@@ -94,9 +106,9 @@ def cover_density(hits: Column, words: Column) -> Column:
     return r / (r + 1)
 
 
-def matched(units: DataFrame, queries: DataFrame) -> DataFrame:
+def matched(units: DataFrame, queries: list[text.Query]) -> DataFrame:
     """(query, unit_id, density) of the units that answer a query: every group met, nothing unwanted."""
-    found = occurrences(postings(units), queries).join(queries, "query")
+    found = occurrences(units, queries)
     hits = F.col("hits")
     all_groups = F.forall("groups", lambda g: F.exists(g, lambda t: _holds(hits, t)))
     unwanted = F.exists("none", lambda t: _holds(hits, t))
@@ -106,7 +118,7 @@ def matched(units: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("query", "unit_id", cover_density(wanted_hits, present).alias("density"))
 
 
-def lexical(units: DataFrame, queries: DataFrame, scope: str = "admin", filters: Filters = Filters(), limit: int = 20, now: datetime | None = None, chat_days: float = 365.0) -> DataFrame:
+def lexical(units: DataFrame, queries: list[text.Query], scope: str = "admin", filters: Filters = Filters(), limit: int = 20, now: datetime | None = None, chat_days: float = 365.0) -> DataFrame:
     """Ranked units by cover density, title, authority, currency (and, with `now`, the recency of chat messages)."""
     rows = units.where(filters.column() & visible(scope))
     found = matched(rows, queries).join(rows, "unit_id")
@@ -213,6 +225,11 @@ def requested(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode("queries").alias("q")).select(F.lower(F.trim("q")).alias("query")).where("query <> ''").distinct()
 
 
+def phrasings(queries: list[str]) -> list[str]:
+    """requested() for the caller's own list."""
+    return list(dict.fromkeys(q for q in (q.strip().lower() for q in queries) if q))
+
+
 def dominant_model(embeddings: DataFrame, fallback: tuple[str, str, str, int]) -> DataFrame:
     """The model with most vectors, its dimension and how many units have one; the fallback row where there are none."""
     keys = ["provider", "model", "model_version", "dimension"]
@@ -260,7 +277,7 @@ def search(units: DataFrame, embeddings: DataFrame | None, query: str, vector: l
     if mode == "semantic" and (vector is None or embeddings is None):
         raise SearchError("semantic mode needs a query vector and embeddings")
     spark, most = units.sparkSession, over_fetch(limit)
-    words = lexical(units, query_table(spark, [text.parse_query(query)]), scope, filters, most)
+    words = lexical(units, [text.parse_query(query)], scope, filters, most)
     if mode == "lexical" or vector is None or embeddings is None:
         out = words.withColumn("rank", F.col("lexical_rank"))
     else:

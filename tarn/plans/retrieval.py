@@ -51,7 +51,7 @@ AND_QUERIES = {"the and": ["the", "and"], "that with for": ["that", "with", "for
 
 
 def lexical_search(spark, folder):
-    queries = retrieval.query_table(spark, [text.parse_query(q) for q in AND_QUERIES])
+    queries = [text.parse_query(q) for q in AND_QUERIES]
     out = retrieval.lexical(units(spark, folder), queries, "committee", limit=20)
     return out.select("query", "unit_id", "score", "lexical_rank")
 
@@ -64,7 +64,7 @@ select * from k where lexical_rank <= 20"""
 
 def web_search(spark, folder):
     """Phrases, alternatives and unwanted words; every match, unranked."""
-    queries = retrieval.query_table(spark, [text.parse_query(q) for q in WORDS])
+    queries = [text.parse_query(q) for q in WORDS]
     return retrieval.matched(units(spark, folder), queries).select("query", "unit_id")
 
 
@@ -81,7 +81,7 @@ union all select 'the or und', unit_id from t where contains(s, ' the ') or cont
 
 def lexical_multi_query(spark, folder):
     """Rank lists of several phrasings, summed per unit."""
-    queries = retrieval.query_table(spark, [text.parse_query(q) for q in AND_QUERIES])
+    queries = [text.parse_query(q) for q in AND_QUERIES]
     hits = retrieval.matched(units(spark, folder).where(visible_public()), queries)
     ranked = hits.withColumn("density", F.round("density", 6)).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("density"), "unit_id")))
     return ranked.groupBy("unit_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("lexical_score"), F.min("r").alias("best_rank"), F.count("*").alias("matched_queries"))
@@ -148,7 +148,7 @@ k as (select query, unit_id, similarity, row_number() over (partition by query o
 def _lists(spark, folder):
     """Two ranked lists for one question: a word query and a vector."""
     u = units(spark, folder)
-    words = retrieval.lexical(u, retrieval.query_table(spark, [text.parse_query("the and")]), "admin", limit=60)
+    words = retrieval.lexical(u, [text.parse_query("the and")], "admin", limit=60)
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
     asked = _asked(spark, folder).where(F.col("query") == f"{VECTORS[0]:08d}").withColumn("query", F.lit("the and"))
     return u, words, retrieval.semantic(u, e, asked, "admin", limit=60)
@@ -173,7 +173,7 @@ select 'the and' as query, *, row_number() over (order by score desc, unit_id)::
 def exact_rescue_union(spark, folder):
     """A query that names an identifier: titles that hold it lead the vector list."""
     u, _, near = _lists(spark, folder)
-    words = retrieval.lexical(u, retrieval.query_table(spark, [text.parse_query("THE")]), "admin", limit=10)
+    words = retrieval.lexical(u, [text.parse_query("THE")], "admin", limit=10)
     q = F.lit("THE")
     return retrieval.rescued(words.withColumn("query", q), near.withColumn("query", q), 30)
 
@@ -189,9 +189,8 @@ select 'THE' as query, unit_id, p.part = 0 as rescued, row_number() over (order
 
 def rrf_multi_query(spark, folder):
     u = units(spark, folder).where(visible("admin"))
-    asked = retrieval.requested(spark.createDataFrame([(["The and", " the AND ", "", "les des"],)], "queries array<string>"))
-    queries = retrieval.query_table(spark, [text.parse_query(q) for q in ("the and", "les des")])
-    hits = retrieval.matched(u, queries.join(asked, "query", "left_semi")).withColumn("density", F.round("density", 6))
+    queries = [text.parse_query(q) for q in retrieval.phrasings(["The and", " the AND ", "", "les des"])]
+    hits = retrieval.matched(u, queries).withColumn("density", F.round("density", 6))
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
     vector = _asked(spark, folder).where(F.col("query") == f"{VECTORS[0]:08d}")
     pool = retrieval.semantic(u, e, vector, "admin", Filters(include_history=True), limit=80, floor=0.05).select("unit_id", "similarity")

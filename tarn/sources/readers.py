@@ -86,7 +86,8 @@ class _PagedReader(DataSourceReader):
 class RecordedPages(DataSource):
     """spark.read.format("recorded_pages").option("entities", "C1,C2").load(folder): messages of recorded pages.
 
-    The folder must be open to the executors as files (a mounted share).
+    The folder must be open to the executors as files (a mounted share). Filters are handed down where
+    spark.sql.python.filterPushdown.enabled is true, which Spark asks for of every Python source that takes them.
     """
 
     @classmethod
