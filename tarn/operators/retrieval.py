@@ -145,22 +145,26 @@ def substring_search(units: DataFrame, query: str, limit: int = 20) -> DataFrame
     return units.where(in_title | in_content).withColumn("score", score).orderBy(F.desc("score"), "unit_id").limit(limit)
 
 
-def semantic(units: DataFrame, embeddings: DataFrame, queries: DataFrame, scope: str = "admin", filters: Filters = Filters(), limit: int = 20, floor: float | None = None) -> DataFrame:
+def semantic(units: DataFrame, embeddings: DataFrame, queries: list[tuple[str, list[float]]], scope: str = "admin", filters: Filters = Filters(), limit: int = 20, floor: float | None = None) -> DataFrame:
     """The most similar units for each query vector, exactly: (query, unit_id, similarity, semantic_rank) and unit columns.
 
-    `queries` is (query, vector): a stated set, far smaller than the vectors, compared with all of them. Before the
-    ranking's exchange, each task's rows are cut to its own best `limit` of a query (Spark's window group limit).
+    `queries` is the caller's list of (name, vector). It travels in the plan, so each vector is compared where it is
+    read; before the ranking's exchange every task cuts its rows to its own best `limit` of a query (Spark's window
+    group limit). Vectors and queries that are not finite take no part.
     """
+    asked = [(n, [float(x) for x in v]) for n, v in queries if v and all(abs(float(x)) < float("inf") for x in v)]
+    if not asked:
+        raise ValueError("no query has a usable vector")
     rows = units.where(filters.column() & visible(scope))
-    vectors = rows.join(embeddings.where(scalar.usable(F.col("embedding"))), "unit_id")
-    vectors = vectors.withColumn("_norm", scalar.norm(F.col("embedding")))
-    asked = queries.where(scalar.usable(F.col("vector"))).withColumn("_qnorm", scalar.norm(F.col("vector")))
-    pairs = vectors.crossJoin(asked)
-    pairs = pairs.withColumn("similarity", F.round(F.try_divide(scalar.dot(F.col("embedding"), F.col("vector")), F.col("_norm") * F.col("_qnorm")), 6)).where("similarity is not null")
+    vectors = rows.join(embeddings.where(scalar.usable(F.col("embedding"))), "unit_id").withColumn("_norm", scalar.norm(F.col("embedding")))
+    literal = [F.struct(F.lit(n).alias("query"), F.lit(v).alias("v"), F.lit(sum(x * x for x in v) ** 0.5).alias("norm")) for n, v in asked]
+    pairs = vectors.withColumn("_q", F.explode(F.array(*literal))).withColumn("query", F.col("_q.query"))
+    cosine = F.try_divide(scalar.dot(F.col("embedding"), F.col("_q.v")), F.col("_norm") * F.col("_q.norm"))
+    pairs = pairs.withColumn("similarity", F.round(cosine, 6)).where("similarity is not null")
     if floor is not None:
         pairs = pairs.where(F.col("similarity") >= floor)
     by = Window.partitionBy("query").orderBy(F.desc("similarity"), "unit_id")
-    return pairs.withColumn("semantic_rank", F.row_number().over(by)).where(F.col("semantic_rank") <= limit).drop("_norm", "_qnorm", "embedding", "vector")
+    return pairs.drop("_norm", "_q", "embedding").withColumn("semantic_rank", F.row_number().over(by)).where(F.col("semantic_rank") <= limit)
 
 
 def fused(lexical_rows: DataFrame, semantic_rows: DataFrame, units: DataFrame, limit: int = 20, semantic_weight: float = 1.0) -> DataFrame:
@@ -276,13 +280,12 @@ def search(units: DataFrame, embeddings: DataFrame | None, query: str, vector: l
         raise SearchError("mode must be lexical, semantic or hybrid")
     if mode == "semantic" and (vector is None or embeddings is None):
         raise SearchError("semantic mode needs a query vector and embeddings")
-    spark, most = units.sparkSession, over_fetch(limit)
+    most = over_fetch(limit)
     words = lexical(units, [text.parse_query(query)], scope, filters, most)
     if mode == "lexical" or vector is None or embeddings is None:
         out = words.withColumn("rank", F.col("lexical_rank"))
     else:
-        asked = spark.createDataFrame([(query, [float(x) for x in vector])], "query string, vector array<double>")
-        near = semantic(units, embeddings, asked, scope, filters, most)
+        near = semantic(units, embeddings, [(query, vector)], scope, filters, most)
         out = near.withColumn("rank", F.col("semantic_rank")) if mode == "semantic" else rescued(words, near, most)
     return out.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).orderBy("rank")
 

@@ -118,9 +118,12 @@ def source_type_in(spark, folder):
     return units(spark, folder).where(f.column()).select("unit_id", "source_type")
 
 
-def _asked(spark, folder):
+def _asked(spark, folder, name: str | None = None):
+    """The stated query vectors: three of the table's, or the first of them under another name."""
     e = unit_embeddings(spark, folder)
-    return e.where(F.col("unit_id").isin(*(f"{v:08d}" for v in VECTORS))).select(F.col("unit_id").alias("query"), F.col("embedding").alias("vector"))
+    wanted = VECTORS if name is None else VECTORS[:1]
+    rows = e.where(F.col("unit_id").isin(*(f"{v:08d}" for v in wanted))).select("unit_id", "embedding").collect()
+    return [(name or r.unit_id, r.embedding) for r in rows]
 
 
 def semantic_topk(spark, folder):
@@ -150,8 +153,7 @@ def _lists(spark, folder):
     u = units(spark, folder)
     words = retrieval.lexical(u, [text.parse_query("the and")], "admin", limit=60)
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
-    asked = _asked(spark, folder).where(F.col("query") == f"{VECTORS[0]:08d}").withColumn("query", F.lit("the and"))
-    return u, words, retrieval.semantic(u, e, asked, "admin", limit=60)
+    return u, words, retrieval.semantic(u, e, _asked(spark, folder, "the and"), "admin", limit=60)
 
 
 def rrf_fusion(spark, folder):
@@ -192,8 +194,7 @@ def rrf_multi_query(spark, folder):
     queries = [text.parse_query(q) for q in retrieval.phrasings(["The and", " the AND ", "", "les des"])]
     hits = retrieval.matched(u, queries).withColumn("density", F.round("density", 6))
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
-    vector = _asked(spark, folder).where(F.col("query") == f"{VECTORS[0]:08d}")
-    pool = retrieval.semantic(u, e, vector, "admin", Filters(include_history=True), limit=80, floor=0.05).select("unit_id", "similarity")
+    pool = retrieval.semantic(u, e, _asked(spark, folder, "vector"), "admin", Filters(include_history=True), limit=80, floor=0.05).select("unit_id", "similarity")
     return retrieval.multi_query(u, hits, pool, limit=20)
 
 
