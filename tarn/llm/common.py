@@ -38,17 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def unstore(*dfs: DataFrame) -> None:
-    """Delete the files of stored() tables that nothing reads any more."""
-    for df in dfs:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tarn-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
-
-
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of `links` (u, v longs): one row (node, component) for every linked node.
 

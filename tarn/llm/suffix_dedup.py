@@ -132,10 +132,29 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     wanted = mixed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "alike")).alias("wanted"))
 
     def pieces(batches):
+        names = ("anchor", "digest", "n", "alike", "piece")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+        def gathered(parts, out):
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns, types), pa.array(out, pa.binary())], list(names))
+
         for batch_ in batches:
-            for doc_id, text, sha, key, wanted_ in zip(*(batch_.column(i).to_pylist() for i in range(5))):
-                if int(sha[:15], 16) == key and (data := own(doc_id, text, sha)) is not None:
-                    yield pa.RecordBatch.from_pylist([{**x, "piece": data[x["start"] : x["start"] + x["n"] - 1 + size]} for x in wanted_], schema=pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("alike", pa.int64()), ("piece", pa.binary())]))
+            parts, out, size_ = [], [], 0
+            offsets, fields = batch_.column(4).offsets.to_numpy(), batch_.column(4).values
+            cols = [fields.field(c).to_numpy() for c in ("anchor", "digest", "n", "alike", "start")]
+            for i, (doc_id, text, sha, key) in enumerate(zip(*(batch_.column(i).to_pylist() for i in range(4)))):
+                if int(sha[:15], 16) != key or (data := own(doc_id, text, sha)) is None:
+                    continue
+                *kept, start = (c[offsets[i] : offsets[i + 1]] for c in cols)
+                parts.append(kept)
+                out += [data[x : x + n - 1 + size] for x, n in zip(start.tolist(), kept[2].tolist())]
+                size_ += int(kept[2].sum()) + size * len(start)
+                if size_ > 1 << 23:
+                    yield gathered(parts, out)
+                    parts, out, size_ = [], [], 0
+            if parts:
+                yield gathered(parts, out)
 
     fetched = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sha", "key", "wanted")
     fetched = stored(fetched.mapInArrow(pieces, "anchor long, digest long, n int, alike long, piece binary"), "pieces")
@@ -168,14 +187,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     def keep(batches):
         for batch_ in batches:
             out = {"doc_id": [], "sha": [], "n_removed": [], "n_spans": [], "kept": []}
-            for doc_id, text, sha, key, found in zip(*(batch_.column(i).to_pylist() for i in range(5))):
+            offsets, fields = batch_.column(4).offsets.to_numpy(), batch_.column(4).values
+            starts, runs = fields.field("start").to_numpy(), fields.field("runs")
+            cuts, ends = runs.offsets.to_numpy(), runs.values.to_numpy()
+            for i, (doc_id, text, sha, key) in enumerate(zip(*(batch_.column(i).to_pylist() for i in range(4)))):
                 if int(sha[:15], 16) != key or (data := own(doc_id, text, sha)) is None:
                     continue
+                mine = cuts[offsets[i] : offsets[i + 1] + 1]
+                begin = np.repeat(starts[offsets[i] : offsets[i + 1]].astype(np.int64), np.diff(mine) // 2)
+                pairs = ends[mine[0] : mine[-1]].reshape(-1, 2) + begin[:, None]
                 steps = np.zeros(len(data) + 1, np.int64)
-                for x in found:
-                    r = np.array(x["runs"], np.int64).reshape(-1, 2) + x["start"]
-                    np.add.at(steps, r[:, 0], 1)
-                    np.add.at(steps, r[:, 1] - 1 + size, -1)
+                np.add.at(steps, pairs[:, 0], 1)
+                np.add.at(steps, pairs[:, 1] - 1 + size, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 out["doc_id"].append(doc_id)
                 out["sha"].append(sha)

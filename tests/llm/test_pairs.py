@@ -76,17 +76,17 @@ def test_fingerprints_and_components(spark):
     assert Counter((r.doc_id, r.fingerprint) for r in out) == Counter((i, f"{plain_fingerprint(t):016x}") for i, t in rows)
 
 
-@pytest.mark.parametrize("most", [0, 3, 1000])
-def test_hot_buckets_lose_no_link(spark, most):
+@pytest.mark.parametrize("most,distance", [(0, 2), (3, 2), (1000, 2), (0, 1), (1000, 1), (0, 0)])
+def test_hot_buckets_lose_no_link(spark, most, distance):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(25)} | set(base)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(signed(x), i) for i, x in enumerate(sorted(fps))]
     reps = spark.createDataFrame(rows, "fp long, rep long")
-    got = {r.node: r.component for r in components(simhash.links(reps, 2, most)).collect()}
+    got = {r.node: r.component for r in components(simhash.links(reps, distance, most)).collect()}
     order = sorted(fps)
-    links = [(i, j) for i in range(len(order)) for j in range(i) if (order[i] ^ order[j]).bit_count() <= 2]
+    links = [(i, j) for i in range(len(order)) for j in range(i) if (order[i] ^ order[j]).bit_count() <= distance]
     want = closed(links, range(len(order)))
     assert {i: got.get(i, i) for i in range(len(order))} == want
 
