@@ -21,11 +21,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows repeated under one id are one."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_nth", nth).where("doc_id is null or _nth = 1").drop("_nth")
+    """Of each group of near-duplicates the smallest id stays (of its texts, that of the smallest hash); equal rows are one.
+
+    The link is the stage's own: five-word shingles with a Jaccard similarity of 0.8 or more.
+    """
+    found = simhash.similar(docs)
+    first = Window.partitionBy("component_id").orderBy("doc_id", "text_hash")
+    gone = found.withColumn("_nth", F.row_number().over(first)).where("_nth > 1")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    left = rows.join(gone, (rows["doc_id"] == gone["_gone"]) & (rows["_hash"] == gone["_gone_hash"]), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash"))
+    return left.withColumn("_nth", nth).where("doc_id is null or _nth = 1").drop("_nth", "_hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,6 +355,28 @@ def test_stages_on_odd_rows(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter([900, 3, None, None, 4])
 
 
+def test_near_dedup_reads_five_word_shingles(spark):
+    rng = random.Random(4)
+    body = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    rows, copies, apart = [], [], []
+    for i in range(60):
+        w = body(200)
+        for k, edits in enumerate((3, 4, 10)):
+            c = list(w)
+            for at in rng.sample(range(195), edits):
+                c[at] = "edit"
+            rows.append((1000 * (k + 1) + i, " ".join(c)))
+            (copies if jaccard(w, c) >= 0.8 else apart).append(rows[-1][0])
+        rows.append((i, " ".join(w)))
+    rows += [(5000, " ".join(body(50))), (5000, " ".join(body(50))), (5000, rows[3][1])]
+    left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()]
+    assert len(copies) > 100 and len(apart) > 50
+    assert len(set(copies) & set(left)) <= 0.02 * len(copies)
+    assert set(range(60)) <= set(left) and left.count(5000) == 2  # two texts under one id stay, its copy of another goes
+
+
 @pytest.mark.parametrize("name", ["op9_token_counts", "op3_pii"])
 def test_registered(name):
     import __spark_entry__
