@@ -46,8 +46,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample calibrated to the source, language and topic targets, with each document's chance."""
-    return mixing.sampled(docs, topics(spark, sf_dir))
+    """A sample of half the tokens, near the source, language and topic targets, with each document's chance."""
+    return mixing.sampled(docs, topics(spark, sf_dir), fit=mixing.filled)
 
 
 STAGES = [

@@ -65,6 +65,58 @@ def calibrated(cells: DataFrame, targets: dict = TARGETS, rounds: int = 12, budg
     return now.select(*DIMS, F.least(F.lit(1.0), F.coalesce(scale * F.col("f"), F.lit(0.0))).alias("p"))
 
 
+def _level(have: Column, ask: Column, total: Column) -> Column:
+    """The factor by which `ask` grows until the sum of least(have, factor * ask) is `total`; null where all of it is less.
+
+    Rows are filled whole in order of have / ask; those that ask for nothing get nothing. The factor stands in the row
+    where filling stops, smaller ones in rows after it: take the maximum.
+    """
+    ratio, have = F.try_divide(have, ask), F.when(ask > 0, have).otherwise(0.0)
+    ordered = Window.partitionBy().orderBy(ratio, *DIMS)
+    before, onward = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    factor = F.try_divide(total - F.coalesce(F.sum(have).over(before), F.lit(0.0)), F.sum(ask).over(onward))
+    return F.when((ask > 0) & (factor <= ratio * (1 + 1e-12)), factor)
+
+
+def filled(cells: DataFrame, targets: dict = TARGETS, rounds: int = 12, budget: float = 0.5) -> DataFrame:
+    """(source, lang, topic, p, goal_<dimension>, reach_<dimension>): chances that meet the token budget, whatever the targets.
+
+    A category that has fewer tokens than its target share of the budget is taken whole, and what it lacks goes to the
+    others of its dimension in proportion; so reach_* (tokens) is what goal_* (tokens) comes down or up to. Cells are
+    fitted to the reaches with chances of at most 1, and then all that are below 1 rise or fall together until the
+    budget is met. Only categories of weight 0 can keep it from being met.
+    """
+    whole = Window.partitionBy()
+    now = cells.where("tokens > 0").repartition(1).select(*DIMS, F.col("tokens").cast("double").alias("tokens"))
+    now = now.withColumn("asked", F.lit(float(budget)) * F.sum("tokens").over(whole))
+    for d in DIMS:
+        of, t = Window.partitionBy(d), targets[d]
+        now = now.withColumn("have", F.sum("tokens").over(of)).withColumn("nth", F.row_number().over(of.orderBy(*DIMS)))
+        if isinstance(t, dict):
+            table = F.create_map(*chain.from_iterable((F.lit(str(k)), F.lit(float(v))) for k, v in t.items()))
+            wish = F.coalesce(table[F.col(d)], F.lit(0.0))
+        else:
+            wish = F.pow(F.col("have") / F.sum("tokens").over(whole), F.lit(float(t)))
+        now = now.withColumn("wish", wish).withColumn("one", F.when(F.col("nth") == 1, F.col("wish")).otherwise(0.0))
+        now = now.withColumn(f"goal_{d}", F.coalesce(F.try_divide(F.col("asked") * F.col("wish"), F.sum("one").over(whole)), F.lit(0.0)))
+        first = F.when(F.col("nth") == 1, 1.0).otherwise(0.0)  # a category counts once, in its first cell
+        now = now.withColumns({"h": F.col("have") * first, "g": F.col(f"goal_{d}") * first})
+        now = now.withColumn("level", _level(F.col("h"), F.col("g"), F.col("asked")))
+        level = F.max("level").over(whole)
+        reach = F.when(F.col("wish") <= 0, 0.0).when(level.isNull(), F.col("have")).otherwise(F.least("have", level * F.col(f"goal_{d}")))
+        now = cut(now.withColumn(f"reach_{d}", reach).drop("have", "nth", "wish", "one", "h", "g", "level"))
+    now = now.withColumn("w", F.col("tokens") * F.lit(float(budget)))
+    for r in range(rounds):
+        for d in DIMS:
+            total = F.sum("w").over(Window.partitionBy(d))
+            now = now.withColumn("w", F.when(total > 0, F.least("tokens", F.col("w") * F.col(f"reach_{d}") / total)).otherwise(0.0))
+        if r % 3 == 2:
+            now = cut(now)
+    now = now.withColumn("level", F.max(_level(F.col("tokens"), F.col("w"), F.col("asked"))).over(whole))
+    p = F.when(F.col("w") <= 0, 0.0).when(F.col("level").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("level") * F.col("w") / F.col("tokens")))
+    return now.select(*DIMS, p.alias("p"), *(f"goal_{d}" for d in DIMS), *(f"reach_{d}" for d in DIMS))
+
+
 def draw(id_col: str, seed: str = "mix") -> Column:
     """A number in [0, 1) that follows from the id: 32 bits of its MD5 with the seed."""
     name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
@@ -84,11 +136,11 @@ def chances(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", **option
     return out.select("doc_id", *DIMS, "n_tokens", F.round("p", 6).alias("p"), (draw("doc_id") < F.col("p")).alias("kept"))
 
 
-def sampled(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The sampled rows of `docs`, all columns, with their chance `p_kept`."""
+def sampled(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", fit=calibrated, **options) -> DataFrame:
+    """The sampled rows of `docs`, all columns, with their chance `p_kept`; `fit` is calibrated or filled."""
     rows = attributes(docs, topics, id_col)
     cells = rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("_tokens").alias("tokens"))
-    p = calibrated(cells, **options).select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("p").alias("_p"))
+    p = fit(cells, **options).select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("p").alias("_p"))
     out = rows.join(p, [f"_{d}" for d in DIMS], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
     return out.where(draw(id_col) < F.col("_p")).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_p").alias("p_kept"))
 

@@ -314,6 +314,27 @@ def test_fitted_chances_meet_every_target(spark):
     assert max(out.values()) <= 1 + 1e-9 and total <= 0.5 * tokens * (1 + 1e-9)
 
 
+def test_a_tiny_source_leaves_the_budget_met(spark):
+    rng = random.Random(11)
+    cells = [(s, l, t, rng.randint(1000, 50000)) for s in "abcd" for l in ("en", "fr", "de") for t in "xyz"] + [("tiny", "en", "x", 200), ("e", "en", "x", 0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    out = {(r.source, r.lang, r.topic): r for r in mixing.filled(df).collect()}
+    tokens = sum(c[3] for c in cells)
+    kept = {c[:3]: out[c[:3]].p * c[3] for c in cells if c[3]}
+    assert math.isclose(sum(kept.values()), 0.5 * tokens, rel_tol=1e-6)
+    assert all(0 <= r.p <= 1 for r in out.values()) and out["tiny", "en", "x"].p > 0.99
+    assert out["tiny", "en", "x"].reach_source == 200 < out["tiny", "en", "x"].goal_source
+    for k, d in enumerate(mixing.DIMS):
+        assert math.isclose(sum({c[k]: r[f"reach_{d}"] for c, r in out.items()}.values()), 0.5 * tokens, rel_tol=1e-6)
+        for x in {c[k] for c in kept}:
+            reach = next(r[f"reach_{d}"] for c, r in out.items() if c[k] == x)
+            assert math.isclose(sum(v for c, v in kept.items() if c[k] == x), reach, rel_tol=0.02)
+    old = {(r.source, r.lang, r.topic): r.p for r in mixing.calibrated(df).collect()}
+    assert sum(old[c] * n for c, n in ((c[:3], c[3]) for c in cells if c[3])) < 0.4 * tokens
+    none = mixing.filled(df, {"source": {"tiny": 1.0}, "lang": 0.7, "topic": 0.8}).collect()
+    assert sum(r.p for r in none) == 1
+
+
 def test_mixing_rows(spark):
     rows = [(i, "w " * (i % 40)) for i in range(500)] + ODD
     topics = spark.createDataFrame([(i, str(i % 3)) for i in range(0, 400)] + [(5, "9"), (None, "1")], "id long, topic string")
