@@ -9,8 +9,6 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
-PAGE_LIMIT = 200
-
 
 class RateLimited(Exception):
     """The other side asks to wait."""
@@ -77,7 +75,7 @@ class _PagedReader(DataSourceReader):
             return page
 
         for page in pages(fetch, self.most):
-            for m in page.get("messages", ())[:PAGE_LIMIT]:
+            for m in page.get("messages", ()):
                 row = {"entity": partition.entity, "ts": m.get("ts"), "sender": m.get("user") or m.get("sender"), "text": m.get("text"), "raw": json.dumps(m, sort_keys=True)}
                 if (self.since is None or (row["ts"] or "") >= self.since) and (self.after is None or (row["ts"] or "") > self.after) and (self.sender is None or row["sender"] == self.sender):
                     yield tuple(row[k] for k in self.fields)

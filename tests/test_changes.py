@@ -176,6 +176,17 @@ def test_files(spark, tmp_path):
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_recorded_pages_of_any_length_are_read_whole(spark, tmp_path):
+    (tmp_path / "C1").mkdir()
+    page = lambda a, n, **more: json.dumps({"messages": [{"ts": f"{i:04}", "user": "a", "text": "x"} for i in range(a, a + n)], **more})
+    (tmp_path / "C1/first.json").write_text(page(0, 350, response_metadata={"next_cursor": "n2"}))
+    (tmp_path / "C1/n2.json").write_text(page(350, 201))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RecordedPages)
+    df = spark.read.format("recorded_pages").option("entities", "C1").load(str(tmp_path))
+    assert sorted(r.ts for r in df.collect()) == [f"{i:04}" for i in range(551)]
+
+
 def test_recorded_pages(spark, tmp_path):
     (tmp_path / "C1").mkdir()
     (tmp_path / "C1/first.json").write_text(json.dumps({"messages": [{"ts": "1", "user": "a", "text": "x"}], "response_metadata": {"next_cursor": "n2"}}))
