@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tarn.plans import operations
 from tarn.plans.catalogue import CATALOGUE
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +40,7 @@ def test_plans(spark):
     assert "Exchange" not in plan("web_search_syntax").replace("BroadcastExchange", "").replace("ENSURE", "") or "hashpartitioning(doc_id" in plan("web_search_syntax")
     assert "partial_" in plan("delivery_health")
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan("oldest_checkpoint_due").replace("event_type:string,ts", "ts").replace("struct<event_type:string,ts:timestamp_ntz>", "struct<ts:timestamp_ntz,event_type:string>")
+
+
+def test_gold_ids_are_ranked_before_they_are_gathered(spark):
+    assert "WindowGroupLimit" in operations._gold(spark, FOLDER)._jdf.queryExecution().toString()
