@@ -1,4 +1,4 @@
-"""Suffix-array dedup: byte strings that stand twice anywhere in the corpus, by external induced sorting in shards."""
+"""Suffix-array dedup: byte strings that stand twice anywhere in the corpus, by induced sorting of shards in memory."""
 
 from __future__ import annotations
 
@@ -70,8 +70,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     2. Every string of `size` bytes has an anchor (see _anchored). Strings whose anchor is met once in the corpus go.
     3. Neighbouring strings with one anchor make a snippet; equal snippets are counted by digest and what is in two
        places is repeated. Only anchors with different snippets are left: one copy of each snippet goes to its
-       anchor's shard, whose suffix array (external induced sorting) and common prefixes name the repeated strings.
-       A shard holds about `shard_bytes`; an anchor with over `most_alike` different snippets is in no shard, its
+       anchor's shard, whose suffix array (induced sorting) and common prefixes name the repeated strings. A shard
+       holds about `shard_bytes` and is sorted in memory; its queue goes to files only above `most_bytes`, at eight
+       bytes a suffix, which by default takes a shard of over 8 MB: a safety net, not the usual way.
+       An anchor with over `most_alike` different snippets is in no shard, its
        strings are counted by 128-bit digests instead (equally exact, and nothing meets in one task).
 
     Null texts are empty. Repeated rows are copies, as any equal texts. A row without an id takes no part: it loses

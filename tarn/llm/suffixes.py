@@ -2,8 +2,9 @@
 
 Induction pops suffixes in order of their first symbol and pushes what stands before them. The queue is cut into ranges
 of symbols: a push goes to the range of its symbol, in memory or in that range's file, and a range is loaded, ordered and
-popped at once, so no more than a range's tuples are in memory however long the sequence is. Tuples of one range whose
-successors are in it too are ordered by passes over their successors' ranks.
+popped at once. Only the queue can be on disk: the sequence, its symbols and types and the array of suffixes are whole
+arrays in memory, so a sequence must fit a task. Tuples of one range whose successors are in it too are ordered by passes
+over their successors' ranks.
 """
 
 from __future__ import annotations
