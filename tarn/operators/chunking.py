@@ -2,45 +2,58 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import identity, scalar
 
 
+def _packed(paragraphs: list[str], most: int, overlap: int) -> Iterator[str]:
+    """As many paragraphs a chunk as fit; every chunk after the first opens with the end of the one before it."""
+    ends = list(accumulate(len(p) + 2 for p in paragraphs))
+    first, opening = 0, ""
+    while first < len(paragraphs):
+        done = ends[first - 1] if first else 0
+        past = max(first + 1, bisect_right(ends, done + most + 2 - len(opening)))
+        chunk = opening + "\n\n".join(paragraphs[first:past])
+        yield chunk
+        tail = chunk[-overlap:].strip() if overlap else ""
+        first, opening = past, tail and f"{tail}\n\n"
+
+
+def _windows(paragraph: str, most: int, overlap: int) -> Iterator[str]:
+    """Overlapping stretches of one long paragraph, each up to the last blank in its second half if it has one there."""
+    least = most // 2 + 1
+    at_blank = f".{{{least},{most - 1}}}(?= )|" if least < most else ""
+    stretch = re.compile(f"(?s){at_blank}.{{{most}}}")
+    at = 0
+    while at + most < len(paragraph):
+        stop = stretch.match(paragraph, at).end()
+        yield paragraph[at:stop].strip()
+        at = max(stop - overlap, at + 1)
+    yield paragraph[at:].strip()
+
+
 def chunks_of(text: str | None, most: int = 2400, overlap: int = 220) -> list[str]:
-    """Paragraphs packed into chunks of about `most` characters; each chunk opens with the tail of the one before.
+    """Paragraphs (between blank lines) in chunks of about `most` characters.
 
-    A paragraph that is too long by itself is cut at blanks, the cuts overlapping. With the tail in front a chunk may
-    reach most + overlap + 2.
+    Runs of shorter paragraphs are packed, longer ones are cut by themselves. With the end of its predecessor in front
+    a chunk may reach most + overlap + 2.
     """
-    lines = [line.rstrip() for line in (text or "").replace("\r\n", "\n").splitlines()]
-    out: list[str] = []
-    held = ""
-    for paragraph in filter(None, map(str.strip, "\n".join(lines).strip().split("\n\n"))):
-        if len(paragraph) > most:
-            out.append(held)
-            held, at = "", 0
-            while True:
-                stop = at + most
-                if stop >= len(paragraph):
-                    out.append(paragraph[at:].strip())
-                    break
-                blank = paragraph.rfind(" ", at, stop)
-                stop = blank if blank > at + most // 2 else stop
-                out.append(paragraph[at:stop].strip())
-                at = max(stop - overlap, at + 1)
-        elif not held:
-            held = paragraph
-        elif len(held) + 2 + len(paragraph) <= most:
-            held += "\n\n" + paragraph
-        else:
-            out.append(held)
-            tail = held[-overlap:].strip() if overlap else ""
-            held = f"{tail}\n\n{paragraph}" if tail else paragraph
-    return [c for c in (*out, held) if c]
+    lines = (line.rstrip() for line in (text or "").replace("\r\n", "\n").splitlines())
+    paragraphs = [p for p in (part.strip() for part in "\n".join(lines).strip().split("\n\n")) if p]
+    chunks: list[str] = []
+    for long, run in groupby(paragraphs, lambda p: len(p) > most):
+        chunks += (c for p in run for c in _windows(p, most, overlap)) if long else _packed(list(run), most, overlap)
+    return [c for c in chunks if c]
 
 
 def chunker(most: int = 2400, overlap: int = 220):
@@ -63,26 +76,38 @@ def make_units(records: DataFrame, source_type: Column, most: int = 2400, overla
     return rows.withColumns({"unit_id": identity.unit_id(F.col("stable_key")), "content_hash": identity.content_hash(F.col("content")), "index_hash": identity.json_hash(**hashed)})
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _group_numbers(sizes: pd.Series, most: pd.Series) -> pd.Series:
+    """For each array of line lengths the group of each line: a group ends before the line that would overfill it."""
+
+    def numbers(lengths, limit):
+        out, held = [], None
+        for n in lengths:
+            if held is None or held + 1 + n > limit:
+                out.append(out[-1] + 1 if out else 0)
+                held = n
+            else:
+                out.append(out[-1])
+                held += 1 + n
+        return out
+
+    return pd.Series([numbers(s, m) for s, m in zip(sizes, most)], dtype=object)
+
+
 def transcript_groups(segments: DataFrame, most: int = 2400) -> DataFrame:
-    """(artifact_id, group, start_ms, end_ms, content): segments of a transcript, in order, joined up to `most` characters.
+    """(artifact_id, group, start_ms, end_ms, content): segments of a transcript in order of seq, joined up to `most` characters.
 
-    `segments` is (artifact_id, seq, start_ms, end_ms, speaker, text). A running fold over one artifact's own segments.
+    `segments` is (artifact_id, seq, start_ms, end_ms, speaker, text). Where a group ends follows from the lengths of
+    the lines alone, so these are all that is folded, an artifact at a time.
     """
     line = F.concat(F.lit("["), scalar.clock(F.col("start_ms")), F.lit("] "), F.coalesce(F.concat(F.col("speaker"), F.lit(": ")), F.lit("")), F.trim("text"))
-    rows = segments.where("trim(text) <> ''").select("artifact_id", F.struct("seq", "start_ms", "end_ms", line.alias("line")).alias("s"))
-    sorted_ = rows.groupBy("artifact_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    start = F.struct(F.lit(-1).alias("group"), F.lit(0).alias("size"), F.array().cast("array<struct<group:int,start_ms:bigint,end_ms:bigint,line:string>>").alias("out"))
-
-    def step(acc, s):
-        size = acc["size"] + 1 + F.length(s["line"])
-        fresh = (acc["group"] < 0) | (size > most)
-        group = F.when(fresh, acc["group"] + 1).otherwise(acc["group"])
-        item = F.struct(group.alias("group"), s["start_ms"].cast("long").alias("start_ms"), s["end_ms"].cast("long").alias("end_ms"), s["line"].alias("line"))
-        return F.struct(group.alias("group"), F.when(fresh, F.length(s["line"])).otherwise(size).alias("size"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = sorted_.select("artifact_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("o"))
-    lines = folded.select("artifact_id", "o.*").groupBy("artifact_id", "group")
-    return lines.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    item = F.struct("seq", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), line.alias("line"))
+    ordered = segments.where("trim(text) <> ''").groupBy("artifact_id").agg(F.array_sort(F.collect_list(item)).alias("lines"))
+    sizes = F.transform("lines", lambda x: F.length(x["line"]))
+    zipped = ordered.withColumn("g", _group_numbers(sizes, F.lit(most)))
+    each = zipped.select("artifact_id", F.explode(F.arrays_zip("g", "lines")).alias("z")).select("artifact_id", F.col("z.g").alias("group"), "z.lines.*")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "line"))), lambda x: x["line"]), "\n")
+    return each.groupBy("artifact_id", "group").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), content.alias("content"))
 
 
 def index_diff(old: DataFrame, new: DataFrame, scope: Column | None = None) -> DataFrame:

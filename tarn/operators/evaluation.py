@@ -41,10 +41,17 @@ def averaged(metrics: DataFrame, by: list[str]) -> DataFrame:
     return metrics.groupBy(*groups).agg(F.count("*").alias("queries"), *(F.round(F.avg(n), 4).alias(n) for n in names))
 
 
-def parent_cap(ranked: DataFrame, parent: str = "source_parent_id", most: int = 2) -> DataFrame:
-    """At most `most` results of one parent, order kept; rows without a parent are their own."""
-    own = F.coalesce(F.col(parent).cast("string"), F.concat(F.lit("unit:"), F.col("unit_id").cast("string")))
-    nth = F.row_number().over(Window.partitionBy("query", own).orderBy("rank"))
+def parent_key(columns: list[str]) -> Column:
+    """What a unit is a part of: its kind, and its record (documents), parent, address or record, the first that is given."""
+    have = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit(None).cast("string")
+    record = F.coalesce(have("source_record_id"), F.concat(F.lit("unit:"), F.col("unit_id").cast("string")))
+    part_of = F.when(F.col("source_type") == "document", record).otherwise(F.coalesce(have("source_parent_id"), have("source_url"), record))
+    return F.struct(F.col("source_type").alias("kind"), part_of.alias("key"))
+
+
+def parent_cap(ranked: DataFrame, most: int = 2) -> DataFrame:
+    """At most `most` results of one parent_key() for a query, order kept."""
+    nth = F.row_number().over(Window.partitionBy("query", parent_key(ranked.columns)).orderBy("rank"))
     kept = ranked.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 

@@ -63,7 +63,7 @@ def insert_if_absent(spark, folder):
 
 
 def rename_match(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash")).where("doc_id % 10 < 2")
+    d = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     old = d.select("hash", F.concat_ws("/", "source", name).alias("path"))
     new = d.select("hash", F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("source"), F.lit("/new-"), name)).otherwise(F.concat(F.lit("moved/"), name)).alias("path"))
@@ -71,7 +71,7 @@ def rename_match(spark, folder):
 
 
 RENAME_SQL = """with d as (select sha256(text) as hash, source || '/d' || doc_id as old_path, case when doc_id % 10 = 0 then source || '/new-d' || doc_id else 'moved/d' || doc_id end as new_path,
-  case when doc_id % 10 = 0 then 'renamed' else 'moved' end as change_type from documents where doc_id % 10 < 2)
+  case when doc_id % 10 = 0 then 'renamed' else 'moved' end as change_type from documents)
 select hash, min(old_path) as old_path, min(new_path) as new_path, min(change_type) as change_type from d group by hash having count(*) = 1"""
 
 
@@ -222,6 +222,13 @@ def transcript_groups(spark, folder):
     return chunking.transcript_groups(c.select(F.col("conv_id").alias("artifact_id"), F.col("turn").alias("seq"), (F.col("turn") * 15000).alias("start_ms"), (F.col("turn") * 15000 + 14000).alias("end_ms"), F.col("role").alias("speaker"), "text"))
 
 
+TRANSCRIPT_SQL = """with recursive l as (select conv_id, turn * 15000 as s, turn * 15000 + 14000 as e, row_number() over (partition by conv_id order by turn) as n,
+  '[' || lpad((turn * 15 // 3600)::varchar, 2, '0') || ':' || lpad((turn * 15 // 60 % 60)::varchar, 2, '0') || ':' || lpad((turn * 15 % 60)::varchar, 2, '0') || '] ' || coalesce(role || ': ', '') || trim(text) as line from conversations where trim(text) <> ''),
+g as (select conv_id, n, 0 as grp, length(line) as size from l where n = 1
+union all select l.conv_id, l.n, case when size + 1 + length(line) > 2400 then grp + 1 else grp end, case when size + 1 + length(line) > 2400 then length(line) else size + 1 + length(line) end from g join l on l.conv_id = g.conv_id and l.n = g.n + 1)
+select conv_id as artifact_id, grp as "group", min(s) as start_ms, max(e) as end_ms, string_agg(line, chr(10) order by n) as content from g join l using (conv_id, n) group by conv_id, grp"""
+
+
 def evidence_join(spark, folder):
     m = messages(spark, folder).select("message_id", "channel_id", F.sha2("text", 256).alias("content_hash"), F.timestamp_add("HOUR", (F.col("message_id") % 1500).cast("int"), F.expr("timestamp_ntz'2023-12-01'")).alias("at"), (F.col("turn") == 3).alias("deleted"))
     channels = m.select("channel_id").distinct().select("channel_id", (F.col("channel_id") != "C3").alias("is_public"), (F.col("channel_id") != "C5").alias("enabled"))
@@ -442,11 +449,17 @@ select t.query, t.unit_id, case when u.unit_id is null then 'MISSING' when not i
 from t left join units u on u.unit_id = t.unit_id left join unit_embeddings e on e.unit_id = t.unit_id and e.model = 'base'"""
 
 
+def _own_targets(spark, folder):
+    """One query for every four documents."""
+    return table(spark, folder, "documents").select(F.concat(F.lit("q"), F.floor(F.col("doc_id") / 4).cast("string")).alias("query"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("unit_id"))
+
+
 def scoped_benchmark(spark, folder):
-    return evaluation.in_scope(_targets(spark, folder).where("unit_id < '00000300'"), units(spark, folder), visible("admin") & Filters().column())
+    return evaluation.in_scope(_own_targets(spark, folder), units(spark, folder), visible("admin") & Filters().column())
 
 
-SCOPED_SQL = f"""with {UNITS_SQL}, t as (select 'q' || (doc_id % 50) as query, lpad((doc_id * 3)::varchar, 8, '0') as unit_id from documents) select query from t left join units u using (unit_id) where unit_id < '00000300' group by query having bool_and(coalesce(is_current, false))"""
+SCOPED_SQL = f"""with {UNITS_SQL}, t as (select 'q' || (doc_id // 4) as query, lpad(doc_id::varchar, 8, '0') as unit_id from documents)
+select query from t left join units using (unit_id) group by query having bool_and(coalesce(is_current, false))"""
 
 
 def status_transition_check(spark, folder):
@@ -558,7 +571,7 @@ QUERIES = {
     "retry_backoff": (retry_backoff, "select distinct (o_orderkey % 9)::int as attempts, least(3600, 30 * pow(2, least(o_orderkey % 9, 7)))::int as seconds from orders"),
     "thread_parent_join": (thread_parent_join, PARENT_SQL),
     "thread_recap": (thread_recap, RECAP_SQL),
-    "transcript_groups": (transcript_groups, None),
+    "transcript_groups": (transcript_groups, TRANSCRIPT_SQL),
     "evidence_join": (evidence_join, EVIDENCE_SQL),
     "owner_recipients_join": (owner_recipients_join, RECIPIENTS_SQL),
     "ticket_history": (ticket_history, HISTORY_SQL),

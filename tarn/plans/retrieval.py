@@ -306,11 +306,11 @@ union all select 'article', page_id::varchar, url, sha256(html) from pages union
 
 def per_parent_cap(spark, folder):
     u, words, _ = _lists(spark, folder)
-    ranked = words.select("query", "unit_id", "source_parent_id", F.col("lexical_rank").alias("rank"))
+    ranked = words.select("query", "unit_id", "source_type", "source_record_id", "source_parent_id", F.col("lexical_rank").alias("rank"))
     return evaluation.parent_cap(ranked).select("query", "unit_id", "rank")
 
 
-CAP_SQL = f"""with {_LISTS}, c as (select unit_id, lexical_rank, row_number() over (partition by source_parent_id order by lexical_rank) as n from lx join units using (unit_id))
+CAP_SQL = f"""with {_LISTS}, c as (select unit_id, lexical_rank, row_number() over (partition by source_type, case when source_type = 'document' then source_record_id else source_parent_id end order by lexical_rank) as n from lx join units using (unit_id))
 select 'the and' as query, unit_id, row_number() over (order by lexical_rank)::int as rank from c where n <= 2"""
 
 
