@@ -23,15 +23,16 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return rows.where(finite).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def segments(rows: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """The index: (block, impact, dim, ids, values), one row a posting segment.
+def segments(rows: DataFrame, block_rows: int = 8192, block_cells: int = 1 << 21) -> DataFrame:
+    """The index: (block, impact, ids, dims, vals), all three packed arrays, one row for the postings of an impact.
 
-    Vectors are dealt into blocks of about `block_rows` by a hash of their id. In a block, the posting of a dimension is
-    cut into segments by quantised impact: eighths of the block's largest absolute component, 7 for the largest. Row
-    impact -1 holds, for each vector, its length outside the segments of each impact and above (what a proof needs).
+    Vectors are dealt into blocks by a hash of their id, `block_rows` or `block_cells` components in each at most. A
+    posting's impact is its eighth of the block's largest absolute component, 7 for the largest; its row lists the
+    postings by dimension. Row -1 is the forward file (ids, vals: the vectors), row -2 holds, for each impact and
+    vector, the length of what lies below that impact (what a proof needs).
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // max(1, min(block_rows, block_cells // max(1, size)))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
@@ -39,97 +40,93 @@ def segments(rows: DataFrame, block_rows: int = 4096) -> DataFrame:
         v = np.zeros((len(pdf), size), np.int64)
         for i, x in enumerate(pdf["v"]):
             v[i, : len(x)] = x
-        top = max(1, int(np.abs(v).max(initial=0)))
-        impact = np.minimum(np.abs(v) * LEVELS // top, LEVELS - 1)
-        block, out = int(pdf["block"].iloc[0]), []
-        rest = [np.where(impact < level, v, 0) for level in range(LEVELS)]
-        left = np.stack([np.sqrt((x.astype(float) ** 2).sum(1)) for x in rest])
-        out.append((block, -1, size, pdf["vec_id"].tolist(), left.ravel().tolist()))
+        away = np.abs(v.astype(float))
+        impact = np.minimum(away * LEVELS / max(1.0, away.max(initial=0)), LEVELS - 1).astype(np.int8)
+        left = np.stack([np.sqrt((np.where(impact < level, away, 0) ** 2).sum(1)) for level in range(LEVELS)])
+        ids, block = pdf["vec_id"].to_numpy(np.int64), int(pdf["block"].iloc[0])
+        out = [(block, -1, ids.tobytes(), b"", v.tobytes()), (block, -2, b"", b"", left.tobytes())]
         for level in range(LEVELS - 1, -1, -1):
-            for d in range(size):
-                at = np.flatnonzero((impact[:, d] == level) & (v[:, d] != 0))
-                if len(at):
-                    out.append((block, level, d, at.tolist(), v[at, d].astype(float).tolist()))
-        return pd.DataFrame(out, columns=["block", "impact", "dim", "ids", "vals"])
+            d, at = np.nonzero((impact == level).T & (v != 0).T)
+            out.append((block, level, at.astype(np.int32).tobytes(), d.astype(np.int32).tobytes(), v[at, d].tobytes()))
+        return pd.DataFrame(out, columns=["block", "impact", "ids", "dims", "vals"])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(build, "block int, impact int, dim int, ids array<long>, vals array<double>")
+    return dealt.groupBy("block").applyInPandas(build, "block int, impact int, ids binary, dims binary, vals binary")
 
 
-def _search(index: pd.DataFrame, asked: pd.DataFrame, k: int, enough: int) -> pd.DataFrame:
-    """The k best of a block for each asked query: (query_id, vec_id, score)."""
+def _search(index: pd.DataFrame, asked: pd.DataFrame, k: int, enough: int, cells: int = 1 << 22) -> pd.DataFrame:
+    """The k best of a block for each asked query: (query_id, vec_id, score). Sums are whole numbers throughout."""
     columns = ["query_id", "vec_id", "score"]
     if not len(index) or not len(asked):
         return pd.DataFrame({c: [] for c in columns})
-    head = index[index["impact"] < 0].iloc[0]
-    ids, size = np.asarray(head["ids"], np.int64), int(head["dim"])
+    packed = {row.impact: row for row in index.itertuples(index=False)}
+    ids = np.frombuffer(packed[-1].ids, np.int64)
     n = len(ids)
-    left = np.asarray(head["vals"], float).reshape(LEVELS, n)
-    q = np.zeros((len(asked), size))
-    beyond = np.array([len(x) for x in asked["v"]])
+    forward = np.frombuffer(packed[-1].vals, np.int64).reshape(n, -1)
+    left = np.frombuffer(packed[-2].vals).reshape(LEVELS, n)
+    size = forward.shape[1]
+    q = np.zeros((len(asked), size), np.int64)
     for i, x in enumerate(asked["v"]):
         q[i, : min(size, len(x))] = x[:size]
     qid = asked["vec_id"].to_numpy(np.int64)
-    dense = np.zeros((n, size))  # the forward file that rescoring reads
-    for _, d, at, vals in index.loc[index["impact"] >= 0, ["impact", "dim", "ids", "vals"]].itertuples(index=False):
-        dense[np.asarray(at, np.int64), d] = vals
-    length = np.sqrt((q**2).sum(1))
-    # postings by descending impact: sums[i, j] is what query j has gathered of vector i
-    sums = np.zeros((n, len(qid)), np.float32)
+    length = np.sqrt((q.astype(float) ** 2).sum(1))
+    most = float(np.sqrt((forward.astype(float) ** 2).sum(1)).max(initial=0)) * float(length.max(initial=0))  # no sum, nor part of one, is larger
+    if most >= 2.0**62:
+        raise ValueError("an inner product may not fit a long")
+    exact = np.float64 if most < 2.0**52 else np.int64  # doubles add whole numbers of this size without rounding
+    slack = most * 2.0**-50 + 1  # and no bound below is off by more
     own = np.searchsorted(ids, qid)
     own = np.where((own < n) & (ids[np.minimum(own, n - 1)] == qid), own, -1)
-    open_ = np.arange(len(qid))
     out = []
 
-    def settle(which, level):
-        """Rescore exactly, for these queries, every vector that may be among the k best; give back the queries with too many."""
-        rest = left[level]
-        part = sums[:, which].astype(np.float64)
-        slack = rest[:, None] * length[which] + 1e-6 * np.abs(part) + 1e-3
-        low, high = part - slack, part + slack
+    def settle(which, sums, level):
+        """Rescore, for these queries, every vector that may be among the k best; give back the queries with too many."""
+        part = sums.astype(np.float64)
         mine = own[which]
-        low[mine[mine >= 0], np.flatnonzero(mine >= 0)] = -np.inf
-        high[mine[mine >= 0], np.flatnonzero(mine >= 0)] = -np.inf
-        if n > k:
-            bar = np.partition(low, n - k, axis=0)[n - k]
-        else:
-            bar = np.full(len(which), -np.inf)
-        may = (high >= bar) & (high > -np.inf)
-        few = (may.sum(0) <= enough) | (level == 0)
+        part[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        open_ = left[level] * length[which, None] * (1 + 1e-9) + slack if level else 0.0  # how far a sum may still move
+        low = part - open_
+        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(which), -np.inf)
+        may = (part + open_ >= bar[:, None]) & (part > -np.inf)
+        few = (may.sum(1) <= enough) | (level == 0)
         for j in np.flatnonzero(few):
-            at = np.flatnonzero(may[:, j])
-            score = dense[at] @ q[which[j]]
+            at = np.flatnonzero(may[j])
+            if level == 0 and exact is np.float64 and len(at) > k:  # the sums are the scores: ties beyond the k-th are larger ids
+                above = at[part[j, at] > bar[j]]
+                at = np.concatenate((above, at[part[j, at] == bar[j]][: k - len(above)]))
+            score = forward[at] @ q[which[j]]
             best = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(best), qid[which[j]]), ids[at[best]], np.rint(score[best]).astype(np.int64)))
-        return which[~few]
-
-    for level, postings in index[index["impact"] >= 0].sort_values(["impact", "dim"], ascending=[False, True]).groupby("impact", sort=False):
-        if not len(open_):
-            break
-        weights = q[open_].astype(np.float32)
-        for d, at, vals in postings[["dim", "ids", "vals"]].itertuples(index=False):
-            at = np.asarray(at, np.int64)
-            gain = np.asarray(vals, np.float32)[:, None] * weights[:, d]
-            if len(open_) == len(qid):
-                sums[at] += gain
-            else:
-                sums[np.ix_(at, open_)] += gain
-        if level and 2 * level <= LEVELS:  # looking for a proof costs a pass over the sums
-            open_ = settle(open_, int(level))
-    if len(open_):
-        settle(open_, 0)
+            out.append((np.full(len(best), qid[which[j]]), ids[at[best]], score[best]))
+        return ~few
+
+    for first in range(0, len(qid), max(1, cells // n)):
+        which = np.arange(first, min(len(qid), first + max(1, cells // n)))
+        sums = np.zeros((len(which), n), exact)
+        for level in range(LEVELS - 1, -1, -1):
+            at, d = (np.frombuffer(getattr(packed[level], c), np.int32) for c in ("ids", "dims"))
+            if len(at):
+                segment = np.zeros((size, n), exact)
+                segment[d, at] = np.frombuffer(packed[level].vals, np.int64)
+                sums += q[which].astype(exact) @ segment
+            if level in (4, 2, 1, 0):  # looking for a proof costs a pass over the sums
+                more = settle(which, sums, level)
+                which, sums = which[more], sums[more]
+            if not len(which):
+                break
     if not out:
         return pd.DataFrame({c: [] for c in columns})
     return pd.DataFrame(dict(zip(columns, (np.concatenate(x) for x in zip(*out)))))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, block_queries: int = 1024, enough: int = 256) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, block_queries: int = 8192, enough: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id `every` divides, the k largest inner products.
 
-    Candidates are all other vectors; ties go to the smaller id; with fewer than k others, all of them. Queries are
-    dealt into blocks as the vectors are, and each pair of blocks is one task: the vectors' posting segments are added
-    up in order of falling impact, and a query stops when its bound (sum so far, give or take the product of lengths
-    not yet seen) leaves at most `enough` vectors that may be among its k best, which are then rescored exactly.
+    Candidates are all other vectors; ties go to the smaller id; with fewer than k others, all of them. A block of
+    vectors meets a block of queries in one task: posting segments are added up in order of falling impact, a segment
+    is unpacked when its turn comes, and a query stops when its bound (sum so far, give or take the product of lengths
+    not yet seen) leaves at most `enough` vectors that may be among its k best, which are then rescored. Sums and
+    scores are whole numbers and exact; a table whose products may pass 2^62 is refused. Queries are copied to every
+    block of vectors; the index is copied only where there are more than `block_queries` queries, once for each so many.
     A shorter vector counts as filled with zeros; rows repeated under one id are one vector (the largest).
     """
     rows = stored(integers(vectors, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
@@ -137,8 +134,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     query_blocks = max(1, -(-asked.count() // block_queries))
     index = stored(segments(rows, block_rows), "segments")
     blocks = 1 + (index.agg(F.max("block")).first()[0] or 0)
-    to = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part")
-    postings = index.select("*", to)
+    postings = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = postings.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(lambda a, b: _search(a, b, k, enough), "query_id long, vec_id long, score long")

@@ -201,6 +201,27 @@ def test_topk(spark, options):
     assert {tuple(r) for r in out} == plain_topk(rows, 10, 5)
 
 
+@pytest.mark.parametrize("scale", [30.0, 1e3, 1e6])
+def test_topk_scores_are_exact_at_any_scale(spark, scale):
+    rng = np.random.default_rng(7)
+    rows = [(i, (scale * rng.normal(size=32)).tolist()) for i in range(400)]
+    rows += [(i + 1000, rows[i % 7][1]) for i in range(200)]  # ties in plenty
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    out = {tuple(r) for r in topk.search(df, every=10, block_rows=90, enough=8).collect()}
+    want = set()
+    for i in (j for j in ints if j % 10 == 0):
+        best = sorted((-sum(x * y for x, y in zip(ints[i], v)), j) for j, v in ints.items() if j != i)[:5]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert out == want
+
+
+def test_topk_refuses_what_a_long_cannot_hold(spark):
+    df = spark.createDataFrame([(i, [1e9] * 4) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="may not fit a long"):
+        topk.search(df).collect()
+
+
 def test_topk_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (3, [-2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df).collect()] == [(0, 1, 3, -131072)]
