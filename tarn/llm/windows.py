@@ -47,7 +47,7 @@ def window_hashes(ids: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         length *= 2
 
 
-def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
+def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every run of `width`."""
     length = 1
     while 2 * length <= width:
@@ -61,9 +61,9 @@ def chosen(hashes: np.ndarray, width: int) -> np.ndarray:
     """Places whose hash is the smallest in some run of `width`: every run has one, and equal runs have the same."""
     if len(hashes) < width:
         return np.empty(0, np.int64)
-    least = _slide(hashes, width, np.minimum)
+    least = slide(hashes, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
+    return np.flatnonzero(slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -91,11 +91,11 @@ def owners(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     """Runs (from, to) of windows of `width` hashes and the place of the first smallest hash in each of them."""
     if len(hashes) < width:
         return (np.empty(0, np.int64),) * 3
-    least = _slide(hashes, width, np.minimum)
+    least = slide(hashes, width, np.minimum)
     a = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
     b = np.append(a[1:], len(least))
     edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
+    at = np.flatnonzero(slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
     values, of = np.unique(hashes[at], return_inverse=True)
     order = np.lexsort((at, of))
     filed, at, big = (of * len(hashes) + at)[order], at[order], len(hashes)
