@@ -1,9 +1,10 @@
 """Language-model scores: context-tree weighting over binary-decomposed bytes, beside an add-one word model.
 
-A byte is eight binary decisions, each with a context tree of its own over the four bytes before it (context bytes are
-taken in 64 classes: letters, digit, space, common marks, sixteen kinds of UTF-8 continuation). Every node holds a
-Krichevsky-Trofimov estimate; Pw = (Pe + product of the children's Pw) / 2 weighs all depths, and a text is scored with
-the mixture that the training counts leave behind.
+A byte is eight binary decisions, each with a context tree of its own over the whole bytes before it. Every node holds
+a Krichevsky-Trofimov estimate; Pw = (Pe + product of the children's Pw) / 2 weighs all depths, and a text is scored
+with the mixture that the training counts leave behind. The tree is a table of (context, byte) pairs, one row for each
+pair that occurs anywhere, worked on in buckets of contexts that end in the same two bytes; only its top, the nodes of
+the nearest byte, comes together, and that has 256 rows at most.
 """
 
 from __future__ import annotations
@@ -18,36 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DEPTH, CLASS_BITS = 4, 6
-END = b"\xff"  # closes a text; never part of UTF-8
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 38, np.uint32)
-    out[:32] = 39
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = 1 + i
-    out[ord("0") : ord("9") + 1] = 27
-    for i, marks in enumerate((" \t", "\n\r", ".", ",", "!", "?", "-", "'\"", "|", "()[]{}")):
-        for c in marks:
-            out[ord(c)] = 28 + i
-    out[0x80:0xC0] = 48 + (np.arange(0x80, 0xC0) & 15)
-    out[0xC0:0xC4], out[0xC4:], out[0] = 40, 41, 0
-    return out
-
-
-CLASS = _classes()
+DEPTH = 5  # bytes of context
+END = 255  # closes a text; never part of UTF-8
 
 
 def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def contexts(data: np.ndarray) -> np.ndarray:
-    """The context of each byte: the classes of the four before it, the nearest in the highest bits; 0 before the start."""
-    c, out = CLASS[data], np.zeros(len(data), np.uint32)
-    for d in range(DEPTH):
-        out[d + 1 :] |= c[: max(0, len(c) - d - 1)] << np.uint32(CLASS_BITS * (DEPTH - 1 - d))
+def codes(data: bytes, depth: int = DEPTH) -> np.ndarray:
+    """A number for each byte of a text and its end: the bytes before it, the nearest highest (0 before the start), then it."""
+    b = np.append(np.frombuffer(data, np.uint8), END).astype(np.int64)
+    out = b.copy()
+    for d in range(1, depth + 1):
+        out[d:] |= b[:-d] << np.int64(8 * (depth + 1 - d))
     return out
 
 
@@ -61,6 +46,61 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - np.log(low)
 
 
+def _block(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The log of the KT estimate of a block of decisions."""
+    return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - 1.1447298858494002  # log pi
+
+
+class _Bit:
+    """One of the eight decisions for all pairs: its nodes at every depth from `top` to `depth`, children next to each other."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, k: int, depth: int, top: int):
+        byte, context = code & 255, code >> 8
+        self.node = (1 << k) | (byte >> (8 - k))
+        filed = ((byte >> (8 - k)) << (8 * depth)) | context  # what was decided before, then the context
+        self.order = np.argsort(filed, kind="stable")
+        filed, bit = filed[self.order], (byte[self.order] >> (7 - k)) & 1
+        one, zero = n[self.order] * bit, n[self.order] * (1 - bit)
+        self.starts, self.blocks, self.means, self.weighted = {}, {}, {}, {}
+        for d in range(depth, top - 1, -1):
+            at = filed >> (8 * (depth - d))
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+            n1, n0 = np.add.reduceat(one, starts), np.add.reduceat(zero, starts)
+            block = _block(n0, n1)
+            if d == depth:
+                self.weighted[d] = block
+            else:
+                product = np.add.reduceat(self.weighted[d + 1], np.searchsorted(self.starts[d + 1], starts))
+                self.weighted[d] = np.logaddexp(block, product) - np.log(2)
+            self.starts[d], self.blocks[d], self.means[d] = starts, block, (n1 + 0.5) / (n0 + n1 + 1)
+        self.bit, self.depth, self.top = bit, depth, top
+
+    def chances(self, gathered: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The chance of the bit each pair has, in the pairs' order; from what the depths above `top` have given and left."""
+        gathered, left = gathered[self.order], left[self.order]
+        for d in range(self.top, self.depth + 1):
+            times = np.diff(np.append(self.starts[d], len(self.order)))
+            stop = np.exp(self.blocks[d] - np.log(2) - self.weighted[d]) if d < self.depth else np.ones(len(times))
+            gathered = gathered + left * np.repeat(stop * self.means[d], times)
+            left = left * np.repeat(1 - stop, times)
+        out = np.empty(len(self.order))
+        out[self.order] = np.where(self.bit == 1, gathered, 1 - gathered)
+        return out
+
+
+def tops(code: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> dict[int, np.ndarray]:
+    """For each nearest byte: its 256 byte counts, then the sum over its children of log Pw at the 255 decisions."""
+    nearest = (code >> (8 * depth)).astype(np.int64)
+    names, of = np.unique(nearest, return_inverse=True)
+    out = np.zeros((len(names), 256 + 255))
+    np.add.at(out, (of, code & 255), n)
+    for k in range(8):
+        b = _Bit(code, n, k, depth, 2)
+        first = b.order[b.starts[2]]
+        np.add.at(out, (of[first], 255 + b.node[first]), b.weighted[2])
+    return dict(zip(names.tolist(), out))
+
+
 def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From byte counts (rows, 256): the log of the KT block estimate and its next-bit-is-1 chance at each of 255 decisions."""
     heap = np.zeros((len(counts), 512))
@@ -69,136 +109,86 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo = 1 << level
         heap[:, lo : 2 * lo] = heap[:, 2 * lo : 4 * lo].reshape(len(counts), lo, 2).sum(2)
     zero, one = heap[:, 2::2], heap[:, 3::2]
-    block = _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - 1.1447298858494002  # log pi
-    return block, (one + 0.5) / (zero + one + 1)
+    return _block(zero, one), (one + 0.5) / (zero + one + 1)
+
+
+def prior(sums: dict[int, np.ndarray]) -> np.ndarray:
+    """(256, 2, 256): for each nearest byte and decision, the chance that depths 0 and 1 give, and the weight they leave."""
+    names = sorted(sums)
+    rows = np.array([sums[x] for x in names]).reshape(-1, 511)
+    block, mean = _decisions(rows[:, :256])
+    weighted = np.logaddexp(block, rows[:, 256:]) - np.log(2)
+    root, root_mean = _decisions(rows[:, :256].sum(0, keepdims=True))
+    root_stop = np.exp(root - np.logaddexp(root, weighted.sum(0)))
+    out = np.zeros((256, 2, 256))
+    out[:, 0, 1:] = root_stop * root_mean + (1 - root_stop) * 0.25  # a nearest byte never seen: its node would stop half the time
+    out[:, 1, 1:] = (1 - root_stop) * 0.5
+    stop = np.exp(block - np.log(2) - weighted)
+    out[names, 0, 1:] = root_stop * root_mean + (1 - root_stop) * stop * mean
+    out[names, 1, 1:] = (1 - root_stop) * (1 - stop)
+    return out
+
 
+def logs(code: np.ndarray, n: np.ndarray, above: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 of the chance of each pair's byte after its context; `n` is how often training has the pair, 0 for never."""
+    out, nearest = np.zeros(len(code)), (code >> (8 * depth)).astype(np.int64)
+    for k in range(8):
+        b = _Bit(code, n, k, depth, 2)
+        out += np.log10(b.chances(above[nearest, 0, b.node], above[nearest, 1, b.node]))
+    return out
 
-def _group(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """All of the tree below one nearest-byte class: a row a leaf with its mixed chances, and one for the class's node.
 
-    A context seen fewer than `least` times is one with its rare siblings: a leaf named for their common parent.
-    """
-    ctx, byte, n = (pdf[c].to_numpy(np.int64) for c in ("ctx", "byte", "n"))
-    level = np.full(len(ctx), DEPTH)  # depth of the kept node each context ends in
-    for d in range(DEPTH, 1, -1):
-        prefix = ctx >> (CLASS_BITS * (DEPTH - d))
-        _, at = np.unique(prefix, return_inverse=True)
-        level = np.where(np.bincount(at, weights=n)[at] < least, d - 1, level)
-    kept = {d: np.unique((ctx >> (CLASS_BITS * (DEPTH - d)))[level >= d]) for d in range(1, DEPTH)}
-    shift = CLASS_BITS * (DEPTH - level)
-    leaf = (level << 24) | ((ctx >> shift) << shift)
-    rest = [(d << 24) | (kept[d] << (CLASS_BITS * (DEPTH - d))) for d in kept]  # every inner node has one, seen or not
-    names = np.unique(np.concatenate([leaf, *rest]))
-    counts = np.zeros((len(names), 256))
-    np.add.at(counts, (np.searchsorted(names, leaf), byte), n)
-    depth, path = names >> 24, names & ((1 << 24) - 1)
-
-    weighted, chance = _decisions(counts)  # of the leaves
-    below, tops, stops, means = {}, {}, {}, {}
-    for d in range(DEPTH - 1, 0, -1):
-        node = kept[d]
-        mine = (depth == d) | ((depth == DEPTH) & (d == DEPTH - 1))
-        at = np.searchsorted(node, path[mine] >> (CLASS_BITS * (DEPTH - d)))
-        total, product = np.zeros((len(node), 256)), np.zeros((len(node), 255))
-        np.add.at(total, at, counts[mine])
-        np.add.at(product, at, weighted[mine])
-        if d + 1 in below:
-            at = np.searchsorted(node, kept[d + 1] >> CLASS_BITS)
-            np.add.at(total, at, below[d + 1])
-            np.add.at(product, at, tops[d + 1])
-        block, mean = _decisions(total)
-        tops[d] = np.logaddexp(block, product) - np.log(2)
-        stops[d], means[d], below[d] = np.exp(block - np.log(2) - tops[d]), mean, total
-    for d in range(DEPTH - 1, 0, -1):
-        mine = depth >= d
-        at = np.searchsorted(kept[d], path[mine] >> (CLASS_BITS * (DEPTH - d)))
-        chance[mine] = stops[d][at] * means[d][at] + (1 - stops[d][at]) * chance[mine]
-    top = np.concatenate([below[1][0], tops[1][0]])
-    rows = [(int(k), v.tobytes()) for k, v in zip(names, chance.astype(np.float32))]
-    return pd.DataFrame([*rows, (-1, top.tobytes())], columns=["leaf", "data"])
-
-
-class Model:
-    """log10 chances of each byte in each kept context; its size follows the number of contexts kept."""
-
-    def __init__(self, leaves: np.ndarray, chances: np.ndarray, tops: np.ndarray):
-        total, product = tops[:, :256].sum(0), tops[:, 256:].sum(0)
-        block, mean = _decisions(total[None])
-        stop = np.exp(block[0] - np.logaddexp(block[0], product))
-        self.leaves, self.rows = leaves, np.zeros((len(leaves) + 1, 256), np.float32)
-        for a in range(0, len(leaves) + 1, 2048):
-            part = chances[a : a + 2048]
-            if a + 2048 > len(leaves):  # the last row: a nearest byte never seen
-                part = np.concatenate([part, np.full((1, 255), 0.5)])
-            one = stop * mean[0] + (1 - stop) * part
-            logs = np.zeros((len(part), 256))
-            for b in range(8):
-                bits = np.arange(256) >> (7 - b)
-                node = (1 << b) + (np.arange(256) >> (8 - b)) - 1
-                logs += np.log10(np.where(bits & 1, one[:, node], 1 - one[:, node]))
-            self.rows[a : a + 2048] = logs
-        self._index = None
-
-    def __getstate__(self):
-        return {"leaves": self.leaves, "rows": self.rows, "_index": None}
-
-    @property
-    def index(self) -> np.ndarray:
-        """Context -> row, for every possible context."""
-        if self._index is None:
-            self._index = np.full(1 << (CLASS_BITS * DEPTH), len(self.leaves), np.int32)
-            for d in range(1, DEPTH + 1):
-                at = np.flatnonzero(self.leaves >> 24 == d)
-                free = CLASS_BITS * (DEPTH - d)
-                self._index.reshape(-1, 1 << free)[(self.leaves[at] & ((1 << 24) - 1)) >> free] = at[:, None]
-        return self._index
-
-    def score(self, data: bytes) -> float:
-        """log10 probability of a lower-cased text, its end included."""
-        b = np.frombuffer(data + END, np.uint8)
-        return float(self.rows[self.index[contexts(b)], b].sum(dtype=np.float64))
-
-
-def fit(train: DataFrame, text_col: str = "text", most_contexts: int = 1 << 14) -> Model:
-    """The model of all of `train`. Counts cover every byte; contexts seen too rarely to be among the `most_contexts`
-    most frequent nodes share one leaf with their rare siblings, so the model's size is fixed however large the input."""
+def pairs(rows: DataFrame, text_col: str = "text", train_col: str = "train", depth: int = DEPTH) -> DataFrame:
+    """(code, n, everywhere): every (context, byte) of all texts, how often training has it and how often all have it."""
 
     def count(batches):
         for batch in batches:
             parts, size = [], 0
-            for text in batch.column(0).to_pylist():
-                b = np.frombuffer(lowered(text) + END, np.uint8)
-                parts.append((contexts(b) << np.uint32(8)) | b)
-                size += len(b)
-                if size > 1 << 21:
-                    yield from summed(parts)
+            for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.append((codes(lowered(text), depth) << np.int64(1)) | np.int64(train))
+                size += len(parts[-1])
+                if size > 1 << 22:
+                    yield summed(parts)
                     parts, size = [], 0
-            yield from summed(parts)
+            if parts:
+                yield summed(parts)
 
     def summed(parts):
-        if parts:
-            code, n = np.unique(np.concatenate(parts), return_counts=True)
-            code = code.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code >> 8), pa.array(code & 255), pa.array(n)], ["ctx", "byte", "n"])
-
-    counts = train.select(F.col(text_col).cast("string")).mapInArrow(count, "ctx long, byte long, n long")
-    counts = stored(counts.groupBy("ctx", "byte").agg(F.sum("n").alias("n")), "contexts")
-    nodes = counts.groupBy("ctx").agg(F.sum("n").alias("n"))
-    sizes = None
-    for d in range(1, DEPTH + 1):
-        at = nodes.groupBy(F.shiftright("ctx", CLASS_BITS * (DEPTH - d)).alias("node")).agg(F.sum("n").alias("n"))
-        at = at.groupBy(F.floor(F.log2("n") * 4).alias("q")).agg(F.count("*").alias("nodes"))
-        sizes = at if sizes is None else sizes.unionByName(at)
-    sizes = sizes.groupBy("q").agg(F.sum("nodes").alias("nodes")).toPandas().sort_values("q", ascending=False)
-    fits = sizes[sizes["nodes"].cumsum() <= most_contexts]
-    least = int(np.ceil(2 ** (fits["q"].min() / 4))) if len(fits) else 1 << 62
-    nearest = F.shiftright("ctx", CLASS_BITS * (DEPTH - 1)).alias("nearest")
-    rows = counts.groupBy(nearest).applyInPandas(lambda pdf: _group(pdf, least), "leaf long, data binary").toPandas()
-    top = rows["leaf"] < 0
-    tops = np.array([np.frombuffer(x) for x in rows["data"][top]]).reshape(-1, 511)
-    leaves = rows["leaf"][~top].to_numpy(np.int64)
-    chances = np.array([np.frombuffer(x, np.float32) for x in rows["data"][~top]]).reshape(-1, 255)
-    return Model(leaves, chances, tops)
+        code, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code >> 1), pa.array(np.where(code & 1, n, 0)), pa.array(n)], ["code", "n", "everywhere"])
+
+    counts = rows.select(F.col(text_col).cast("string"), train_col).mapInArrow(count, "code long, n long, everywhere long")
+    return counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
+
+
+def fit(rows: DataFrame, text_col: str = "text", train_col: str = "train", depth: int = DEPTH, bucket_pairs: int = 1 << 19) -> DataFrame:
+    """(code, log10p, everywhere): the log10 chance of every (context, byte) that any text has, learnt from training texts.
+
+    Nothing is left out or merged, so the tree grows with the input. Pairs are worked on in buckets of about
+    `bucket_pairs`, whole two-byte contexts in each; what the buckets know of the 256 nearest bytes is summed in
+    between and goes back to all of them.
+    """
+    counted = stored(pairs(rows, text_col, train_col, depth), "pairs")
+    buckets = max(1, -(-counted.count() // bucket_pairs))
+    two = F.shiftright("code", 8 * (depth - 1))
+    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64(two), F.lit(buckets)).cast("int"))
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = tops(pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), depth)
+        return pd.DataFrame([(k, v.tobytes()) for k, v in found.items()], columns=["nearest", "sums"])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["sums"])
+        return pd.DataFrame({"nearest": pdf["nearest"].iloc[:1], "sums": [total.tobytes()]})
+
+    sums = dealt.groupBy("bucket").applyInPandas(top, "nearest int, sums binary").groupBy("nearest").applyInPandas(together, "nearest int, sums binary")
+    above = rows.sparkSession.sparkContext.broadcast(prior({r.nearest: np.frombuffer(r.sums) for r in sums.collect()}))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = logs(pdf["code"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), above.value, depth)
+        return pd.DataFrame({"code": pdf["code"], "log10p": found.astype(np.float32), "everywhere": pdf["everywhere"]})
+
+    return stored(dealt.groupBy("bucket").applyInPandas(score, "code long, log10p float, everywhere long"), "tree")
 
 
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -227,51 +217,98 @@ def in_training(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_common: int = 1 << 17) -> DataFrame:
+def _frequent(counts: DataFrame, column: str, most: int, steps: int = 8) -> tuple[Column, DataFrame]:
+    """The condition for the most frequent rows, at most `most` of them, and these rows; by eighths of a power of two."""
+    power = F.floor(F.log2(column) * steps)
+    sizes = counts.groupBy(power.alias("q")).agg(F.count("*").alias("rows")).toPandas().sort_values("q", ascending=False)
+    fits = sizes[sizes["rows"].cumsum() <= most]
+    common = power >= (int(fits["q"].min()) if len(fits) else 1 << 40)
+    return common, counts.where(common)
+
+
+class _Table:
+    """Code -> log10 chance for the frequent pairs, as two sorted arrays."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray):
+        order = np.argsort(code)
+        self.code, self.value = code[order], value[order]
+
+    def look_up(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, 0 where there is none, and whether there is one. Asked in order, for the cache's sake."""
+        order = np.argsort(asked)
+        at = np.minimum(np.searchsorted(self.code, asked[order]), max(0, len(self.code) - 1))
+        found, value = np.zeros(len(asked), bool), np.zeros(len(asked))
+        if len(self.code):
+            found[order] = self.code[at] == asked[order]
+            value[order] = self.value[at]
+        return np.where(found, value, 0.0), found
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_common: int = 1 << 17, most_pairs: int = 1 << 22, depth: int = DEPTH) -> DataFrame:
     """A row a document: held_out, n_tokens, n_known, train_tokens, base_score and the model's score (log10).
 
-    Both models read the text with A-Z lower-cased; a null text counts as empty (one end token). The counts of at most
-    `most_common` frequent words go to every executor; rarer words are looked up by a join, in all documents. Repeated
-    rows give repeated results and, in training, count as often as they occur.
+    Both models read the whole text, however long, with A-Z lower-cased; a null text counts as empty (one end token).
+    The counts of at most `most_common` frequent words and the chances of at most `most_pairs` frequent (context, byte)
+    pairs, 12 bytes each, go to every executor; rarer ones are looked up by a join, in all documents. Repeated rows
+    give repeated results and, in training, count as often as they occur. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = rows.where(in_training("doc_id"))
-    model = spark.sparkContext.broadcast(fit(train))
+    rows = rows.withColumn("train", in_training("doc_id"))
+    train = rows.where("train")
+    tree = fit(rows, depth=depth)
+    near, frequent = _frequent(tree, "everywhere", most_pairs)
+    frequent = frequent.select("code", "log10p").toPandas()
+    model = spark.sparkContext.broadcast(_Table(frequent["code"].to_numpy(np.int64), frequent["log10p"].to_numpy(np.float32)))
+    del frequent
     counts = stored(word_counts(train), "words")
     all_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     n_train, distinct = all_words.n + ends, all_words.v + (ends > 0)
-    sizes = counts.groupBy(F.floor(F.log2("c") * 8).alias("q")).agg(F.count("*").alias("words")).toPandas().sort_values("q", ascending=False)
-    fits = sizes[sizes["words"].cumsum() <= most_common]
-    common = F.floor(F.log2("c") * 8) >= (int(fits["q"].min()) if len(fits) else 1 << 40)
-    frequent = counts.where(common).toPandas()
+    common, frequent = _frequent(counts, "c", most_common)
+    frequent = frequent.toPandas()
     known = spark.sparkContext.broadcast(dict(zip(frequent["word"].map(bytes), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
 
     def score(batches):
-        logs, lm = known.value, model.value
+        words_, table = known.value, model.value
         end = float(np.log10(ends + 1.0))
+        types = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("far", pa.list_(pa.int64()))]
+
+        def settle(held):
+            out = {k: [] for k, _ in types}
+            code = [codes(data, depth) for _, data in held]
+            cuts = np.cumsum([0, *map(len, code)])
+            code = np.concatenate(code)
+            value, found = table.look_up(code)
+            for i, (doc_id, data) in enumerate(held):
+                a, b = cuts[i], cuts[i + 1]
+                split = data.split()
+                logs_ = [words_.get(w) for w in split]
+                rare = [w for w, x in zip(split, logs_) if x is None]
+                row = (doc_id, len(split) + 1, len(split) - len(rare) + (ends > 0), sum(x for x in logs_ if x is not None) + end, float(value[a:b].sum()), rare, code[a:b][~found[a:b]])
+                for (k, _), x in zip(types, row):
+                    out[k].append(x)
+            return pa.RecordBatch.from_pydict(out, schema=pa.schema(types))
+
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "logs", "score", "rare")}
-            for text in batch.column(1).to_pylist():
-                data = lowered(text)
-                words = data.split()
-                found = [logs.get(w) for w in words]
-                rare = [w for w, x in zip(words, found) if x is None]
-                out["rare"].append(rare)
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(len(words) - len(rare) + (ends > 0))
-                out["logs"].append(sum(x for x in found if x is not None) + end)
-                out["score"].append(lm.score(data))
-            out["doc_id"] = batch.column(0)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))]))
-
-    first = rows.mapInArrow(score, "doc_id long, n_tokens long, n_known long, logs double, score double, rare array<binary>")
+            held, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, lowered(text)))
+                size += len(held[-1][1])
+                if size > 1 << 20:
+                    yield settle(held)
+                    held, size = [], 0
+            if held:
+                yield settle(held)
+
+    first = rows.select("doc_id", "text").mapInArrow(score, "doc_id long, n_tokens long, n_known long, logs double, score double, rare array<binary>, far array<long>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = first.select("row", F.explode("rare").alias("word")).join(counts.where(~common), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"))
+    far = first.select("row", F.explode("far").alias("code")).join(tree.where(~near).select("code", "log10p"), "code")
+    far = far.groupBy("row").agg(F.sum(F.col("log10p").cast("double")).alias("beyond"))
     total = float(np.log10(n_train + distinct + 1.0))
-    out = first.drop("rare").join(rare, "row", "left")
+    out = first.drop("rare", "far").join(rare, "row", "left").join(far, "row", "left")
     return out.select(
         "doc_id",
         (~in_training("doc_id")).alias("held_out"),
@@ -279,5 +316,5 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("beyond", F.lit(0.0))).alias("score"),
     )

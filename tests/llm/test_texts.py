@@ -178,21 +178,21 @@ def test_base_scores(spark):
             assert r.score < 0
 
 
-def plain_ctw(texts, data):
+def plain_ctw(texts, data, depth):
     """log2 probability of the decisions of `data` by the recursive definition, counts frozen."""
     counts = defaultdict(lambda: [0, 0])
 
     def decisions(text):
-        b = text + ctw.END
-        c = [0] * 4 + [int(x) for x in ctw.CLASS[np.frombuffer(b, np.uint8)]]
+        b = text + bytes([ctw.END])
+        c = bytes(depth) + b
         for i, byte in enumerate(b):
-            near = tuple(c[i + 3 - d] for d in range(4))
+            near = tuple(c[i + depth - 1 - d] for d in range(depth))
             for k in range(8):
                 yield (1 << k) | (byte >> (8 - k)), near, byte >> (7 - k) & 1
 
     for t in texts:
         for node, near, bit in decisions(t):
-            for d in range(5):
+            for d in range(depth + 1):
                 counts[node, near[:d]][bit] += 1
     kids = defaultdict(set)
     for node, path in counts:
@@ -204,17 +204,17 @@ def plain_ctw(texts, data):
     def weighted(node, path):
         if (node, path) not in memo:
             e = kt(counts[node, path])
-            memo[node, path] = e if len(path) == 4 else np.logaddexp(e, sum(weighted(node, p) for p in kids[node, path])) - math.log(2)
+            memo[node, path] = e if len(path) == depth else np.logaddexp(e, sum(weighted(node, p) for p in kids[node, path])) - math.log(2)
         return memo[node, path]
 
     total = 0.0
     for node, near, bit in decisions(data):
         p = None
-        for d in range(4, -1, -1):
+        for d in range(depth, -1, -1):
             path = near[:d]
             n = counts.get((node, path), [0, 0])
             one = (n[1] + 0.5) / (sum(n) + 1)
-            if d == 4:
+            if d == depth:
                 p = one
             else:
                 stop = math.exp(kt(n) - math.log(2) - weighted(node, path)) if (node, path) in counts else 0.5
@@ -223,21 +223,35 @@ def plain_ctw(texts, data):
     return total
 
 
-def test_tree_weights_are_the_recursion(spark):
+@pytest.mark.parametrize("most,bucket", [(1 << 22, 1 << 19), (40, 60)])
+def test_tree_weights_are_the_recursion(spark, most, bucket, monkeypatch):
+    """All pairs with the executors, or nearly all by the join, in one bucket or many: the same scores."""
+    whole = ctw.fit
+    monkeypatch.setattr(ctw, "fit", lambda rows, **o: whole(rows, bucket_pairs=bucket, **o))
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abca bc.") for _ in range(40)) for _ in range(6)]
-    model = ctw.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    for t in (*texts, "abc abz é", ""):
-        want = plain_ctw([x.encode() for x in texts], t.encode()) * math.log10(2)
-        assert math.isclose(model.score(t.encode()), want, rel_tol=2e-5)
-
-
-def test_model_is_a_distribution_whatever_is_kept(spark):
-    train = spark.createDataFrame([("the cat sat on the mat. " * 5,), ("a dog ran",)], "text string")
-    for most in (1, 70, 1 << 14):
-        model = ctw.fit(train, most_contexts=most)
-        assert np.allclose((10.0**model.rows).sum(1), 1, atol=1e-4)
-    assert ctw.fit(train).score(b"the cat sat") > ctw.fit(train, most_contexts=1).score(b"the cat sat")
+    rows = [(i, "".join(rng.choice("Abca bc.é") for _ in range(rng.randint(0, 40)))) for i in range(14)] + [(900, None), (901, ""), (None, "abc"), (20, "zzz ü"), (20, "zzz ü")]
+    out = ctw.scored(frame(spark, rows), most_pairs=most, depth=3).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [(t or "").encode().lower() for i, t in rows if not held(i)]
+    want = Counter((i, round(plain_ctw(train, (t or "").encode().lower(), 3) * math.log10(2), 3)) for i, t in rows)
+    assert any(r.held_out for r in out) and Counter((r.doc_id, round(r.score, 3)) for r in out) == want
+
+
+def test_chances_of_all_bytes_sum_to_one():
+    text = ctw.codes(b"the cat sat on the mat. " * 5)
+    seen, n = np.unique(text, return_counts=True)
+    for context in (seen[3] >> 8, seen[20] >> 8, 0x7A7A7A7A7A, 0x6174000000):
+        code = np.unique(np.concatenate((seen, (context << 8) | np.arange(256))))
+        count = np.zeros(len(code), np.int64)
+        count[np.searchsorted(code, seen)] = n
+        found = ctw.logs(code, count, ctw.prior(ctw.tops(code, count)))
+        assert math.isclose((10 ** found[(code >> 8) == context]).sum(), 1, rel_tol=1e-9)
+
+
+def test_the_tree_beats_the_words_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = ctw.scored(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
 
 
 def test_scoring_nothing(spark):
