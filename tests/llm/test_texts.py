@@ -249,7 +249,7 @@ def test_chances_of_all_bytes_sum_to_one():
 
 
 def test_the_tree_beats_the_words_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     out = ctw.scored(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert out["sum(score)"] > out["sum(base_score)"]
 
