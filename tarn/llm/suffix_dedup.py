@@ -1,83 +1,168 @@
-"""Suffix-array dedup: byte strings that stand twice anywhere in the corpus, by induced sorting of shards in memory."""
+"""Suffix-array dedup: byte strings that stand twice anywhere in the corpus, by external induced sorting of shards."""
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .suffixes import common_prefixes, suffix_array
-from .windows import byte_window_hashes, owners
+from .suffixes import Scratch, suffix_array, wanted_only
+from .windows import byte_window_hashes, chosen, mixed, slide
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 ANCHOR = 64  # bytes
+MOST_STARTS = 4096  # strings in a snippet
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def _anchored(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of `size` bytes of `data`, as runs of starts (from, to) with the hash of the anchor each run shares.
+class _Anchored:
+    """All strings of `size` bytes of `data`, as runs of starts (a, b) that share an anchor, with the anchor's hash.
 
-    A string's anchor is the first of its 64-byte windows with the smallest hash, so equal strings have equal anchors
-    in the same place.
+    A string's anchor is the smallest hash of its 64-byte windows, so equal strings have equal anchors; each level
+    hashes the windows anew. `anchors` and `met` say at how many places a text has each; only a run whose anchor the
+    text has twice (`own`) can hold the same string twice itself.
     """
-    h = byte_window_hashes(data, ANCHOR)
-    a, b, place = owners(h, size - ANCHOR + 1)
-    return a, b, h[place].view(np.int64)
-
-
-def _repeats(pdf: pd.DataFrame, size: int, batch: int, most_bytes: int) -> pd.DataFrame:
-    """Of one shard's snippets: which of their starts begin a string that begins elsewhere in the shard too."""
-    many = pdf["anchor"].map(pdf["anchor"].value_counts()).to_numpy() > 1
-    pdf = pdf[many].sort_values(["anchor", "digest"], ignore_index=True)
-    if not len(pdf):
-        return pd.DataFrame({"anchor": [], "digest": [], "runs": []})
-    pieces = list(pdf["piece"])
-    data = np.frombuffer(b"\0".join(pieces), np.uint8)
-    t = data.astype(np.int64) + 1
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.cumsum(sizes + 1) - 1
-    t[ends[:-1]] = 0
-    starts = ends - sizes
-    order = suffix_array(t, batch, most_bytes)
-    snippet = np.searchsorted(ends, order)
-    order = order[order - starts[snippet] < pdf["n"].to_numpy()[snippet]]
-    same = common_prefixes(data, order, size) >= size
-    twice = same | np.append(same[1:], False)
-    found = np.sort(order[twice])
-    snippet = np.searchsorted(ends, found)
-    found = found - starts[snippet]
-    fresh = np.concatenate(([True], (np.diff(snippet) != 0) | (np.diff(found) != 1))) if len(found) else np.empty(0, bool)
-    a, of = found[fresh], snippet[fresh]
-    b = found[np.append(fresh[1:], True)] + 1 if len(found) else found
-    runs = pd.DataFrame({"of": of, "a": a, "b": b}).groupby("of")[["a", "b"]].apply(lambda x: x.to_numpy(np.int32).ravel().tolist())
-    keys = pdf.loc[runs.index]
-    return pd.DataFrame({"anchor": keys["anchor"].to_numpy(), "digest": keys["digest"].to_numpy(), "runs": list(runs)})
-
-
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, shard_bytes: int = 2 << 20, most_alike: int = 1 << 14, batch: int = 1 << 18, most_bytes: int = 1 << 26) -> DataFrame:
+
+    def __init__(self, data: bytes, size: int, level: int = 0):
+        h = byte_window_hashes(data, ANCHOR)
+        if level:
+            h = mixed(h + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+        width = size - ANCHOR + 1
+        least = slide(h, width, np.minimum)
+        a = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
+        b = np.append(a[1:], len(least))
+        if (long := np.flatnonzero(b - a > MOST_STARTS)).size:
+            a = np.unique(np.concatenate([a, *(np.arange(a[i], b[i], MOST_STARTS) for i in long)]))
+            b = np.append(a[1:], len(least))
+        self.a, self.b, h_of = a, b, least[a]
+        anchors, self.met = np.unique(h[chosen(h, width)], return_counts=True)
+        self.own = np.isin(h_of, anchors[self.met > 1])
+        self.anchors, self.of = anchors.view(np.int64), h_of.view(np.int64)
+
+
+class _Shard:
+    """The pieces of one shard as they come in: bytes to a file, places and keys in memory (a sixteenth of the bytes)."""
+
+    def __init__(self, folder: str):
+        self.file = tempfile.TemporaryFile(dir=folder)
+        self.sizes, self.rows = [], []
+
+    def add(self, piece: bytes, row: tuple) -> None:
+        self.file.write(piece + b"\0")
+        self.sizes.append(len(piece))
+        self.rows.append(row)
+
+    def symbols(self, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' bytes plus one, 0 behind each piece, and where the pieces end."""
+        sizes = np.array(self.sizes, np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        t = scratch.array(int(ends[-1]) + 1, np.int32)
+        self.file.seek(0)
+        for a, b in scratch.steps(len(t)):
+            t[a:b] = np.frombuffer(self.file.read(b - a), np.uint8).astype(np.int32) + 1
+        self.file.close()
+        for a, b in scratch.steps(len(ends)):
+            t[ends[a:b]] = 0
+        return t, ends
+
+    def repeats(self, size: int, batch: int, most_bytes: int, folder: str) -> Iterator[tuple[tuple, list[int]]]:
+        """Of each piece, the runs of starts (from, to, from, to, ...) of strings that the shard has twice."""
+        scratch = Scratch(folder, batch, most_bytes)
+        t, ends = self.symbols(scratch)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        order, prefixes = suffix_array(t, size, batch, most_bytes, folder)
+        many = np.array([r[-1] for r in self.rows], np.int64)  # strings that start in each piece
+
+        def is_start(pos):
+            piece = np.searchsorted(ends, pos)
+            return pos - starts[piece] < many[piece]
+
+        twice, before = scratch.array(len(t), bool), None
+        for pos, shared in wanted_only(order, prefixes, is_start, scratch):
+            same = shared >= size
+            twice[pos[same]] = True
+            twice[pos[:-1][same[1:]]] = True
+            if same[0] and before is not None:
+                twice[before] = True
+            before = int(pos[-1])
+        for row, a, n in zip(self.rows, starts.tolist(), many.tolist()):
+            found = np.flatnonzero(np.diff(np.concatenate(([0], np.asarray(twice[a : a + n]).astype(np.int8), [0]))))
+            if len(found):
+                yield row, found.tolist()
+
+
+def _sorted_shards(size: int, batch: int, most_bytes: int):
+    """mapInArrow over rows in order of shard: (anchor, digest, runs) of the pieces that hold a repeated string."""
+    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("runs", pa.list_(pa.int32()))])
+
+    def finished(shard: _Shard, folder: str):
+        out = [(r[0], r[1], [x + r[2] for x in found]) for r, found in shard.repeats(size, batch, most_bytes, folder)]
+        return pa.RecordBatch.from_pydict({f.name: [r[i] for r in out] for i, f in enumerate(schema)}, schema=schema)
+
+    def run(batches):
+        with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:  # the task's own scratch, nothing others read
+            now, shard = None, None
+            for rows in batches:
+                for number, anchor, digest, at, n, piece in zip(*(rows.column(c).to_pylist() for c in ("shard", "anchor", "digest", "from", "n", "piece"))):
+                    if number != now:
+                        if shard:
+                            yield finished(shard, folder)
+                        now, shard = number, _Shard(folder)
+                    shard.add(piece, (anchor, digest, at, n))
+            if shard:
+                yield finished(shard, folder)
+
+    return run
+
+
+def _finer(size: int, level: int):
+    """mapInArrow: pieces of crowded anchors cut again, at the anchors of another level; a key is the way there."""
+
+    def run(batches):
+        for rows in batches:
+            out = {f.name: [] for f in PIECES}
+            for key, anchor, digest, at, piece in zip(*(rows.column(c).to_pylist() for c in ("key", "anchor", "digest", "from", "piece"))):
+                x = _Anchored(piece, size, level)
+                keys = mixed(x.of.view(np.uint64) + np.int64(key).view(np.uint64)).view(np.int64)
+                for a, b, k, own in zip(x.a.tolist(), x.b.tolist(), keys.tolist(), x.own.tolist()):
+                    for name, value in zip(out, (k, anchor, digest, at + a, b - a, own, piece[a : b - 1 + size])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=PIECES)
+
+    return run
+
+
+PIECES = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("digest", pa.int64()), ("from", pa.int32()), ("n", pa.int32()), ("own", pa.bool_()), ("piece", pa.binary())])
+PIECES_DDL = "key long, anchor long, digest long, from int, n int, own boolean, piece binary"
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, shard_bytes: int = 8 << 20, most_alike: int = 1 << 13, levels: int = 8, batch: int = 1 << 18, most_bytes: int = 1 << 22) -> DataFrame:
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, without bytes of strings that stand twice.
 
     1. Copies of a whole text lose all of it if `size` bytes long; one of them stands for the rest from here on.
-    2. Every string of `size` bytes has an anchor (see _anchored). Strings whose anchor is met once in the corpus go.
+    2. Every string of `size` bytes has an anchor (see _Anchored). Strings whose anchor is met once in the corpus go.
     3. Neighbouring strings with one anchor make a snippet; equal snippets are counted by digest and what is in two
        places is repeated. Only anchors with different snippets are left: one copy of each snippet goes to its
-       anchor's shard, whose suffix array (induced sorting) and common prefixes name the repeated strings. A shard
-       holds about `shard_bytes` and is sorted in memory; its queue goes to files only above `most_bytes`, at eight
-       bytes a suffix, which by default takes a shard of over 8 MB: a safety net, not the usual way.
-       An anchor with over `most_alike` different snippets is in no shard, its
-       strings are counted by 128-bit digests instead (equally exact, and nothing meets in one task).
-
-    Null texts are empty. Repeated rows are copies, as any equal texts. A row without an id takes no part: it loses
-    nothing and removes nothing. Two texts under one id are two documents.
+       anchor's shard, whose suffix array and common prefixes, from external induced sorting, name the repeated
+       strings. A shard of `shard_bytes` takes some thirty times that in tuples and arrays, which are on disk beyond
+       `most_bytes` each; a shard can be as large as the disk holds.
+    4. The snippets of an anchor with over `most_alike` of them are first cut again at the anchors of another hash,
+       level by level, which tells the strings of one common passage apart by what surrounds it; what is alone then
+       goes. After `levels` what is still crowded is sorted as one shard.
+
+    Null texts are empty. Very long texts and long runs of one byte are cut into snippets like any other. Repeated rows
+    are copies, as any equal texts. A row without an id takes no part: it loses nothing and removes nothing. Two texts
+    under one id are two documents. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -90,20 +175,20 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 out["sha"].append(hashlib.sha256(data).hexdigest())
                 anchors = None
                 if len(data) >= size:
-                    a, _, h = _anchored(data, size)
-                    anchors, n = np.unique(h, return_counts=True)
-                    anchors = np.repeat(anchors, np.minimum(n, 2))
+                    x = _Anchored(data, size)
+                    anchors = np.repeat(x.anchors, np.minimum(x.met, 2))
                 out["anchors"].append(anchors)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))]))
 
     all_docs = stored(rows.mapInArrow(summary, "doc_id long, n_bytes long, sha string, anchors array<long>"), "summaries")
     long_enough = all_docs.where(F.col("anchors").isNotNull() & F.col("doc_id").isNotNull())
-    firsts = long_enough.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    ours = long_enough.join(firsts, "sha").where("doc_id = first").dropDuplicates(["doc_id", "sha"])
+    firsts = stored(long_enough.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
+    # joined by the id as well, so copies by the thousand are no single key
+    ours = long_enough.join(firsts.select("sha", F.col("first").alias("doc_id")), ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"])
     anchors = stored(ours.select("doc_id", "sha", F.explode("anchors").alias("anchor")), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     candidates = anchors.join(often, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors"))
-    texts = stored(rows.join(candidates.hint("shuffle_hash"), "doc_id"), "candidates")
+    texts = stored(rows.join(candidates, "doc_id"), "candidates")
 
     def own(doc_id, text, sha):
         """The bytes of a text, unless it is another one under the same id."""
@@ -116,26 +201,27 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             for doc_id, text, sha, kept in zip(*(batch_.column(i).to_pylist() for i in range(3)), batch_.column(3)):
                 if (data := own(doc_id, text, sha)) is None:
                     continue
-                a, b, h = _anchored(data, size)
-                here = np.isin(h, kept.values.to_numpy())
-                a, b, h = a[here], b[here], h[here]
+                x = _Anchored(data, size)
+                here = np.isin(x.of, kept.values.to_numpy())
+                a, b, h, twice = x.a[here], x.b[here], x.of[here], x.own[here]
                 digests = [xxhash.xxh3_64_intdigest(data[x : y - 1 + size]) for x, y in zip(a.tolist(), b.tolist())]
                 n = len(a)
-                parts.append((h, np.array(digests, np.uint64).view(np.int64), np.full(n, doc_id, np.int64), np.full(n, int(sha[:15], 16), np.int64), a.astype(np.int32), (b - a).astype(np.int32)))
+                parts.append((h, np.array(digests, np.uint64).view(np.int64), np.full(n, doc_id, np.int64), np.full(n, int(sha[:15], 16), np.int64), a.astype(np.int32), (b - a).astype(np.int32), twice))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "digest", "doc_id", "key", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "digest", "doc_id", "key", "start", "n", "own"])
 
-    places = texts.select("doc_id", "text", "sha", "anchors").mapInArrow(snippets, "anchor long, digest long, doc_id long, key long, start int, n int")
+    places = texts.select("doc_id", "text", "sha", "anchors").mapInArrow(snippets, "anchor long, digest long, doc_id long, key long, start int, n int, own boolean")
     places = stored(places.dropDuplicates(["doc_id", "key", "start"]), "places")
-    distinct = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n")).alias("at"))
+    distinct = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start", "n", "own")).alias("at"))
     distinct = stored(distinct.select("anchor", "digest", "copies", "at.*"), "snippets")
-    alike = distinct.groupBy("anchor").agg(F.count("*").alias("alike"), F.min("copies").alias("fewest")).where("alike > 1 and fewest = 1").drop("fewest")
-    mixed = distinct.join(alike, "anchor")
-    wanted = mixed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "alike")).alias("wanted"))
+    alike = distinct.groupBy("anchor").agg(F.count("*").alias("alike"), F.min("copies").alias("fewest"), F.bool_or(F.col("own") & (F.col("copies") == 1)).alias("inner"))
+    alike = stored(alike.where("alike > 1 and fewest = 1 or inner").select("anchor", "alike"), "alike")
+    mixed_ = distinct.join(alike, "anchor")
+    wanted = mixed_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "own", "alike")).alias("wanted"))
 
     def pieces(batches):
-        names = ("anchor", "digest", "n", "alike", "piece")
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        names = ("anchor", "digest", "n", "own", "alike", "piece")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
 
         def gathered(parts, out):
             columns = [np.concatenate(x) for x in zip(*parts)]
@@ -144,7 +230,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         for batch_ in batches:
             parts, out, size_ = [], [], 0
             offsets, fields = batch_.column(4).offsets.to_numpy(), batch_.column(4).values
-            cols = [fields.field(c).to_numpy() for c in ("anchor", "digest", "n", "alike", "start")]
+            cols = [fields.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "digest", "n", "own", "alike", "start")]
             for i, (doc_id, text, sha, key) in enumerate(zip(*(batch_.column(i).to_pylist() for i in range(4)))):
                 if int(sha[:15], 16) != key or (data := own(doc_id, text, sha)) is None:
                     continue
@@ -158,32 +244,31 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             if parts:
                 yield gathered(parts, out)
 
-    fetched = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sha", "key", "wanted")
-    fetched = stored(fetched.mapInArrow(pieces, "anchor long, digest long, n int, alike long, piece binary"), "pieces")
-    crowded = F.col("alike") > most_alike
-    total = fetched.where(~crowded).agg(F.sum(F.length("piece"))).first()[0] or 0
+    fetched = texts.join(wanted, "doc_id").select("doc_id", "text", "sha", "key", "wanted")
+    fetched = stored(fetched.mapInArrow(pieces, "anchor long, digest long, n int, own boolean, alike long, piece binary"), "pieces")
+    now = fetched.select(F.col("anchor").alias("key"), "anchor", "digest", F.lit(0).alias("from"), "n", "own", "piece", "alike")
+    ready, crowded = [], F.col("alike") > most_alike
+    for level in range(1, levels + 1):
+        if now.where(crowded).isEmpty():
+            break
+        ready.append(now.where(~crowded))
+        finer = stored(now.where(crowded).select("key", "anchor", "digest", "from", "piece").mapInArrow(_finer(size, level), PIECES_DDL), f"finer-{level}")
+        met = stored(finer.groupBy("key").agg(F.count("*").alias("alike"), F.bool_or("own").alias("inner")).where("alike > 1 or inner").drop("inner"), f"alike-{level}")
+        now = finer.join(met, "key")
+    ready = [x.select("key", "anchor", "digest", "from", "n", "piece") for x in (*ready, now)]
+    pieces_ = ready[0]
+    for x in ready[1:]:
+        pieces_ = pieces_.unionByName(x)
+    total = pieces_.agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sorted_ = (
-        fetched.where(~crowded)
-        .select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "digest", "n", "piece")
-        .repartition(int(min(shards, 1 << 16)), "shard")
-        .groupBy("shard")
-        .applyInPandas(lambda pdf: _repeats(pdf, size, batch, most_bytes), "anchor long, digest long, runs array<int>")
-    )
-
-    def strings(batches):
-        for batch_ in batches:
-            for anchor, digest, n, _, piece in zip(*(batch_.column(i).to_pylist() for i in range(5))):
-                d = [xxhash.xxh3_128_digest(piece[i : i + size]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(d, pa.binary())], ["anchor", "digest", "at", "d"])
-
-    each = fetched.where(crowded).mapInArrow(strings, "anchor long, digest long, at int, d binary")
-    met = each.groupBy("d").agg(F.count("*").alias("met")).where("met > 1").select("d")
-    counted = each.join(met, "d").groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
+    dealt = pieces_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).drop("key")
+    dealt = dealt.repartition(int(min(shards, 1 << 16)), "shard").sortWithinPartitions("shard", "anchor", "digest", "from")
+    found = dealt.mapInArrow(_sorted_shards(size, batch, most_bytes), "anchor long, digest long, runs array<int>")
+    sorted_ = found.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     whole = distinct.where("copies > 1").select("anchor", "digest", F.array(F.lit(0), F.col("n")).alias("runs"))
     single = distinct.where("copies = 1").select("anchor", "digest")
-    runs = whole.unionByName(sorted_.unionByName(counted).join(single, ["anchor", "digest"], "left_semi"))
+    runs = whole.unionByName(sorted_.join(single, ["anchor", "digest"], "left_semi"))
     spans = places.join(runs, ["anchor", "digest"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
 
     def keep(batches):
@@ -209,13 +294,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 out["kept"].append(hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())]))
 
-    cut = texts.join(spans.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sha", "key", "spans")
+    cut = texts.join(spans, "doc_id").select("doc_id", "text", "sha", "key", "spans")
     cut = cut.mapInArrow(keep, "doc_id long, sha string, n_removed long, n_spans long, kept string")
     cut = cut.groupBy("doc_id", "sha").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept")))
-    found = firsts.join(cut.withColumnRenamed("doc_id", "first"), ["first", "sha"], "left")
-    out = all_docs.drop("anchors").join(found, "sha", "left")
-    out = out.withColumn("n_removed", F.when(F.col("doc_id").isNull(), None).otherwise(F.col("n_removed")))
-    copy = (F.col("copies") > 1) & F.col("doc_id").isNotNull()
+    copies = firsts.where("copies > 1").select("sha", "copies")
+    out = all_docs.select("doc_id", "n_bytes", "sha").join(copies, "sha", "left").join(cut, ["doc_id", "sha"], "left")
+    copy = F.col("copies").isNotNull() & F.col("doc_id").isNotNull()
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id",

@@ -1,166 +1,351 @@
-"""Suffix arrays by external induced sorting: recursion over LMS names, queues that spill to disk.
+"""Suffix arrays with common prefixes by external induced sorting: recursion over LMS names, queues and arrays on disk.
 
-Induction pops suffixes in order of their first symbol and pushes what stands before them. The queue is cut into ranges
-of symbols: a push goes to the range of its symbol, in memory or in that range's file, and a range is loaded, ordered and
-popped at once. Only the queue can be on disk: the sequence, its symbols and types and the array of suffixes are whole
-arrays in memory, so a sequence must fit a task. Tuples of one range whose successors are in it too are ordered by passes
-over their successors' ranks.
+Induction pops suffixes in order of their first symbol and pushes what stands before them. The priority queue holds
+tuples (suffix, rank of its successor) by range of first symbol: a push goes to the range of its symbol, in memory or
+in that range's file, and comes back in order, as pushes come in order of the successors. The common prefix of two
+neighbours is one more than the least over the ranks between their successors, so it is carried along, through every
+level of the recursion. Whatever is as long as the sequence (symbols, types, names, the order, the prefixes) is an
+array in a file once it exceeds `most_bytes`, worked through in steps of `batch`; in memory are one batch, the queue's
+buffer, a count a different symbol and the least prefix of every 128 ranks.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 
 
-class _Queue:
-    """First-in first-out per range; what exceeds `most_bytes` is kept in a file a range."""
+class Scratch:
+    """Where arrays and queues live: in memory up to `most_bytes` each, in files of the task's own folder beyond."""
 
-    def __init__(self, ranges: int, folder: str, most_bytes: int):
-        self.held: list[list[np.ndarray]] = [[] for _ in range(ranges)]
-        self.size, self.most, self.folder = 0, most_bytes, folder
-        self.spilled: set[int] = set()
+    def __init__(self, folder: str, batch: int = 1 << 18, most_bytes: int = 1 << 22):
+        self.folder, self.batch, self.most_bytes = folder, batch, most_bytes
+
+    def name(self) -> str:
+        return os.path.join(self.folder, uuid.uuid4().hex)
+
+    def array(self, n: int, dtype) -> np.ndarray:
+        dtype = np.dtype(dtype)
+        if n * dtype.itemsize <= self.most_bytes:
+            return np.zeros(n, dtype)
+        path = self.name()
+        out = np.memmap(path, dtype, "w+", shape=(n,))
+        os.unlink(path)  # the file goes with the array
+        return out
+
+    def steps(self, n: int) -> Iterator[tuple[int, int]]:
+        return ((a, min(n, a + self.batch)) for a in range(0, n, self.batch))
+
+
+class Queue:
+    """Tuples (suffix, rank of its successor), first in, first out for each priority; buffers over `most_bytes` go to files."""
+
+    def __init__(self, priorities: int, scratch: Scratch):
+        self.held: dict[int, list[np.ndarray]] = {}
+        self.size, self.scratch, self.files = 0, scratch, {}
 
     def push(self, at: int, items: np.ndarray) -> None:
-        if len(items):
-            self.held[at].append(items)
-            self.size += items.nbytes
-            if self.size > self.most:
-                self._spill()
-
-    def _spill(self) -> None:
-        for at, parts in enumerate(self.held):
-            if parts:
-                with open(self._file(at), "ab") as f:
+        self.held.setdefault(at, []).append(items)
+        self.size += items.nbytes
+        if self.size > self.scratch.most_bytes:
+            for key, parts in self.held.items():
+                if key not in self.files:
+                    self.files[key] = self.scratch.name()
+                with open(self.files[key], "ab") as f:
                     for x in parts:
-                        x.tofile(f)
-                self.spilled.add(at)
-                self.held[at] = []
-        self.size = 0
+                        f.write(np.ascontiguousarray(x).tobytes())
+            self.held, self.size = {}, 0
 
-    def _file(self, at: int) -> str:
-        return os.path.join(self.folder, f"{id(self)}-{at}")
-
-    def pop(self, at: int) -> np.ndarray:
-        parts, self.held[at] = self.held[at], []
+    def pop(self, at: int) -> Iterator[np.ndarray]:
+        """All tuples of a priority, a batch at a time."""
+        parts = self.held.pop(at, [])
         self.size -= sum(x.nbytes for x in parts)
-        if at in self.spilled:
-            parts.insert(0, np.fromfile(self._file(at), np.int64))
-            os.unlink(self._file(at))
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-
-def _ranges(t: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
-    """First symbols of ranges with about `most` wanted places each; a symbol that forms long runs stands alone."""
-    top = int(t.max()) + 1
-    counts = np.bincount(t[wanted], minlength=top)
-    change = np.flatnonzero(np.diff(t)) + 1
-    starts = np.concatenate(([0], change))
-    lengths = np.diff(np.append(starts, len(t)))
-    alone = np.zeros(top, bool)
-    alone[t[starts[lengths > 16]]] = True
-    firsts, held = [0], 0
-    for s in np.flatnonzero((counts > most // 4) | alone).tolist():
-        alone[s] = True
-    cut = np.flatnonzero(alone)
-    bounds = np.unique(np.concatenate(([0], cut, cut + 1)))
-    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), top]):
-        if a >= top:
+        if at in self.files:
+            path = self.files.pop(at)
+            with open(path, "rb") as f:
+                while len(x := np.fromfile(f, np.int64, 2 * self.scratch.batch)):
+                    yield x.reshape(-1, 2)
+            os.unlink(path)
+        if parts:
+            x = np.concatenate(parts)
+            for a in range(0, len(x), self.scratch.batch):
+                yield x[a : a + self.scratch.batch]
+
+
+class Prefixes:
+    """Common prefixes of neighbours by rank, appended in order, and the least of them between two ranks."""
+
+    BLOCK = 128
+
+    def __init__(self, n: int, scratch: Scratch):
+        self.values = scratch.array(n, np.uint16)
+        self.before, self.after = scratch.array(n, np.uint16), scratch.array(n, np.uint16)  # least from the block's start, to its end
+        self.least = np.zeros(-(-n // self.BLOCK), np.uint16)
+        self.tables: list[np.ndarray] = []
+        self.n = 0
+
+    def append(self, x: np.ndarray) -> None:
+        first = self.n // self.BLOCK
+        self.values[self.n : self.n + len(x)] = x
+        self.n += len(x)
+        a = first * self.BLOCK
+        part = np.full(-(-(self.n - a) // self.BLOCK) * self.BLOCK, 65535, np.uint16)
+        part[: self.n - a] = self.values[a : self.n]
+        part = part.reshape(-1, self.BLOCK)
+        self.before[a : self.n] = np.minimum.accumulate(part, axis=1).ravel()[: self.n - a]
+        self.after[a : self.n] = np.minimum.accumulate(part[:, ::-1], axis=1)[:, ::-1].ravel()[: self.n - a]
+        self.least[first : first + len(part)] = part.min(1)
+        self.tables = []
+
+    def along(self, ranks: np.ndarray) -> np.ndarray:
+        """The least between each rank and the next (ranks ascend): read through where they stand close together."""
+        if len(ranks) < 2:
+            return np.empty(0, np.uint16)
+        low, high = int(ranks[0]) + 1, int(ranks[-1]) + 1
+        if high - low > 96 * len(ranks):
+            return self.between(ranks[:-1] + 1, ranks[1:])
+        return np.minimum.reduceat(self.values[low:high], ranks[:-1] + 1 - low)
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least of ranks a to b, both included, for each pair (a <= b)."""
+        p, q = a // self.BLOCK, b // self.BLOCK
+        out = np.minimum(self.after[a], self.before[b])
+        same = np.flatnonzero(p == q)
+        if len(same):
+            at, end = a[same], b[same]
+            least = self.values[at]
+            while len(at):
+                at = at + 1
+                on = at <= end
+                same_, at, end = np.flatnonzero(on), at[on], end[on]
+                if not len(at):
+                    break
+                if len(same_) < len(least):
+                    out[same[~on]] = least[~on]
+                    same, least = same[on], least[on]
+                least = np.minimum(least, self.values[at])
+            out[same] = least
+        far = np.flatnonzero(q - p > 1)
+        if len(far):
+            if not self.tables:
+                self.tables = sparse(self.least[: -(-self.n // self.BLOCK)])
+            out[far] = np.minimum(out[far], least_in(self.tables, p[far] + 1, q[far] - 1))
+        return out
+
+
+def sparse(x: np.ndarray) -> list[np.ndarray]:
+    """The least of every run of 1, 2, 4, ..."""
+    out = [x]
+    while 2 * (step := 1 << (len(out) - 1)) <= len(x):
+        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
+    return out
+
+
+def least_in(tables: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    level = np.frexp((b - a + 1).astype(float))[1] - 1
+    out = np.empty(len(a), tables[0].dtype)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(tables[k][a[at]], tables[k][b[at] - (1 << k) + 1])
+    return out
+
+
+def matching(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols `t` has alike from a and from b on, up to `most`, for each pair."""
+    out, n = np.zeros(len(a), np.int64), len(t)
+    which = np.flatnonzero(np.maximum(a, b) < n)
+    for k in range(most):
+        if not len(which):
             break
-        total = np.cumsum(counts[a:b])
-        steps = np.flatnonzero(np.diff(total // max(1, most))) + 1 if b - a > 1 else []
-        firsts += [a, *(a + int(x) for x in steps)]
-    return np.unique(firsts)
-
-
-def _induce(t: np.ndarray, target: np.ndarray, seeds: np.ndarray, first: int, folder: str, batch: int, most_bytes: int) -> np.ndarray:
-    """Seeds and targets in order. A target's symbol is never below its successor's; seeds come in order and stand
-    after targets of the same symbol; `first` (or -1) is pushed before all others."""
-    wanted = target.copy()
-    wanted[seeds] = True
-    firsts = _ranges(t, wanted, batch)
-    top = int(t.max()) + 1
-    ends = np.append(firsts[1:], top)
-    place = np.repeat(np.arange(len(firsts), dtype=np.int16 if len(firsts) < 1 << 15 else np.int64), ends - firsts)
-    pushes = np.append(False, target[:-1])  # whether what stands before a place is a target, and its symbol
-    symbol = np.append(0, t[:-1]).astype(np.int32 if top < 1 << 31 else np.int64)
-    queue = _Queue(len(firsts), folder, most_bytes)
-    seed_cuts = np.searchsorted(t[seeds], np.append(firsts, top))
+        which = which[t[a[which] + k] == t[b[which] + k]]
+        out[which] = k + 1
+        which = which[np.maximum(a[which], b[which]) + k + 1 < n]
+    return out
+
+
+class _Symbols:
+    """How often each symbol is wanted, and which of them stand alone: the frequent ones and those that form long runs."""
+
+    def __init__(self, t: np.ndarray, target: np.ndarray, seeds: np.ndarray, scratch: Scratch):
+        self.top = 1 + max(int(t[a:b].max()) for a, b in scratch.steps(len(t)))
+        self.seeds = np.zeros(self.top + 1, np.int64)
+        counts, alone = np.zeros(self.top, np.int64), np.zeros(self.top, bool)
+        for a, b in scratch.steps(len(seeds)):
+            s, n = np.unique(t[np.asarray(seeds[a:b])], return_counts=True)
+            self.seeds[s + 1] += n
+        for a, b in scratch.steps(len(t)):
+            part = np.asarray(t[a:b])
+            s, n = np.unique(part[np.asarray(target[a:b])], return_counts=True)
+            counts[s] += n
+            ends = np.flatnonzero(np.append(np.diff(part) != 0, True))
+            alone[part[ends[np.diff(np.append(-1, ends)) > 8]]] = True
+        counts += self.seeds[1:]
+        self.seeds = np.cumsum(self.seeds)
+        alone |= counts > scratch.batch // 4
+        cut = np.flatnonzero(alone)
+        step = np.cumsum(np.where(alone, 0, counts)) // max(1, scratch.batch)
+        firsts = np.unique(np.concatenate(([0], cut, cut + 1, np.flatnonzero(np.diff(step)) + 1)))
+        self.firsts = firsts[firsts < self.top]
+        self.ends = np.append(self.firsts[1:], self.top)
+        self.place = np.repeat(np.arange(len(self.firsts), dtype=np.int32), self.ends - self.firsts)
+
+
+def _induce(t: np.ndarray, target: np.ndarray, seeds: np.ndarray, seed_prefixes: np.ndarray, first: int, most: int, scratch: Scratch) -> tuple[np.ndarray, Prefixes]:
+    """Seeds and targets in order, with common prefixes up to `most`. A target's symbol is never below its successor's;
+    seeds come in order and stand after targets of the same symbol; `first` (or -1) is pushed before all others."""
+    symbols = _Symbols(t, target, seeds, scratch)
+    total = len(seeds) + sum(int(np.count_nonzero(target[a:b])) for a, b in scratch.steps(len(t)))
+    out, prefixes = scratch.array(total, np.int64), Prefixes(total, scratch)
+    queue = Queue(len(symbols.firsts), scratch)
     if first >= 0:
-        queue.push(int(place[t[first]]), np.array([first], np.int64))
-    out = []
-    for r in range(len(firsts)):
-        come, mine = queue.pop(r), seeds[seed_cuts[r] : seed_cuts[r + 1]]
-        pos = np.concatenate((come, mine))
-        if not len(pos):
-            continue
-        levels, successors, outside, symbols, held = [], [], [], [], 0
-        edge = pos
-        while len(edge):
-            levels.append(edge)
-            ok, s = pushes[edge], symbol[edge]
-            stay = ok & (s < ends[r])
-            outside.append(ok & ~stay)
-            symbols.append(s)
-            at = np.flatnonzero(stay)
-            successors.append(at + held)
-            held += len(edge)
-            edge = edge[at] - 1
-        n = len(levels[0])
-        if ends[r] - firsts[r] == 1:  # one symbol: longer runs of it come later, seeds last
-            order = np.concatenate((np.arange(len(come)), np.arange(n, held), np.arange(len(come), n)))
+        queue.push(int(symbols.place[t[first]]), np.array([[first, -1]], np.int64))
+
+    def before(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether what stands before each suffix is a target, and its symbol."""
+        ok = pos > 0
+        at = pos - ok
+        return ok & target[at], np.asarray(t[at])
+
+    def emit(pos: np.ndarray, values: np.ndarray, leave: np.ndarray, symbol: np.ndarray) -> None:
+        """Next in order; the marked ones push what stands before them."""
+        base = prefixes.n
+        out[base : base + len(pos)] = pos
+        prefixes.append(np.minimum(values, most).astype(np.uint16))
+        at = np.flatnonzero(leave)
+        to = symbols.place[symbol[at]]
+        by = np.argsort(to, kind="stable")
+        at, to = at[by], to[by]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(to)) + 1):
+            if len(part):
+                queue.push(int(to[part[0]]), np.stack((pos[at[part]] - 1, base + at[part]), axis=1))
+
+    for r, (low, high) in enumerate(zip(symbols.firsts.tolist(), symbols.ends.tolist())):
+        mine = range(int(symbols.seeds[low]), int(symbols.seeds[high]))
+        if high - low == 1:
+            last = _alone(low, queue, r, prefixes, before, emit)
+            for a in range(mine.start, mine.stop, scratch.batch):
+                pos = np.asarray(seeds[a : min(mine.stop, a + scratch.batch)])
+                values = np.asarray(seed_prefixes[a : a + len(pos)]).astype(np.int64)
+                if a == mine.start:
+                    values[0] = 0 if last is None else matching(t, np.array([last]), pos[:1], most)[0]
+                emit(pos, values, *before(pos))
         else:
-            after = np.concatenate(successors)
-            base = (t[np.concatenate(levels)].astype(np.int64) - int(firsts[r])) << 34
-            base[len(come) : n] |= 1 << 33
-            base[:n] |= np.arange(n)
-            base[n:] |= 1 << 32
-            rank, key = None, base
-            while True:
-                order = np.argsort(key)
-                new = np.empty(held, np.int64)
-                new[order] = np.arange(held)
-                if not len(after) or (rank is not None and np.array_equal(new, rank)):
-                    break
-                rank, key = new, base.copy()
-                key[n:] |= rank[after]
-        popped = np.concatenate(levels)[order]
-        out.append(popped)
-        leave = np.concatenate(outside)[order]
-        before = popped[leave] - 1
-        if len(before):
-            to = place[np.concatenate(symbols)[order][leave]]
-            order = np.argsort(to, kind="stable")
-            to, before = to[order], before[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            bounds = [0, *cuts.tolist(), len(to)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                queue.push(int(to[a]), before[a:b])
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Ranks of the LMS substrings, equal ones alike, from packed (symbol, type) pairs, a word of pairs at a time."""
-    symbols = t.astype(np.uint64) * np.uint64(2) + small + np.uint64(1)
-    bits = int(symbols.max()).bit_length()
-    each = max(1, 63 // bits)
-    length = np.append(np.diff(lms) + 1, len(t) - lms[-1])
-
-    def word(which, offset):
-        out = np.zeros(len(which), np.uint64)
-        for k in range(offset, offset + each):
-            at = lms[which] + k
-            ok = k < length[which]
-            out <<= np.uint64(bits)
-            out[ok] |= symbols[at[ok]]
-        return out
+            _together(t, low, high, list(queue.pop(r)), np.asarray(seeds[mine.start : mine.stop]), np.asarray(seed_prefixes[mine.start : mine.stop]), most, prefixes, before, emit)
+    return out, prefixes
 
-    rank = np.zeros(len(lms), np.int64)
-    active, offset = np.arange(len(lms)), 0
+
+def _alone(symbol: int, queue: Queue, r: int, prefixes: Prefixes, before, emit) -> int | None:
+    """The targets of one symbol: those whose successor has another symbol, then what these pushed into the range
+    themselves (a run longer by one), and so on. Gives back the last one."""
+    last, run, successor = None, 0, 0
+    while r in queue.held or r in queue.files:
+        run, fresh = run + 1, True
+        for items in queue.pop(r):
+            pos, after = items.T
+            values = np.empty(len(pos), np.int64)
+            values[1:] = 1 + prefixes.along(after).astype(np.int64)
+            # between runs of different length only the shorter run is shared
+            values[0] = (run - 1 if last is not None else 0) if fresh else 1 + int(prefixes.between(np.array([successor + 1]), after[:1])[0])
+            ok, s = before(pos)
+            emit(pos, values, ok, s)
+            last, successor, fresh = int(pos[-1]), int(after[-1]), False
+    return last
+
+
+def _together(t, low: int, high: int, parts: list[np.ndarray], mine: np.ndarray, mine_prefixes: np.ndarray, most: int, prefixes: Prefixes, before, emit) -> None:
+    """All suffixes of a range of symbols at once, also those whose successor is in the range: ordered by passes over
+    the successors' ranks, their common prefixes by passes over the successors' prefixes."""
+    come = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
+    n_come, n = len(come), len(come) + len(mine)
+    if not n:
+        return
+    levels, successors, outside, symbols, held = [], [], [], [], 0
+    edge = np.concatenate((come[:, 0], mine))
+    while len(edge):
+        ok, s = before(edge)
+        stay = ok & (s < high)
+        levels.append(edge)
+        outside.append(ok & ~stay)
+        symbols.append(s)
+        at = np.flatnonzero(stay)
+        successors.append(at + held)
+        held += len(edge)
+        edge = edge[at] - 1
+    after, pos = np.concatenate(successors), np.concatenate(levels)
+    first_symbol = np.asarray(t[pos]).astype(np.int64)
+    base = (first_symbol - low) << 34
+    base[n_come:n] |= 1 << 33
+    base[:n] |= np.arange(n)
+    base[n:] |= 1 << 32
+    rank, key = None, base
+    while True:
+        order = np.argsort(key)
+        new = np.empty(held, np.int64)
+        new[order] = np.arange(held)
+        if not len(after) or (rank is not None and np.array_equal(new, rank)):
+            break
+        rank, key = new, base.copy()
+        key[n:] |= rank[after]
+    start = prefixes.n
+    follows = np.concatenate((come[:, 1], np.full(len(mine), -1), start + new[after]))[order]  # ranks of the successors
+    seed = np.zeros(held, bool)
+    seed[n_come:n] = True
+    seed, of, popped = seed[order], first_symbol[order], pos[order]
+    values, alike = np.zeros(held, np.int64), np.append(False, of[1:] == of[:-1])
+    at = np.flatnonzero(seed & np.append(False, seed[:-1]) & alike)
+    values[at] = mine_prefixes[(order[at] - n_come)]
+    at = np.flatnonzero(seed & ~np.append(False, seed[:-1]) & alike)
+    values[at] = matching(t, popped[at - 1], popped[at], most)
+    at = np.flatnonzero(~seed & alike)
+    a, b = follows[at - 1] + 1, follows[at]
+    known = np.full(len(at), 65535, np.int64)
+    old = np.flatnonzero(a < start)
+    known[old] = prefixes.between(a[old], np.minimum(b[old], start - 1))
+    inner = np.flatnonzero(b >= start)
+    values[at] = np.minimum(1 + known, most)
+    a, b = np.maximum(a[inner], start) - start, b[inner] - start
+    while len(inner):
+        new_values = np.minimum(1 + np.minimum(known[inner], least_in(sparse(values), a, b)), most)
+        if np.array_equal(new_values, values[at[inner]]):
+            break
+        values[at[inner]] = new_values
+    emit(popped, values, np.concatenate(outside)[order], np.concatenate(symbols)[order])
+
+
+def _types(t: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Which suffixes are smaller than the suffix after them."""
+    n = len(t)
+    small = scratch.array(n, bool)
+    later, symbol = False, -1
+    for a, b in reversed(list(scratch.steps(n))):
+        part = np.asarray(t[a:b]).astype(np.int64)
+        following = np.append(part[1:], symbol)
+        at = np.minimum.accumulate(np.where(part != following, np.arange(len(part)), len(part))[::-1])[::-1]
+        up = np.append(part < following, later)
+        small[a:b] = up[at]
+        later, symbol = bool(small[a]), int(part[0])
+    return small
+
+
+def _lms(small: np.ndarray, scratch: Scratch) -> np.ndarray:
+    starts = [a + np.flatnonzero(np.asarray(small[a:b]) & ~np.asarray(small[a - 1 : b - 1] if a else np.append(True, small[: b - 1]))) for a, b in scratch.steps(len(small))]
+    out, at = scratch.array(sum(map(len, starts)), np.int64), 0
+    for x in starts:
+        out[at : at + len(x)] = x
+        at += len(x)
+    return out
+
+
+def _ranks(t, small, lms, next_lms, bits: int) -> np.ndarray:
+    """Ranks of some LMS substrings, equal ones alike, from packed (symbol, type) pairs, a word of pairs at a time."""
+    each, length = max(1, 63 // bits), next_lms - lms + 1
+    rank, active, offset = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(active):
-        w = word(active, offset)
+        w = _word(t, small, lms[active], length[active], offset, each, bits)
         order = np.lexsort((w, rank[active])) if offset else np.argsort(w)
         r, w = rank[active][order], w[order]
         new_group = np.concatenate(([True], r[1:] != r[:-1]))
@@ -173,56 +358,141 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
         size = np.diff(np.append(np.flatnonzero(new_part), len(active)))
         offset += each
         more = np.repeat(size > 1, size) & (length[ids] > offset)
-        keep = np.zeros(len(active), bool)
-        keep[np.searchsorted(part, np.unique(part[more]))] = True  # parts with a longer member stay whole
         active = ids[np.isin(part, np.unique(part[more]))] if more.any() else ids[:0]
     return np.unique(rank, return_inverse=True)[1]
 
 
-def suffix_array(t: np.ndarray, batch: int = 1 << 18, most_bytes: int = 1 << 26, folder: str | None = None) -> np.ndarray:
-    """Places of all suffixes of `t` (integers from 0) in order; a suffix comes before those it begins."""
-    if folder is None:
-        with tempfile.TemporaryDirectory(prefix="suffixes-") as own:
-            return suffix_array(t, batch, most_bytes, own)
+def _word(t, small, start, length, offset: int, each: int, bits: int) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
+    for k in range(offset, offset + each):
+        out <<= np.uint64(bits)
+        ok = np.flatnonzero(k < length)
+        at = start[ok] + k
+        out[ok] |= np.asarray(t[at]).astype(np.uint64) * np.uint64(2) + small[at] + np.uint64(1)
+    return out
+
+
+def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: int, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """The rank of every LMS substring and how many there are: dealt out to files by first word, ranked a file at a time."""
+    m, bits = len(lms), (2 * top + 2).bit_length()
+    each = max(1, 63 // bits)
+    following = lambda a, b: np.append(lms[a + 1 : b + 1], len(t) - 1)[: b - a]
+
+    def first_words(a, b):
+        x = np.asarray(lms[a:b])
+        return _word(t, small, x, following(a, b) - x + 1, 0, each, bits)
+
+    parts = max(1, -(-m // scratch.batch))
+    names = scratch.array(m, np.int64)
+    if parts == 1:
+        names[:] = _ranks(t, small, np.asarray(lms), following(0, m), bits)
+        return names, int(names.max()) + 1
+    rng = np.random.default_rng(1)
+    drawn = np.sort(np.concatenate([rng.choice(first_words(a, b), 64) for a, b in scratch.steps(m)]))
+    edges = np.unique(drawn[:: max(1, len(drawn) // (2 * parts))][1:])
+    files = Queue(len(edges) + 1, scratch)
+    for a, b in scratch.steps(m):
+        to = np.searchsorted(edges, first_words(a, b), "right")
+        order = np.argsort(to, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            files.push(int(to[part[0]]), np.stack((a + part, following(a, b)[part]), axis=1))
+    used = 0
+    for k in range(len(edges) + 1):
+        if got := list(files.pop(k)):
+            which, after = np.concatenate(got).T
+            found = _ranks(t, small, np.asarray(lms[which]), after, bits)
+            names[which] = used + found
+            used += int(found.max()) + 1
+    return names, used
+
+
+def _sorted_lms(t, small, lms, top: int, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The LMS suffixes in order, with common prefixes in symbols of `t`: from their names, or the names' suffixes."""
+    m = len(lms)
+    names, used = _names(t, small, lms, top, scratch)
+    if used == m:
+        order, alike = scratch.array(m, np.int64), None
+        for a, b in scratch.steps(m):
+            order[names[a:b]] = np.arange(a, b)
+    else:
+        order, alike = _suffixes(names, used - 1, most, scratch)
+    starts, values = scratch.array(m, np.int64), scratch.array(m, np.uint16)
+    for a, b in scratch.steps(m):
+        mine = np.asarray(order[a:b])
+        starts[a:b] = lms[mine]
+        left = np.append(order[a - 1] if a else mine[0], mine[:-1])
+        same = np.zeros(b - a, np.int64) if alike is None else np.asarray(alike[a:b]).astype(np.int64)
+        ended = np.maximum(left, mine) + same >= m  # one of them has no more names: its last one reaches the end
+        at = np.minimum(np.stack((left, mine)) + same, m - 1)
+        p, q = np.where(ended, len(t), lms[at[0]]), np.where(ended, len(t), lms[at[1]])
+        shared = np.where(ended, len(t) - np.maximum(lms[left], lms[mine]), lms[at[1]] - lms[mine])
+        values[a:b] = np.minimum(shared + matching(t, p, q, most), most)
+    if m:
+        values[0] = 0
+    return starts, values
+
+
+def _suffixes(t: np.ndarray, top: int, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     n = len(t)
-    if n < 2:
-        return np.arange(n)
-    differs = np.concatenate((np.flatnonzero(t[1:] != t[:-1]), [n - 1]))
-    up = np.append(t[1:] > t[:-1], False)[differs]
-    small = np.repeat(up, np.diff(np.concatenate(([-1], differs))))  # type S: smaller than the suffix after it
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    small = _types(t, scratch)
+    lms = _lms(small, scratch)
+    seeds, seed_prefixes = lms, np.zeros(len(lms), np.uint16)
     if len(lms) > 1:
-        names = _names(t, small, lms)
-        if int(names.max()) + 1 == len(lms):
-            order = np.argsort(names)
-        else:
-            order = suffix_array(names, batch, most_bytes, folder)
-        lms = lms[order]
-    large = _induce(t, ~small, lms, n - 1, folder, batch, most_bytes)
-    large = large[~small[large]]
-    turned = int(t.max()) - t
-    return _induce(turned, small, large[::-1], -1, folder, batch, most_bytes)[::-1]
-
-
-def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes each suffix of `t` (uint8) shares with the one before it in `order`, up to `most`; 0 for the first.
-
-    Eight bytes are compared at a time, and only pairs that are equal so far go on.
-    """
-    out = np.zeros(len(order), np.int64)
-    data = np.concatenate((t, np.zeros(most + 8, np.uint8)))
-    words = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
-    a, b, which = order[:-1], order[1:], np.arange(1, len(order))
-    for done in range(0, most, 8):
-        if not len(which):
-            break
-        differ = words[a + done] ^ words[b + done]
-        same = differ == 0
-        first = differ[~same]
-        out[which[~same]] = done + np.searchsorted(_BYTE_ENDS, first & (~first + np.uint64(1)), "right") // 8
-        a, b, which = a[same], b[same], which[same]
-    out[which] = most
-    return np.minimum(np.minimum(out, most), np.concatenate(([0], len(t) - np.maximum(order[:-1], order[1:]))) if len(order) else out)
+        seeds, seed_prefixes = _sorted_lms(t, small, lms, top, most, scratch)
+    large = scratch.array(n, bool)
+    turned = scratch.array(n, t.dtype)
+    for a, b in scratch.steps(n):
+        large[a:b] = ~np.asarray(small[a:b])
+        turned[a:b] = top - np.asarray(t[a:b])
+    both, prefixes = _induce(t, large, seeds, seed_prefixes, n - 1, most, scratch)
+    kept, kept_prefixes = _only(both, prefixes.values, large, scratch)
+    down = np.zeros(1, np.uint16)
+    back = kept_prefixes[::-1]  # of the turned order a suffix's neighbour is the one that came after
+    back = _shifted(back, down, scratch)
+    order, prefixes = _induce(turned, small, kept[::-1], back, -1, most, scratch)
+    return order[::-1], _shifted(prefixes.values[::-1], down, scratch)
+
 
+def _shifted(x: np.ndarray, first: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """`first`, then x without its last."""
+    out = scratch.array(len(x), x.dtype)
+    for a, b in scratch.steps(len(x)):
+        out[a:b] = x[a - 1 : b - 1] if a else np.append(first, x[: b - 1])
+    return out
 
-_BYTE_ENDS = np.uint64(1) << np.arange(1, 64, dtype=np.uint64)
+
+def _only(order: np.ndarray, prefixes: np.ndarray, wanted: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted suffixes alone: a common prefix is the least of those in between."""
+    total = sum(int(np.count_nonzero(wanted[order[a:b]])) for a, b in scratch.steps(len(order)))
+    out, values, at = scratch.array(total, np.int64), scratch.array(total, np.uint16), 0
+    for pos, x in wanted_only(order, prefixes, lambda p: wanted[p], scratch):
+        out[at : at + len(pos)], values[at : at + len(pos)] = pos, x
+        at += len(pos)
+    return out, values
+
+
+def wanted_only(order, prefixes, wanted, scratch: Scratch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of the suffixes that `wanted` marks, with their common prefixes among themselves."""
+    carried = 0
+    for a, b in scratch.steps(len(order)):
+        pos, x = np.asarray(order[a:b]), np.asarray(prefixes[a:b])
+        at = np.flatnonzero(wanted(pos))
+        if not len(at):
+            carried = min(carried, int(x.min()))
+            continue
+        least = np.minimum.reduceat(x[: at[-1] + 1], np.append(0, at[:-1] + 1))
+        least[0] = min(carried, int(least[0]))
+        carried = int(x[at[-1] + 1 :].min(initial=65535))
+        yield pos[at], least
+
+
+def suffix_array(t: np.ndarray, most: int = 65535, batch: int = 1 << 18, most_bytes: int = 1 << 22, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes of `t` (integers from 0) in order, a suffix before those it begins; and how many symbols
+    each shares with the one before it, up to `most` (65,535 at most). `t` may be an array in a file."""
+    if folder is None:
+        with tempfile.TemporaryDirectory(prefix="suffixes-") as own:
+            return suffix_array(t, most, batch, most_bytes, own)
+    scratch = Scratch(folder, batch, most_bytes)
+    if len(t) < 2:
+        return np.arange(len(t)), np.zeros(len(t), np.uint16)
+    return _suffixes(t, max(int(t[a:b].max()) for a, b in scratch.steps(len(t))), most, scratch)

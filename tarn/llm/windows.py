@@ -85,28 +85,3 @@ def byte_window_hashes(data: bytes, size: int) -> np.ndarray:
         double = mixed(double[:-length] * _ODD[0] + double[length:])
         length *= 2
     return double
-
-
-def owners(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (from, to) of windows of `width` hashes and the place of the first smallest hash in each of them."""
-    if len(hashes) < width:
-        return (np.empty(0, np.int64),) * 3
-    least = slide(hashes, width, np.minimum)
-    a = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
-    b = np.append(a[1:], len(least))
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(slide(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
-    values, of = np.unique(hashes[at], return_inverse=True)
-    order = np.lexsort((at, of))
-    filed, at, big = (of * len(hashes) + at)[order], at[order], len(hashes)
-    v = np.searchsorted(values, least[a])
-    out = []
-    while len(a):
-        place = at[np.searchsorted(filed, v * big + a)]
-        stop = np.minimum(b, place + 1)
-        out.append((a, stop, place))
-        more = stop < b  # an equal hash further on owns the rest
-        a, b, v = stop[more], b[more], v[more]
-    a, b, place = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(a, kind="stable")
-    return a[order], b[order], place[order]

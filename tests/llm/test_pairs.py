@@ -148,13 +148,20 @@ def plain_bytes(rows, size):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"most_alike": 1}, {"batch": 16, "most_bytes": 100, "shard_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"most_alike": 1}, {"batch": 64, "most_bytes": 100, "shard_bytes": 2000}, {"most_alike": 2, "levels": 1}])
 def test_suffix_dedup(spark, options):
-    rows = [(i, t if t is None or len(t) < 3000 else t[:1500]) for i, t in texts(4, 30)]
+    rows = [(i, t if t is None or len(t) < 3000 else t[:1500]) for i, t in texts(4, 30)] + [(970, "y" * 900), (971, "ab" * 700), (972, "y" * 401)]
     out = suffix_dedup.removed(frame(spark, rows), **options).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == plain_bytes(rows, 400)
 
 
+def test_suffix_dedup_of_long_runs(spark):
+    """Tens of thousands of equal bytes, twice with different ends: all of it goes but the ends that are unlike."""
+    rows = [(1, "x" * 30000), (2, "x" * 20001 + "é"), (3, "q" + "ab" * 9000), (4, "z" * 399)]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed(frame(spark, rows)).collect()}
+    assert out == {1: (30000, 30000, 1), 2: (20003, 20001, 1), 3: (18001, 18000, 1), 4: (399, 0, 0)}
+
+
 def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(1)
     for trial in range(120):
@@ -165,14 +172,13 @@ def test_suffix_arrays_and_prefixes():
             t = np.tile(t[:20], 6)
         x = t.tolist()
         want = sorted(range(len(x)), key=lambda i: x[i:])
-        for batch, most in ((1 << 20, 1 << 26), (8, 64), (30, 100)):  # the small ones spill
-            assert suffixes.suffix_array(t, batch, most).tolist() == want
-        order = np.array(want)
-        got = suffixes.common_prefixes(t.astype(np.uint8), order, 50)
-        for k in range(1, len(x)):
-            a, b = x[want[k - 1] :], x[want[k] :]
-            n = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
-            assert got[k] == min(n, 50)
+        alike = [0]
+        for p, q in zip(want, want[1:]):
+            alike.append(next((i for i, (a, b) in enumerate(zip(x[p:], x[q:])) if a != b), min(len(x) - p, len(x) - q)))
+        for batch, most_bytes in ((1 << 20, 1 << 26), (8, 64), (30, 100)):  # the small ones are on disk throughout
+            for most in (50, 1000):
+                order, prefixes = suffixes.suffix_array(t, most, batch, most_bytes)
+                assert order.tolist() == want and prefixes.tolist() == [min(n, most) for n in alike]
 
 
 def plain_topk(rows, every, k):
