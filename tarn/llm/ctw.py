@@ -244,7 +244,7 @@ class _Table:
         return np.where(found, value, 0.0), found
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_common: int = 1 << 17, most_pairs: int = 1 << 22, depth: int = DEPTH) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_common: int = 1 << 17, most_pairs: int = 1 << 21, depth: int = DEPTH) -> DataFrame:
     """A row a document: held_out, n_tokens, n_known, train_tokens, base_score and the model's score (log10).
 
     Both models read the whole text, however long, with A-Z lower-cased; a null text counts as empty (one end token).
@@ -258,16 +258,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     train = rows.where("train")
     tree = fit(rows, depth=depth)
     near, frequent = _frequent(tree, "everywhere", most_pairs)
-    frequent = frequent.select("code", "log10p").toPandas()
-    model = spark.sparkContext.broadcast(_Table(frequent["code"].to_numpy(np.int64), frequent["log10p"].to_numpy(np.float32)))
+    frequent = frequent.select("code", "log10p").toArrow()  # not rows: 12 bytes a pair on the driver
+    model = spark.sparkContext.broadcast(_Table(frequent["code"].to_numpy(), frequent["log10p"].to_numpy()))
     del frequent
     counts = stored(word_counts(train), "words")
     all_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     n_train, distinct = all_words.n + ends, all_words.v + (ends > 0)
     common, frequent = _frequent(counts, "c", most_common)
-    frequent = frequent.toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(frequent["word"].map(bytes), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
+    frequent = frequent.toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
 
     def score(batches):
         words_, table = known.value, model.value
