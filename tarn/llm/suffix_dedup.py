@@ -26,28 +26,37 @@ def _bytes(text: str | None) -> bytes:
 
 
 class _Anchored:
-    """All strings of `size` bytes of `data`, as runs of starts (a, b) that share an anchor, with the anchor's hash.
+    """All strings of `size` bytes of `data`, as runs of starts (a, b) that share an anchor at every given level.
 
     A string's anchor is the smallest hash of its 64-byte windows, so equal strings have equal anchors; each level
-    hashes the windows anew. `anchors` and `met` say at how many places a text has each; only a run whose anchor the
-    text has twice (`own`) can hold the same string twice itself.
+    hashes the windows anew. `of` names each run's anchors. `anchors` and `met` say at how many places a text has each
+    of the first level; only runs whose anchors the text has twice (`own`) can hold the same string twice themselves.
     """
 
-    def __init__(self, data: bytes, size: int, level: int = 0):
-        h = byte_window_hashes(data, ANCHOR)
-        if level:
-            h = mixed(h + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    def __init__(self, data: bytes, size: int, levels: tuple[int, ...] = (0,), known: np.ndarray | None = None):
+        """With `known`, strings whose anchor of the first level is not among these are left out."""
+        windows = byte_window_hashes(data, ANCHOR)
         width = size - ANCHOR + 1
-        least = slide(h, width, np.minimum)
-        a = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
+        key, own, change, alive = np.uint64(0), True, False, None
+        for level in levels:
+            h = mixed(windows + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) if level else windows
+            least = slide(h, width, np.minimum)
+            anchors, met = np.unique(h[chosen(h, width)], return_counts=True)
+            if alive is None:
+                self.anchors, self.met = anchors.view(np.int64), met
+                alive = np.ones(len(least), bool) if known is None else np.isin(least, known.view(np.uint64))
+            change = change | (np.diff(least) != 0)
+            key = least if len(levels) == 1 else mixed(key + least)
+            twice = anchors[met > 1]
+            own = own & np.isin(least, twice) if len(twice) else np.zeros(len(least), bool)
+        a = np.concatenate(([0], np.flatnonzero(change) + 1))
         b = np.append(a[1:], len(least))
         if (long := np.flatnonzero(b - a > MOST_STARTS)).size:
             a = np.unique(np.concatenate([a, *(np.arange(a[i], b[i], MOST_STARTS) for i in long)]))
             b = np.append(a[1:], len(least))
-        self.a, self.b, h_of = a, b, least[a]
-        anchors, self.met = np.unique(h[chosen(h, width)], return_counts=True)
-        self.own = np.isin(h_of, anchors[self.met > 1])
-        self.anchors, self.of = anchors.view(np.int64), h_of.view(np.int64)
+        here = alive[a]
+        self.a, self.b = a[here], b[here]
+        self.of, self.own = key[self.a].view(np.int64), own[self.a]
 
 
 class _Shard:
@@ -66,10 +75,10 @@ class _Shard:
         """The pieces' bytes plus one, 0 behind each piece, and where the pieces end."""
         sizes = np.array(self.sizes, np.int64)
         ends = np.cumsum(sizes + 1) - 1
-        t = scratch.array(int(ends[-1]) + 1, np.int32)
+        t = scratch.array(int(ends[-1]) + 1, np.int16)
         self.file.seek(0)
         for a, b in scratch.steps(len(t)):
-            t[a:b] = np.frombuffer(self.file.read(b - a), np.uint8).astype(np.int32) + 1
+            t[a:b] = np.frombuffer(self.file.read(b - a), np.uint8).astype(np.int16) + 1
         self.file.close()
         for a, b in scratch.steps(len(ends)):
             t[ends[a:b]] = 0
@@ -132,7 +141,7 @@ def _finer(size: int, level: int):
         for rows in batches:
             out = {f.name: [] for f in PIECES}
             for key, anchor, digest, at, piece in zip(*(rows.column(c).to_pylist() for c in ("key", "anchor", "digest", "from", "piece"))):
-                x = _Anchored(piece, size, level)
+                x = _Anchored(piece, size, (level,))
                 keys = mixed(x.of.view(np.uint64) + np.int64(key).view(np.uint64)).view(np.int64)
                 for a, b, k, own in zip(x.a.tolist(), x.b.tolist(), keys.tolist(), x.own.tolist()):
                     for name, value in zip(out, (k, anchor, digest, at + a, b - a, own, piece[a : b - 1 + size])):
@@ -146,16 +155,17 @@ PIECES = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("digest", pa.i
 PIECES_DDL = "key long, anchor long, digest long, from int, n int, own boolean, piece binary"
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, shard_bytes: int = 8 << 20, most_alike: int = 1 << 13, levels: int = 8, batch: int = 1 << 18, most_bytes: int = 1 << 22) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, shard_bytes: int = 2 << 20, most_alike: int = 1 << 12, levels: int = 8, batch: int = 1 << 17, most_bytes: int = 1 << 19) -> DataFrame:
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, without bytes of strings that stand twice.
 
     1. Copies of a whole text lose all of it if `size` bytes long; one of them stands for the rest from here on.
     2. Every string of `size` bytes has an anchor (see _Anchored). Strings whose anchor is met once in the corpus go.
-    3. Neighbouring strings with one anchor make a snippet; equal snippets are counted by digest and what is in two
-       places is repeated. Only anchors with different snippets are left: one copy of each snippet goes to its
-       anchor's shard, whose suffix array and common prefixes, from external induced sorting, name the repeated
-       strings. A shard of `shard_bytes` takes some thirty times that in tuples and arrays, which are on disk beyond
-       `most_bytes` each; a shard can be as large as the disk holds.
+       Those left get a second one, by another hash, and are known by both from here on.
+    3. Neighbouring strings with the same anchors make a snippet; equal snippets are counted by digest and what is in
+       two places is repeated. Only anchors with different snippets are left: one copy of each snippet goes to its
+       anchors' shard, whose suffix array and common prefixes, from external induced sorting, name the repeated
+       strings. A shard takes some thirty times its bytes in tuples and arrays, which are on disk beyond `most_bytes`
+       each (so in production too); a shard can be as large as the disk holds.
     4. The snippets of an anchor with over `most_alike` of them are first cut again at the anchors of another hash,
        level by level, which tells the strings of one common passage apart by what surrounds it; what is alone then
        goes. After `levels` what is still crowded is sorted as one shard.
@@ -201,9 +211,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             for doc_id, text, sha, kept in zip(*(batch_.column(i).to_pylist() for i in range(3)), batch_.column(3)):
                 if (data := own(doc_id, text, sha)) is None:
                     continue
-                x = _Anchored(data, size)
-                here = np.isin(x.of, kept.values.to_numpy())
-                a, b, h, twice = x.a[here], x.b[here], x.of[here], x.own[here]
+                x = _Anchored(data, size, (0, 1), kept.values.to_numpy())
+                a, b, h, twice = x.a, x.b, x.of, x.own
                 digests = [xxhash.xxh3_64_intdigest(data[x : y - 1 + size]) for x, y in zip(a.tolist(), b.tolist())]
                 n = len(a)
                 parts.append((h, np.array(digests, np.uint64).view(np.int64), np.full(n, doc_id, np.int64), np.full(n, int(sha[:15], 16), np.int64), a.astype(np.int32), (b - a).astype(np.int32), twice))
@@ -248,7 +257,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     fetched = stored(fetched.mapInArrow(pieces, "anchor long, digest long, n int, own boolean, alike long, piece binary"), "pieces")
     now = fetched.select(F.col("anchor").alias("key"), "anchor", "digest", F.lit(0).alias("from"), "n", "own", "piece", "alike")
     ready, crowded = [], F.col("alike") > most_alike
-    for level in range(1, levels + 1):
+    for level in range(2, levels + 2):
         if now.where(crowded).isEmpty():
             break
         ready.append(now.where(~crowded))

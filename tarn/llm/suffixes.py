@@ -25,6 +25,10 @@ class Scratch:
     def __init__(self, folder: str, batch: int = 1 << 18, most_bytes: int = 1 << 22):
         self.folder, self.batch, self.most_bytes = folder, batch, most_bytes
 
+    def places(self, n: int, of: int) -> np.ndarray:
+        """An array for n places in a sequence of length `of`."""
+        return self.array(n, np.int32 if of < 1 << 31 else np.int64)
+
     def name(self) -> str:
         return os.path.join(self.folder, uuid.uuid4().hex)
 
@@ -35,7 +39,7 @@ class Scratch:
         path = self.name()
         out = np.memmap(path, dtype, "w+", shape=(n,))
         os.unlink(path)  # the file goes with the array
-        return out
+        return np.asarray(out)  # a plain view: memmap's own indexing is slow
 
     def steps(self, n: int) -> Iterator[tuple[int, int]]:
         return ((a, min(n, a + self.batch)) for a in range(0, n, self.batch))
@@ -60,6 +64,12 @@ class Queue:
                         f.write(np.ascontiguousarray(x).tobytes())
             self.held, self.size = {}, 0
 
+    def few(self, at: int, most: int = 256) -> np.ndarray | None:
+        """All tuples of a priority if they are few and in memory; else None, and they stay."""
+        if at in self.files or sum(map(len, self.held[at])) > most:
+            return None
+        return np.concatenate(list(self.pop(at)))
+
     def pop(self, at: int) -> Iterator[np.ndarray]:
         """All tuples of a priority, a batch at a time."""
         parts = self.held.pop(at, [])
@@ -199,7 +209,7 @@ def _induce(t: np.ndarray, target: np.ndarray, seeds: np.ndarray, seed_prefixes:
     seeds come in order and stand after targets of the same symbol; `first` (or -1) is pushed before all others."""
     symbols = _Symbols(t, target, seeds, scratch)
     total = len(seeds) + sum(int(np.count_nonzero(target[a:b])) for a, b in scratch.steps(len(t)))
-    out, prefixes = scratch.array(total, np.int64), Prefixes(total, scratch)
+    out, prefixes = scratch.places(total, len(t)), Prefixes(total, scratch)
     queue = Queue(len(symbols.firsts), scratch)
     if first >= 0:
         queue.push(int(symbols.place[t[first]]), np.array([[first, -1]], np.int64))
@@ -226,24 +236,55 @@ def _induce(t: np.ndarray, target: np.ndarray, seeds: np.ndarray, seed_prefixes:
     for r, (low, high) in enumerate(zip(symbols.firsts.tolist(), symbols.ends.tolist())):
         mine = range(int(symbols.seeds[low]), int(symbols.seeds[high]))
         if high - low == 1:
-            last = _alone(low, queue, r, prefixes, before, emit)
+            last = _alone(t, low, queue, r, prefixes, before, emit)
             for a in range(mine.start, mine.stop, scratch.batch):
-                pos = np.asarray(seeds[a : min(mine.stop, a + scratch.batch)])
+                pos = np.asarray(seeds[a : min(mine.stop, a + scratch.batch)]).astype(np.int64)
                 values = np.asarray(seed_prefixes[a : a + len(pos)]).astype(np.int64)
                 if a == mine.start:
                     values[0] = 0 if last is None else matching(t, np.array([last]), pos[:1], most)[0]
                 emit(pos, values, *before(pos))
         else:
-            _together(t, low, high, list(queue.pop(r)), np.asarray(seeds[mine.start : mine.stop]), np.asarray(seed_prefixes[mine.start : mine.stop]), most, prefixes, before, emit)
+            _together(t, low, high, list(queue.pop(r)), np.asarray(seeds[mine.start : mine.stop]).astype(np.int64), np.asarray(seed_prefixes[mine.start : mine.stop]), most, prefixes, before, emit)
     return out, prefixes
 
 
-def _alone(symbol: int, queue: Queue, r: int, prefixes: Prefixes, before, emit) -> int | None:
+def _runs_on(t, symbol: int, pos: np.ndarray, values: np.ndarray, run: int, before, emit) -> int:
+    """A few targets and all that they push into their own range, run by run of growing length: each next one has those
+    that go on, in the same order, and one more symbol in common."""
+    reach, active = np.zeros(len(pos), np.int64), np.arange(len(pos))
+    while len(active):
+        at = pos[active] - reach[active] - 1
+        active = active[(at >= 0) & (t[np.maximum(at, 0)] == symbol)]
+        reach[active] += 1
+    ends = pos - reach
+    ok, s = before(ends)
+    all_pos, all_values, leave, symbols, now = [], [], [], [], None
+    for g in range(int(reach.max()) + 1):
+        if now is None or (stopped == g - 1).any():  # noqa: F821
+            now = np.flatnonzero(reach >= g)
+            stopped = reach[now]
+            shared = np.append(0, np.minimum.reduceat(values[: now[-1] + 1], now[:-1] + 1)) if len(now) > 1 else np.zeros(1, np.int64)
+        here = shared + g
+        here[0] = run + g - 1 if g else values[0]
+        all_pos.append(pos[now] - g)
+        all_values.append(here)
+        leave.append(ok[now] & (stopped == g))
+        symbols.append(s[now])
+    out = np.concatenate(all_pos)
+    emit(out, np.concatenate(all_values), np.concatenate(leave), np.concatenate(symbols))
+    return int(out[-1])
+
+
+def _alone(t, symbol: int, queue: Queue, r: int, prefixes: Prefixes, before, emit) -> int | None:
     """The targets of one symbol: those whose successor has another symbol, then what these pushed into the range
     themselves (a run longer by one), and so on. Gives back the last one."""
     last, run, successor = None, 0, 0
     while r in queue.held or r in queue.files:
         run, fresh = run + 1, True
+        if (few := queue.few(r)) is not None:
+            pos, after = few.T
+            values = np.append(run - 1, 1 + prefixes.along(after).astype(np.int64))
+            return _runs_on(t, symbol, pos, values, run, before, emit)
         for items in queue.pop(r):
             pos, after = items.T
             values = np.empty(len(pos), np.int64)
@@ -333,7 +374,7 @@ def _types(t: np.ndarray, scratch: Scratch) -> np.ndarray:
 
 def _lms(small: np.ndarray, scratch: Scratch) -> np.ndarray:
     starts = [a + np.flatnonzero(np.asarray(small[a:b]) & ~np.asarray(small[a - 1 : b - 1] if a else np.append(True, small[: b - 1]))) for a, b in scratch.steps(len(small))]
-    out, at = scratch.array(sum(map(len, starts)), np.int64), 0
+    out, at = scratch.places(sum(map(len, starts)), len(small)), 0
     for x in starts:
         out[at : at + len(x)] = x
         at += len(x)
@@ -376,16 +417,16 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: int, scratch:
     """The rank of every LMS substring and how many there are: dealt out to files by first word, ranked a file at a time."""
     m, bits = len(lms), (2 * top + 2).bit_length()
     each = max(1, 63 // bits)
-    following = lambda a, b: np.append(lms[a + 1 : b + 1], len(t) - 1)[: b - a]
+    following = lambda a, b: np.append(lms[a + 1 : b + 1], len(t) - 1)[: b - a].astype(np.int64)
 
     def first_words(a, b):
-        x = np.asarray(lms[a:b])
+        x = np.asarray(lms[a:b]).astype(np.int64)
         return _word(t, small, x, following(a, b) - x + 1, 0, each, bits)
 
     parts = max(1, -(-m // scratch.batch))
-    names = scratch.array(m, np.int64)
+    names = scratch.places(m, len(t))
     if parts == 1:
-        names[:] = _ranks(t, small, np.asarray(lms), following(0, m), bits)
+        names[:] = _ranks(t, small, np.asarray(lms).astype(np.int64), following(0, m), bits)
         return names, int(names.max()) + 1
     rng = np.random.default_rng(1)
     drawn = np.sort(np.concatenate([rng.choice(first_words(a, b), 64) for a, b in scratch.steps(m)]))
@@ -400,7 +441,7 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: int, scratch:
     for k in range(len(edges) + 1):
         if got := list(files.pop(k)):
             which, after = np.concatenate(got).T
-            found = _ranks(t, small, np.asarray(lms[which]), after, bits)
+            found = _ranks(t, small, np.asarray(lms[which]).astype(np.int64), after, bits)
             names[which] = used + found
             used += int(found.max()) + 1
     return names, used
@@ -411,14 +452,14 @@ def _sorted_lms(t, small, lms, top: int, most: int, scratch: Scratch) -> tuple[n
     m = len(lms)
     names, used = _names(t, small, lms, top, scratch)
     if used == m:
-        order, alike = scratch.array(m, np.int64), None
+        order, alike = scratch.places(m, m), None
         for a, b in scratch.steps(m):
             order[names[a:b]] = np.arange(a, b)
     else:
         order, alike = _suffixes(names, used - 1, most, scratch)
-    starts, values = scratch.array(m, np.int64), scratch.array(m, np.uint16)
+    starts, values = scratch.places(m, len(t)), scratch.array(m, np.uint16)
     for a, b in scratch.steps(m):
-        mine = np.asarray(order[a:b])
+        mine = np.asarray(order[a:b]).astype(np.int64)
         starts[a:b] = lms[mine]
         left = np.append(order[a - 1] if a else mine[0], mine[:-1])
         same = np.zeros(b - a, np.int64) if alike is None else np.asarray(alike[a:b]).astype(np.int64)
@@ -446,6 +487,7 @@ def _suffixes(t: np.ndarray, top: int, most: int, scratch: Scratch) -> tuple[np.
         turned[a:b] = top - np.asarray(t[a:b])
     both, prefixes = _induce(t, large, seeds, seed_prefixes, n - 1, most, scratch)
     kept, kept_prefixes = _only(both, prefixes.values, large, scratch)
+    del both, prefixes, seeds, seed_prefixes, lms, large
     down = np.zeros(1, np.uint16)
     back = kept_prefixes[::-1]  # of the turned order a suffix's neighbour is the one that came after
     back = _shifted(back, down, scratch)
@@ -464,7 +506,7 @@ def _shifted(x: np.ndarray, first: np.ndarray, scratch: Scratch) -> np.ndarray:
 def _only(order: np.ndarray, prefixes: np.ndarray, wanted: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The wanted suffixes alone: a common prefix is the least of those in between."""
     total = sum(int(np.count_nonzero(wanted[order[a:b]])) for a, b in scratch.steps(len(order)))
-    out, values, at = scratch.array(total, np.int64), scratch.array(total, np.uint16), 0
+    out, values, at = scratch.places(total, len(wanted)), scratch.array(total, np.uint16), 0
     for pos, x in wanted_only(order, prefixes, lambda p: wanted[p], scratch):
         out[at : at + len(pos)], values[at : at + len(pos)] = pos, x
         at += len(pos)
