@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 3  # sampled steps of a walk
-SIZES = (6, 12, 24)  # words in a window; an item is read in the largest that leaves room for the windows' stride
-MOST_REPETITIONS = 24
+SIZES = (5, 6, 12, 24)  # words in a window; an item is read in the largest that leaves room for the windows' stride
+MOST_WALKS = 512
 _WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -29,11 +29,11 @@ def words(text: str | None) -> list[str]:
 
 
 def stride(size: int) -> int:
-    return max(1, size // 3)
+    return 1 if size < 6 else size // 3
 
 
 def size_for(n: int) -> int | None:
-    """The window size an item of n words is read in; None if it is too short to tell."""
+    """The window size an item of n words is read in; None for those that are matched word for word."""
     return max((s for s in SIZES if s + stride(s) <= n), default=SIZES[0] if n >= SIZES[0] else None)
 
 
@@ -70,8 +70,11 @@ class Walks:
         return which, h
 
 
-def repetitions(items: list[np.ndarray], size: int, rate: float, recall: float, trials: int = 200, walks: int = 24, seed: int = 3) -> int:
-    """The fewest walks that find an item with edits at `rate` of its words with chance `recall`, by trial on the items."""
+def repetitions(items: list[np.ndarray], size: int, rate: float, recall: float, trials: int = 200, walks: int = 48, seed: int = 3) -> int:
+    """The fewest walks that find an item with edits at `rate` of its words with chance `recall`, by trial on the items.
+
+    Raises where MOST_WALKS would not do.
+    """
     rng = np.random.default_rng([seed, size])
     drawn = Walks(size, walks, seed)
     sides = ([], [])
@@ -99,10 +102,10 @@ def repetitions(items: list[np.ndarray], size: int, rate: float, recall: float,
         met = np.isin(g * _MIX[0] + flat[1][2][q], both)
         hits[np.unique(flat[1][2][q[met]]).astype(np.int64)] += 1
     chance = hits / walks
-    for n in range(1, MOST_REPETITIONS):
+    for n in range(1, MOST_WALKS + 1):
         if (1 - (1 - chance) ** n).mean() >= recall:
             return n
-    return MOST_REPETITIONS
+    raise ValueError(f"{MOST_WALKS} walks find items read in {size} words with chance {(1 - (1 - chance) ** MOST_WALKS).mean():.3f}, not {recall}")
 
 
 class Index:
@@ -110,6 +113,10 @@ class Index:
 
     def __init__(self, names: list[int], texts: list[str], rate: float, recall: float):
         split = [words(t) for t in texts]
+        self.short: dict[int, dict[tuple, list[int]]] = {}  # by length, by words: the items too short for a window
+        for name, s in zip(names, split):
+            if s and not size_for(len(s)):
+                self.short.setdefault(len(s), {}).setdefault(tuple(s), []).append(name)
         keep = [i for i, w in enumerate(split) if size_for(len(w))]
         self.names, self.rate = [names[i] for i in keep], rate
         split = [split[i] for i in keep]
@@ -181,8 +188,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     against all windows of all items; what agrees in the sampled words, and has enough of the item's words around it to
     be that near at all, is settled by the exact edit distance, in words, of the whole item to that stretch. `recall` is
     for edits in `rate` of an item's words; an item that stands there word for word is always found. Null texts and
-    items match nothing, nor do items under six words. Repeated rows give one result; a row without an id gives one under null. Items go to
-    the executors in groups of at most about `most_item_bytes`, one pass over the documents for each group.
+    items match nothing; items under five words match word for word only. Texts of any length are read whole, a stretch
+    of windows at a time. Repeated rows, and texts repeated under one item_id, give one result; a row without an id
+    gives one under null. Items go to the executors in groups of at most about `most_item_bytes`, one pass over the
+    documents for each group. Other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).where("item is not null")
@@ -193,7 +202,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for g in range(groups):
         pdf = items.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == g).toPandas().sort_values(["item_id", "item"])
         index = Index([None if pd.isna(x) else int(x) for x in pdf["item_id"]], pdf["item"].tolist(), rate, recall)
-        if index.names:
+        if index.names or index.short:
             found = found.unionByName(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), found.schema))
     return found.groupBy("doc_id", "item_id").agg(F.min("n_edits").alias("n_edits"), F.min("n_words").alias("n_words"))
 
@@ -240,6 +249,10 @@ def _searcher(shipped, most_words: int = 1 << 17):
                         if e <= most:
                             best[doc] = min(e, best.get(doc, e))
                 rows += [(held[doc][0], index.names[item], e, n) for doc, e in best.items()]
+            for n, short in index.short.items():
+                for doc_id, w in held:
+                    seen = {x for x in zip(*(w[k:] for k in range(n)))} & short.keys()
+                    rows += [(doc_id, item, 0, n) for x in seen for item in short[x]]
             types = (("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_edits", pa.int32()), ("n_words", pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
 

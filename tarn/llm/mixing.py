@@ -22,13 +22,12 @@ DIMS = ("source", "lang", "topic")
 
 
 def attributes(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The given rows and columns plus _source, _lang, _topic (null: "(none)") and _tokens (words of the whole text)."""
-    known = topics.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("topic").alias("_topic")).withColumnRenamed("id", "_id")
+    """A row a document: row (all its columns, untouched), source, lang, topic (null: "(none)") and tokens (words of the whole text)."""
+    known = topics.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("topic").alias("topic"))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"_source": named(source_col), "_lang": named(lang_col), "_tokens": tokens, "_key": F.col(id_col).cast("long")})
-    out = rows.join(known, rows["_key"] == known["_id"], "left").drop("_id", "_key")
-    return out.withColumn("_topic", named("_topic"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), named(source_col).alias("source"), named(lang_col).alias("lang"), tokens.alias("tokens"))
+    return rows.join(known, "id", "left").withColumn("topic", named("topic"))
 
 
 def calibrated(cells: DataFrame, targets: dict = TARGETS, rounds: int = 12, budget: float = 0.5) -> DataFrame:
@@ -130,19 +129,21 @@ def chances(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", **option
     Repeated rows share one draw, as do rows without an id; documents without words in a cell without words go.
     """
     rows = attributes(docs.select(id_col, "text", "source", "lang"), topics, id_col)
-    rows = stored(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens")), "attributes")
+    rows = stored(rows.select(F.col("id").alias("doc_id"), *DIMS, F.col("tokens").alias("n_tokens")), "attributes")
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     out = rows.join(calibrated(cells, **options), list(DIMS), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     return out.select("doc_id", *DIMS, "n_tokens", F.round("p", 6).alias("p"), (draw("doc_id") < F.col("p")).alias("kept"))
 
 
 def sampled(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", fit=calibrated, **options) -> DataFrame:
-    """The sampled rows of `docs`, all columns, with their chance `p_kept`; `fit` is calibrated or filled."""
+    """The sampled rows of `docs`, all columns, with their chance `p_kept` (in place of a column of that name); `fit` is
+    calibrated or filled. Null categories, repeated rows and rows without an id are as in chances()."""
     rows = attributes(docs, topics, id_col)
-    cells = rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("_tokens").alias("tokens"))
-    p = fit(cells, **options).select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("p").alias("_p"))
-    out = rows.join(p, [f"_{d}" for d in DIMS], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
-    return out.where(draw(id_col) < F.col("_p")).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_p").alias("p_kept"))
+    cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
+    p = fit(cells, **options).select(*DIMS, "p")
+    out = rows.join(p, list(DIMS), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    kept = out.where(draw("id") < F.col("p"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "p_kept"), F.col("p").alias("p_kept"))
 
 
 def oracle_sql(targets: dict = TARGETS, rounds: int = 12, budget: float = 0.5) -> str:

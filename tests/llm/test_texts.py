@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarn.llm import ctw, decontaminate, mixing, pieces, pii, quality
@@ -85,6 +86,35 @@ def test_field_held_out():
     assert hit / made > 0.93 and hit / want > 0.9
 
 
+HAND_MADE = [
+    ("Reach Dana at dana.k (at) harbor (dot) org before Friday.", [("email", "dana.k (at) harbor (dot) org")]),
+    ("write to lee[at]mail.net or call 212-555-0143 today", [("email", "lee[at]mail.net"), ("phone", "212-555-0143")]),
+    ("Office: (415) 555-2671, room 12", [("phone", "(415) 555-2671")]),
+    ("Invoice 2024-03-15 for 1,299.00 due 2024-04-15", []),
+    ("version 10.4.300.2 was built from 1.2.3", []),
+    ("tracking number 1234567890123 shipped 14 May", []),
+    ("Call 212 555 0143 and ask for Lee", [("phone", "212 555 0143")]),
+    ("the meeting is at 10:30 on 4 July 2026", []),
+    ("isbn 978-3-16-148410-0 and pages 100-199", []),
+    ("order 55501 of 9 items, 12 boxes, 2 pallets", []),
+    ("she said (at) least 3 people came", []),
+    ("mobile (020) 7946-0018 or mail jo.b[at]corp.co.uk please", [("phone", "(020) 7946-0018"), ("email", "jo.b[at]corp.co.uk")]),
+    ("coordinates 51.5074 and 0.1278, altitude 35", []),
+    ("phone 303-555-0188, fax 303-555-0189", [("phone", "303-555-0188"), ("phone", "303-555-0189")]),
+    ("scores 12 14 15 16 18 19 21 23", []),
+    ("contact sam(at)uni(dot)edu", [("email", "sam(at)uni(dot)edu")]),
+]
+
+
+def test_field_on_sequences_written_by_hand():
+    """Sentences that the generator did not make: what the field adds to the base spans."""
+    w, made, hit, want = pii.fitted(), 0, 0, 0
+    for text, gold in HAND_MADE:
+        got = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, pii.base_spans(text), w)]
+        made, want, hit = made + len(got), want + len(gold), hit + len(set(got) & set(gold))
+    assert want == 10 and hit / max(1, made) >= 0.8 and hit / want >= 0.8, (made, want, hit)
+
+
 def test_pii_rows(spark):
     rows = [(1, "x a.b@c.de y 10.0.0.1 +1 (743) 555-3824"), (2, "é 4465758382889437"), *ODD]
     out = pii.found(frame(spark, rows)).collect()
@@ -124,6 +154,38 @@ def test_quality_learns_and_leaves_held_out_labels_alone(spark):
     assert {r.score for r in quality.scored(frame(spark, rows), spark.createDataFrame([], schema)).collect()} == {0.5}
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, order):
+    """The published update, one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for k in order:
+        (slots, x), y = rows[k]
+        pairs = [*zip(slots.tolist(), map(float, x)), (1 << quality.BITS, 1.0)]
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in pairs)))
+        for i, v in pairs:
+            g = (p - y) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            w = weight(i)
+            z[i] += g - sigma * w
+            n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_updates_are_the_published_ones():
+    rng = random.Random(5)
+    rows = [(quality.features(" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 12)))), rng.randint(0, 1)) for _ in range(40)]
+    shuffled = np.random.default_rng(7)
+    order = [k for _ in range(3) for k in shuffled.permutation(len(rows))]
+    got, want = quality.ftrl(rows, 2.0, 1.0, 0.1, 0.001, 3), plain_ftrl(rows, 2.0, 1.0, 0.1, 0.001, order)
+    assert all(math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-12) for i, w in want.items())
+    assert set(np.flatnonzero(got)) == {i for i, w in want.items() if w}
+
+
 # Token counts
 
 
@@ -275,6 +337,51 @@ def test_edits_against_a_table():
         assert decontaminate.edits(np.array(a), np.array(b, np.int64)) == min(row)
 
 
+@pytest.mark.parametrize("length", [(5, 7), (8, 11), (12, 30), (31, 80)])
+def test_leaks_with_a_fifth_of_the_words_changed(spark, length):
+    """Recall against an exact matcher: every item is planted with edits in 20 % of its words, 240 times."""
+    rng = random.Random(length[0])
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
+    items = [(k, [word() for _ in range(rng.randint(*length))]) for k in range(24)]
+    docs = []
+    for i in range(240):
+        w = list(items[i % 24][1])
+        for at in rng.sample(range(len(w)), int(0.2 * len(w))):
+            w[at] = word()
+        body = [word() for _ in range(rng.randint(0, 60))]
+        at = rng.randint(0, len(body))
+        docs.append((i, " ".join(body[:at] + w + body[at:])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+
+    def nearest(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item):
+            new = [i + 1]
+            for j, y in enumerate(text):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {(i, k): e for i, t in docs for k, w in [items[i % 24]] if (e := nearest(w, t.split())) <= int(0.2 * len(w))}
+    got = {(r.doc_id, r.item_id): r.n_edits for r in decontaminate.matches(frame(spark, docs), bench).collect()}
+    assert len(want) == 240 and all(got[p] == want.get(p, got[p]) for p in got)
+    assert len(want.keys() & got.keys()) >= 0.95 * 240
+    assert all(nearest(items[k][1], docs[i][1].split()) <= int(0.2 * len(items[k][1])) for i, k in got.keys() - want.keys())
+
+
+def test_too_few_walks_is_an_error():
+    far = [np.arange(1, 13)]
+    with pytest.raises(ValueError, match="walks find"):
+        decontaminate.repetitions(far, 12, 0.95, 0.999)
+
+
+def test_short_items_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "one two three four five six"), (2, "alpha gamma"), (3, "solo")], "item_id long, text string")
+    docs = [(1, "x Alpha, beta y"), (2, "alpha x beta"), (3, "a one two three four five six"), (4, "q q one two three four five six"), (5, None), (6, "alpha gamma " * 40000)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 2), (6, 2)}
+
+
 def test_contaminated_documents(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
@@ -355,6 +462,10 @@ def test_mixing_rows(spark):
     df = frame(spark, rows)
     out = mixing.chances(df, topics).collect()
     assert len(out) == len(rows) and {r.topic for r in out} == {"0", "1", "2", "(none)"}
+    odd = df.withColumns({"_source": F.lit("s"), "row": F.lit(1), "tokens": F.lit("t"), "topic": F.lit("u"), "id": F.lit(2), "p_kept": F.lit(0.5)})
+    sample = mixing.sampled(odd, topics)
+    assert sample.columns == [*odd.columns]
+    assert {(r["_source"], r["row"], r["tokens"], r["topic"], r["id"]) for r in sample.collect()} == {("s", 1, "t", "u", 2)}
     kept = mixing.sampled(df, topics)
     assert kept.columns == [*df.columns, "p_kept"]
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out if r.kept)
