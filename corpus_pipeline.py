@@ -16,37 +16,44 @@ from tarn.llm.queries import topics
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    A null or empty text is judged by the classifier's bias, a repeated row like its first, a row without an id too.
+    """
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the smallest id stays (of its texts, that of the smallest hash); equal rows are one.
 
-    The link is the stage's own: five-word shingles with a Jaccard similarity of 0.8 or more.
+    The link is the stage's own: five-word shingles with a Jaccard similarity of 0.8 or more. Texts without words are
+    alike; different texts under one id are told apart; rows without an id stay.
     """
     found = simhash.similar(docs)
     first = Window.partitionBy("component_id").orderBy("doc_id", "text_hash")
-    gone = found.withColumn("_nth", F.row_number().over(first)).where("_nth > 1")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    left = rows.join(gone, (rows["doc_id"] == gone["_gone"]) & (rows["_hash"] == gone["_gone_hash"]), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash"))
-    return left.withColumn("_nth", nth).where("doc_id is null or _nth = 1").drop("_nth", "_hash")
+    gone = found.withColumn("nth", F.row_number().over(first)).where("nth > 1").select("doc_id", "text_hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
+    once = left.where("doc_id is not null").withColumn("nth", nth).where("nth = 1").select("row")
+    return once.unionByName(left.where("doc_id is null").select("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
+    """Documents that hold a benchmark item, or nearly, go; null texts hold none, rows without an id stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes its kind in brackets; n_chars follows the text."""
+    """Every span of personal data becomes its kind in brackets; n_chars follows the text. No row goes; null texts stay null."""
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of half the tokens, near the source, language and topic targets, with each document's chance."""
+    """A sample of half the tokens, near the source, language and topic targets, with each document's chance.
+
+    Null categories are one category; repeated rows, and rows without an id, share one draw.
+    """
     return mixing.sampled(docs, topics(spark, sf_dir), fit=mixing.filled)
 
 
@@ -58,7 +65,7 @@ STAGES = [
     ("mixing to target weights", mix),
 ]
 
-#: Trained weights and fitted fields are beyond SQL; the tests hold run() against plain versions of the stages.
+#: Trained weights and fitted fields are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
