@@ -69,7 +69,9 @@ _PART = re.compile(r"[A-Za-z0-9_%]+|[^A-Za-z0-9_%\s]|\s")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]{1,3}(?:(?:\.| ?[\[(]dot[\])] ?)[0-9]{1,3}){3}")
 _GROUPS = re.compile(r"[0-9]+(?:[ .-][0-9]+)*")
+_LOOSE = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])*")
 _DIAL = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}")
+_GROUPED = {"3-3-4", "1-3-3-4", "2-3-3-4", "3-4-4", "2-4-4", "2-2-4-4", "3-2-4", "4-4-4", "4-4-4-4", "4-2-2"}
 _CUES = {"email": {"mail", "email", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "pay", "paid"}, "phone": {"phone", "call", "tel", "mobile", "fax"}}
 
 
@@ -87,12 +89,16 @@ def span_features(text: str, start: int, end: int, kind: str) -> list[str]:
     elif kind == "card":
         out += [f"card:len={14 <= n <= 19}", f"card:luhn={fit and 14 <= n <= 19 and luhn(digits)}", f"card:len16={n == 16}"]
     else:
-        out += [f"phone:len={10 <= n <= 15}", f"phone:mark={s[0] in '+('}", f"phone:fit={fit and 10 <= n <= 13}"]
+        groups = "-".join(str(len(x)) for x in re.findall("[0-9]+", s))
+        out += [f"phone:len={10 <= n <= 15}", f"phone:mark={s[0] in '+('}", f"phone:fit={fit and 10 <= n <= 13}", f"phone:groups={groups if groups in _GROUPED else n}"]
     before, after = text[start - 1 : start], text[end : end + 1]
     out.append(f"{kind}:glued={bool(re.match('[A-Za-z0-9_]', before) or re.match('[A-Za-z0-9_]', after))}")
     out.append(f"{kind}:chained={bool(re.search('[0-9][ .-]?$', text[max(0, start - 2) : start]) or re.match('[ .-]?[0-9]', text[end : end + 2]))}")
     cue = re.findall("[a-z]+", text[max(0, start - 24) : start].lower())[-3:]
     out.append(f"{kind}:cue={bool(_CUES[kind] & set(cue))}")
+    if kind == "email":
+        more = re.match(r"(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9]", text[end : end + 8]) or re.search(r"[A-Za-z0-9][.+-]?$", text[max(0, start - 2) : start])
+        out.append(f"email:cut={more is not None}")
     return out
 
 
@@ -115,7 +121,7 @@ def candidates(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int,
                 out.append((i, j, "ip"))
             if 10 <= n <= 19 and _GROUPS.fullmatch(s):
                 out.append((i, j, "card"))
-            if 8 <= n <= 15 and _DIAL.fullmatch(s):
+            if 7 <= n <= 15 and _LOOSE.fullmatch(s):
                 out.append((i, j, "phone"))
             if n > 19:
                 break
@@ -175,23 +181,25 @@ def _made_up(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
     def phone():
         area, a, b = number(3), number(3), number(4)
-        return rng.choice((f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+44 {area} {a} {b}"))
+        return rng.choice((f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}", f"(0{number(2)}) {number(4)} {b}", f"+44 {area} {a} {b}"))
 
     def entity():
         k = rng.choice(KINDS)
         host = f"{word()}.{rng.choice(('com', 'org', 'net'))}"
-        s = {"email": rng.choice((f"{word()}@{host}", f"{word()}.{number(2)} (at) {word()} (dot) com", f"{word()}[at]{host}")), "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card(), "phone": phone()}[k]
-        return s, k
+        s = {"email": rng.choice((f"{word()}@{host}", f"{word()}.{number(2)} (at) {word()} (dot) com", f"{word()}[at]{host}", f"{word()}.{word()}[at]{word()}.co.uk")), "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card(), "phone": phone()}[k]
+        cue = rng.choice((*sorted(_CUES[k]), f"{rng.choice(sorted(_CUES[k]))} {rng.choice(('at', 'is', 'me', 'or', 'us on'))}")) + rng.choice((" ", ": ", ", "))
+        return cue if rng.random() < 0.6 else "", s, k
 
     def decoy():
         bad = next(s for s in iter(lambda: number(16), None) if not luhn(s))
-        return rng.choice((bad, f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), ".".join(number(1) for _ in range(5)), f"{number(4)}-{number(2)}-{number(2)}", number(rng.randint(1, 12)), number(24), f"{word()}@{word()}", f"{number(3)} {number(3)} {number(2)}", f"{word()}{number(16)}", f"{number(4)} {number(4)} {number(4)}"))
+        return rng.choice((bad, f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), ".".join(number(1) for _ in range(5)), f"{number(4)}-{number(2)}-{number(2)}", number(rng.randint(1, 12)), number(24), f"{word()}@{word()}", f"{number(3)} {number(3)} {number(2)}", f"{word()}{number(16)}", f"{number(4)} {number(4)} {number(4)}", f"{number(3)}-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"{number(2)}.{number(2)}.{number(4)} {number(2)}:{number(2)}", f"{number(4)}-{number(2)}-{number(2)} {number(3)}", " ".join(number(rng.choice((2, 2, 3, 5))) for _ in range(rng.randint(3, 7))), f"{number(2)}.{number(4)} {number(1)}.{number(4)}", f"({number(2)} x {number(2)}) {number(3)}"))
 
     text, gold = "", []
     for _ in range(rng.randint(3, 9)):
         roll = rng.random()
         if roll < 0.3:
-            s, k = entity()
+            cue, s, k = entity()
+            text += cue
             gold.append((len(text), len(text) + len(s), k))
             text += s + rng.choice((" ", " ", ", ", ". "))
         elif roll < 0.5:
@@ -202,7 +210,7 @@ def _made_up(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 @lru_cache(maxsize=4)
-def fitted(sequences: int = 300, passes: int = 6, rate: float = 0.3, l2: float = 0.002, seed: int = 11) -> dict[str, float]:
+def fitted(sequences: int = 600, passes: int = 6, rate: float = 0.3, l2: float = 0.002, seed: int = 11) -> dict[str, float]:
     """Feature weights by stochastic gradient on the exact conditional likelihood of made-up sequences."""
     rng = random.Random(seed)
     data = []
