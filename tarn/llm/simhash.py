@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -97,8 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SHINGLE, LANES, KEPT = 5, 16, 2  # words a shingle, 64-bit lanes a long fingerprint, lanes kept for the Hamming check
-FAR = 44  # of the 128 bits kept: at a Jaccard similarity of 0.8 the mean is 19 and the deviation 4, for strangers 64 and 6
+SHINGLE, LANES = 5, 16  # words a shingle, 64-bit lanes a long fingerprint; the first lane is kept for the Hamming check
+FAR = 22  # of its 64 bits: at a Jaccard similarity of 0.8 the mean is 10 and the deviation 3, for strangers 32 and 4
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -122,7 +122,7 @@ def long_fingerprint(h: np.ndarray, lanes: int = LANES) -> np.ndarray:
     return 2 * ones > len(h)
 
 
-def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.99) -> np.ndarray:
+def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.97) -> np.ndarray:
     """(keys, bits): which bits of the long fingerprint make up each key, for `n` texts.
 
     A key has as many bits as leave a few strangers in a bucket, and there are as many keys as let a pair of the given
@@ -135,11 +135,14 @@ def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.99) -> np.ndar
     return np.array([rng.permutation(64 * LANES)[:bits] for _ in range(keys)])
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, most_in_bucket: int = 32, leaders: int = 4) -> DataFrame:
     """(doc_id, text_hash, component_id): the different texts under each id, in components of similar shingle sets.
 
-    Texts whose long fingerprints share a key are candidates; those no more than FAR of 128 bits apart are compared by
-    the exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts with the same
+    Texts whose long fingerprints share a key are in one bucket. In a bucket of up to `most_in_bucket` all pairs are
+    candidates. In a larger one, which near copies by the hundred make, every member is compared with `leaders` of it
+    first; what that links is one component, and only pairs of different components are left to compare, those of the
+    bucket's largest component with the rest of it. Candidates no more than FAR of 64 bits apart are decided by the
+    exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts with the same
     shingles, or both without words, are always in one component. Rows without an id are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -155,33 +158,56 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 node.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 size.append(len(h))
                 keys.append(bits[drawn] @ power if len(h) else [])
-                kept.append(np.packbits(bits[: 64 * KEPT], bitorder="little").view(np.int64))
-            a, z = np.array(kept).T
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(a), pa.array(z), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "a", "z", "keys"])
+                kept.append(int(np.packbits(bits[:64], bitorder="little").view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "a", "keys"])
 
     def sets(batches):
         for b in batches:
             h = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "set"])
 
-    found = stored(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, a long, z long, keys array<long>"), "prints")
+    found = stored(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size int, a long, keys array<long>"), "prints")
     named = found.select("doc_id", "text_hash", "node").distinct()
-    once = found.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", "a", "z", "keys")))
-    filed = once.select("node", "size", "a", "z", F.posexplode("keys").alias("nth", "key"))
-    u, v = (filed.select("nth", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "a", "z"))) for s in "uv")
-    apart = F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) + F.bit_count(F.col("z_u").bitwiseXOR(F.col("z_v")))
-    alike = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")
-    near = u.join(v, ["nth", "key"]).where((F.col("node_u") < F.col("node_v")) & alike & (apart <= FAR))
-    near = stored(near.select("node_u", "node_v").distinct(), "candidates")
-
-    asked = near.select(F.col("node_u").alias("node")).union(near.select("node_v")).distinct()
-    first = found.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    first = stored(first.select("node", "at.*"), "asked")
-    texts = rows.join(first, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+    once = found.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", "a", "keys")))
+    filed = once.select("node", "size", "a", F.posexplode("keys").alias("nth", "key")).select(F.xxhash64("nth", "key").alias("bucket"), "node", "size", "a")
+
+    def near(u: DataFrame, v: DataFrame, more: Column) -> DataFrame:
+        """(node_u, node_v) of a bucket's u and v that pass the cheap tests; the smaller node first."""
+        u, v = (x.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "bucket")) for x, s in ((u, "u"), (v, "v")))
+        alike = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")
+        pairs = u.join(v, "bucket").where(more & alike & (F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) <= FAR))
+        return pairs.select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"))
+
+    large = stored(filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most_in_bucket).select("bucket"), "large-buckets")
+    cold = filed.join(large, "bucket", "left_anti")
+    hot = stored(filed.join(large, "bucket", "left_semi"), "hot")
+    order = [F.xxhash64("node", "bucket", F.lit(i)) for i in range(leaders)]
+    first = hot.groupBy("bucket").agg(*(F.min(F.struct(o.alias("o"), "node", "size", "a")).alias(f"l{i}") for i, o in enumerate(order)))
+    first = stored(first.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in ("node", "size", "a"))) for i in range(leaders))))).alias("l")).select("bucket", "l.*"), "leaders")
+    candidates = near(cold, cold, F.col("node_u") < F.col("node_v")).unionByName(near(first, hot, F.col("node_u") != F.col("node_v")))
+    candidates = stored(candidates.distinct(), "candidates")
+
+    asked = candidates.select(F.col("node_u").alias("node")).union(candidates.select("node_v")).union(hot.select("node")).distinct()
+    at = found.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    at = stored(at.select("node", "at.*"), "asked")
+    texts = rows.join(at, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
     held = stored(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
-    pairs = near.join(held.select(F.col("node").alias("node_u"), F.col("set").alias("s")), "node_u")
-    pairs = pairs.join(held.select(F.col("node").alias("node_v"), F.col("set").alias("t")), "node_v")
-    both = F.size(F.array_intersect("s", "t"))
-    links = pairs.where(both >= similarity * (F.size("s") + F.size("t") - both)).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both_sets = pairs.join(held.select(F.col("node").alias("node_u"), F.col("set").alias("s")), "node_u")
+        both_sets = both_sets.join(held.select(F.col("node").alias("node_v"), F.col("set").alias("t")), "node_v")
+        both = F.size(F.array_intersect("s", "t"))
+        links = both_sets.where(both >= similarity * (F.size("s") + F.size("t") - both))
+        return stored(links.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")), "links")
+
+    links = verified(candidates)
+    if not hot.isEmpty():
+        linked = components(links)
+        members = stored(hot.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+        sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+        rest = stored(members.join(stored(sizes, "largest"), "bucket").where("component <> largest").drop("largest"), "rest")
+        apart = (F.col("component_u") != F.col("component_v")) & (F.col("node_u") != F.col("node_v"))
+        more = near(rest, members, apart).distinct().join(candidates, ["node_u", "node_v"], "left_anti")
+        links = links.unionByName(verified(stored(more, "candidates-apart")))
     linked = components(links).withColumnRenamed("component", "component_id")
     return named.join(linked, "node", "left").select("doc_id", "text_hash", F.coalesce("component_id", "node").alias("component_id"))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import ctw, decontaminate, mixing, pieces, pii, quality
+from tarn.llm import ctw, decontaminate, mixing, pieces, pii, quality, simhash
 
 ODD = [(900, None), (901, ""), (902, " \n "), (None, "a b c"), (3, "again"), (3, "again"), (950, "long word " * 30000)]
 
@@ -523,6 +523,34 @@ def test_near_dedup_reads_five_word_shingles(spark):
     assert set(range(60)) <= set(left) and left.count(5000) == 2  # two texts under one id stay, its copy of another goes
 
 
+@pytest.mark.parametrize("most", [1, 4, 32])
+def test_large_buckets_lose_no_component(spark, most):
+    """Hundreds of near copies in a few groups, buckets of any size: the components of an exact all-pairs comparison."""
+    rng = random.Random(6)
+    sets = {}
+    for i in range(5):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for j in range(30):
+            w = list(base)
+            for at in rng.sample(range(115), rng.randint(0, 5)):
+                w[at] = f"e{rng.randrange(9)}"
+            sets[100 * i + j] = w
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in sets.items()}
+    links = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    root = {k: k for k in grams}
+    for _ in grams:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    out = simhash.similar(frame(spark, [(k, " ".join(w)) for k, w in sets.items()]), most_in_bucket=most, leaders=2).collect()
+    got = defaultdict(set)
+    for r in out:
+        got[r.component_id].add(r.doc_id)
+    want = defaultdict(set)
+    for k, r in root.items():
+        want[r].add(k)
+    assert len(links) > 300 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 @pytest.mark.parametrize("name", ["op9_token_counts", "op3_pii"])
 def test_registered(name):
     import __spark_entry__
