@@ -30,8 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alike; different texts under one id are told apart; rows without an id stay.
     """
     found = simhash.similar(docs)
-    first = Window.partitionBy("component_id").orderBy("doc_id", "text_hash")
-    gone = found.withColumn("nth", F.row_number().over(first)).where("nth > 1").select("doc_id", "text_hash")
+    found = stored(found, "similar")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    gone = found.select("doc_id", "text_hash").join(first, ["doc_id", "text_hash"], "left_anti")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
