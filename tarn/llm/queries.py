@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ctw, decontaminate, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk
 from .common import table
 
+#: op9's vocabulary: the path is a parameter of the query; the file must be there on the driver, which reads it.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
