@@ -21,9 +21,9 @@ from ..functions.text import normal_path
 FORMATS = {
     "txt": ("text", "text/plain"),
     "md": ("markdown", "text/markdown"),
-    "csv": ("spreadsheet", "text/csv"),
-    "html": ("web_page", "text/html"),
-    "htm": ("web_page", "text/html"),
+    "csv": ("file", "text/csv"),
+    "html": ("html", "text/html"),
+    "htm": ("html", "text/html"),
     "eml": ("email", "message/rfc822"),
     "docx": ("document", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
     "pptx": ("presentation", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
@@ -67,7 +67,7 @@ def listed(spark: SparkSession, folder: str, excluded_directories: tuple[str, ..
 
 
 def document_type(ext: Column) -> Column:
-    return F.coalesce(F.create_map(*(F.lit(x) for k, v in FORMATS.items() for x in (k, v[0])))[F.lower(ext)], F.lit("other"))
+    return F.coalesce(F.create_map(*(F.lit(x) for k, v in FORMATS.items() for x in (k, v[0])))[F.lower(ext)], F.lit("file"))
 
 
 def mime_type(ext: Column) -> Column:
