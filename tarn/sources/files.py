@@ -149,10 +149,18 @@ def _pptx(z: zipfile.ZipFile) -> str:
 
 def _xlsx(z: zipfile.ZipFile) -> str:
     strings = [_runs(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    titles = [n.get("name") for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n) == "sheet"]
+    sheets = [n for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n) == "sheet"]
+    names = [name for _, name in _numbered(z.namelist(), r"xl/worksheets/sheet(\d+)\.xml")]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        targets = {n.get("Id"): "xl/" + n.get("Target").removeprefix("/xl/") for n in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    relation = lambda n: next((v for k, v in n.attrib.items() if k.rpartition("}")[2] == "id" and k != "id"), None)
+    titled = [(n.get("name"), targets.get(relation(n), names[i] if i < len(names) else None)) for i, n in enumerate(sheets)]
     out = []
-    for i, name in _numbered(z.namelist(), r"xl/worksheets/sheet(\d+)\.xml"):
-        out.append(f"--- Sheet: {titles[i - 1] if i <= len(titles) else i} ---")
+    for title, name in titled:
+        if name not in z.namelist():
+            continue
+        out.append(f"--- Sheet: {title} ---")
         for row in (n for n in ElementTree.fromstring(z.read(name)).iter() if _local(n) == "row"):
             cells = []
             for c in row:
@@ -167,7 +175,7 @@ def _xlsx(z: zipfile.ZipFile) -> str:
 
 def _eml(data: bytes) -> str:
     m = email.message_from_bytes(data, policy=email.policy.default)
-    out = [f"{h}: {m[h]}" for h in ("Subject", "From", "To", "Date") if m[h]]
+    out = [f"{h}: {m[h]}" for h in ("Subject", "From", "To", "Cc", "Date") if m[h]]
     body = m.get_body(("plain",))
     text = body.get_content() if body else html_to_text(page.get_content()) if (page := m.get_body(("html",))) else ""
     names = [a.get_filename() for a in m.iter_attachments() if a.get_filename()]

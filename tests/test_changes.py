@@ -226,3 +226,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.table("m").select("user_id").distinct().count() == e.select("user_id").distinct().count()
     for x in spark.streams.active:
         x.stop()
+
+
+def test_sheets_are_named_by_relation():
+    import io
+    import zipfile
+
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="Second" r:id="b"/><sheet name="First" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for i in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet><sheetData><row><c><v>{i}</v></c></row></sheetData></worksheet>")
+    assert files.text_of("xlsx", book.getvalue())[1] == "--- Sheet: Second ---\n2\n--- Sheet: First ---\n1"
