@@ -150,3 +150,27 @@ def with_parent(messages: DataFrame, group: str, ts: str, thread: str) -> DataFr
 def orphans(children: DataFrame, parents: DataFrame, foreign: str, key: str) -> DataFrame:
     """Children that name a parent which does not exist."""
     return children.where(F.col(foreign).isNotNull()).join(parents.select(F.col(key).alias(foreign)), foreign, "left_anti")
+
+
+def run_counters(diff: DataFrame, by: str = "change_type") -> DataFrame:
+    """(change, n): how many rows of a run were created, updated and so on, and "seen" for all of them."""
+    counted = diff.groupBy(F.coalesce(F.col(by), F.lit("unknown")).alias("change")).agg(F.count("*").alias("n"))
+    return counted.unionByName(diff.agg(F.lit("seen").alias("change"), F.count("*").alias("n")).select("change", "n"))
+
+
+def reactions(messages: DataFrame) -> DataFrame:
+    """(message_id, name, user_id): who reacted how, each once, from `reactions` array<struct<name, users array>>.
+
+    Names are trimmed; those without one, and messages or names without anybody, give nothing.
+    """
+    named = messages.select("message_id", F.explode("reactions").alias("r")).select("message_id", F.trim("r.name").alias("name"), F.explode("r.users").alias("user_id"))
+    return named.where("name <> '' and user_id is not null").distinct()
+
+
+def merge_reactions(stored: DataFrame, seen: DataFrame, now: datetime) -> DataFrame:
+    """Stored reactions with those seen now: first_seen_at stays, last_seen_at moves, what is gone is left as it was."""
+    at = F.lit(now).cast("timestamp_ntz")
+    keys = ["message_id", "name", "user_id"]
+    both = stored.join(seen.select(*keys, F.lit(True).alias("_seen")), keys, "full")
+    last = F.when(F.col("_seen"), at).otherwise(F.col("last_seen_at"))
+    return both.select(*keys, F.coalesce("first_seen_at", at).alias("first_seen_at"), last.alias("last_seen_at"))

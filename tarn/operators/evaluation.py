@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import retrieval
+
 CUTS = (1, 3, 5, 8, 10)
 UUID = "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 
@@ -56,6 +60,56 @@ def parent_cap(ranked: DataFrame, most: int = 2) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 
 
+STRATEGIES = ("weighted_fts", "semantic", "rrf_equal", "rrf_semantic_2", "semantic_primary_exact", "semantic_primary_exact_dedup")
+
+
+def strategies(lexical_rows: DataFrame, semantic_rows: DataFrame, units: DataFrame, limit: int = 100) -> DataFrame:
+    """(strategy, query, unit_id, rank) of the six ways to rank the same two lists, in one table."""
+    by = lambda rows, rank: rows.select("query", "unit_id", F.col(rank).alias("rank"))
+    exact = by(retrieval.rescued(lexical_rows, semantic_rows, limit), "rank")
+    described = exact.join(units.select("unit_id", *(c for c in ("source_type", "source_record_id", "source_parent_id", "source_url") if c in units.columns)), "unit_id")
+    ways = (
+        by(lexical_rows, "lexical_rank"),
+        by(semantic_rows, "semantic_rank"),
+        by(retrieval.fused(lexical_rows, semantic_rows, units, limit), "rank"),
+        by(retrieval.fused(lexical_rows, semantic_rows, units, limit, semantic_weight=2.0), "rank"),
+        exact,
+        by(parent_cap(described), "rank"),
+    )
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("strategy"), "*") for name, rows in zip(STRATEGIES, ways)))
+
+
+def evaluated(ranked: DataFrame, gold: DataFrame, names: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """query_metrics() for every gold query and strategy; a strategy that returns nothing for a query scores zero."""
+    both = gold.withColumn("strategy", F.explode(F.array(*map(F.lit, names))))
+    key = F.concat_ws("\u001f", "strategy", "query")
+    rows = query_metrics(ranked.withColumn("query", key), both.withColumn("query", key))
+    return rows.withColumn("query", F.substring_index("query", "\u001f", -1))
+
+
+def failures(ranked: DataFrame, gold: DataFrame, names: tuple[str, ...] = STRATEGIES, top: int = 5) -> DataFrame:
+    """(strategy, query, expected, acceptable, returned) where none of the first `top` units is accepted."""
+    first = ranked.where(F.col("rank") <= top).groupBy("strategy", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id"))).alias("_f"))
+    empty = F.array().cast("array<string>")
+    alternatives = F.coalesce("acceptable_ids", empty)
+    rows = gold.withColumn("strategy", F.explode(F.array(*map(F.lit, names)))).join(first, ["strategy", "query"], "left")
+    returned = F.coalesce(F.transform("_f", lambda f: f["unit_id"]), empty)
+    rows = rows.where(~F.arrays_overlap(returned, F.array_union("primary_ids", alternatives)))
+    return rows.select("strategy", "query", F.array_sort(F.array_distinct("primary_ids")).alias("expected"), F.array_sort(F.array_except(alternatives, "primary_ids")).alias("acceptable"), returned.alias("returned"))
+
+
+def labelled(units: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(term, unit_id) that best stands for each term: its own title, then a title that holds it, then the longest text.
+
+    A term stands for units that hold it in title or text; equals fall to the smaller id.
+    """
+    held = lambda t: F.contains(F.lower("title"), F.lower(t)) | F.contains(F.lower("content"), F.lower(t))
+    rows = units.select("unit_id", F.lower("title").alias("named"), F.length("content").alias("n"), F.explode(F.filter(F.array(*map(F.lit, terms)), held)).alias("term"))
+    low = F.lower("term")
+    worst = F.struct((F.col("named") != low).cast("int").alias("other"), (~F.contains("named", low)).cast("int").alias("elsewhere"), (-F.col("n")).alias("shorter"), F.col("unit_id").alias("id"))
+    return rows.groupBy("term").agg(F.min(worst).alias("best")).select("term", F.col("best.id").alias("unit_id"))
+
+
 def latencies(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Median and the 95th percentile by the index rule sorted[int(0.95 n) - 1], never interpolated."""
     at = Window.partitionBy(*by).orderBy(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -249,3 +250,43 @@ def parsed_tickets(messages: DataFrame, officers: DataFrame, officer_id: str = "
     people = officers.select(F.col(officer_id).alias("_officer"), F.lower(F.split(F.trim("name"), "\\s+")[0]).alias("first"))
     named = words.join(people, "first").groupBy("message_id").agg(F.array_sort(F.collect_set("_officer")).alias("officer_ids"))
     return rows.join(named, "message_id", "left").withColumn("officer_ids", F.coalesce("officer_ids", F.array()))
+
+
+def due(articles: DataFrame, minimum: str | None = None, force: bool = False) -> DataFrame:
+    """`articles` (id, content_hash, last_hash, what classified() reads) with `step`: extract or skipped_unchanged.
+
+    Articles below the `minimum` relevance are left out. One is extracted if its text changed since it last was.
+    """
+    rows = articles
+    if minimum is not None:
+        rows = classified(rows).where(at_least(F.col("relevance"), minimum)).select(*articles.columns)
+    same = F.col("content_hash").eqNullSafe(F.col("last_hash")) & F.lit(not force)
+    return rows.withColumn("step", F.when(same, "skipped_unchanged").otherwise("extract"))
+
+
+def refreshed(stored: DataFrame, work: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(article_id, kind, source_content_hash, found, is_stale): what is stored and what the rules find in the work now.
+
+    `work` is due()'s rows with article_id and text; each rule gives record_id and its own columns, kept as JSON in
+    `found`. What was extracted from another text of an article in work is stale; equal finds of one text are kept once.
+    The rules work row by row and answer nothing where they find nothing, so one article cannot stop another.
+    """
+    asked = work.where("step = 'extract'")
+    current = asked.select("article_id", F.col("content_hash").alias("_now"))
+
+    def found(kind: str, rule) -> DataFrame:
+        rows = rule(asked.select(F.col("article_id").alias("doc_id"), "text"))
+        told = F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns) if c != "record_id")))
+        return rows.select(F.col("record_id").alias("article_id"), F.lit(kind).alias("kind"), told.alias("found"))
+
+    new = reduce(DataFrame.unionByName, (found(k, r) for k, r in rules.items())).join(current, "article_id")
+    new = new.select("article_id", "kind", F.col("_now").alias("source_content_hash"), "found", F.lit(False).alias("is_stale"))
+    old = stored.join(current, "article_id", "left")
+    stale = F.col("is_stale") | (F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("source_content_hash")))
+    both = old.withColumn("is_stale", stale).select(*new.columns).unionByName(new)
+    return both.groupBy("article_id", "kind", "source_content_hash", "found").agg(F.bool_and("is_stale").alias("is_stale"))
+
+
+def finished(work: DataFrame) -> DataFrame:
+    """`work` with last_hash moved on where it was extracted."""
+    return work.withColumn("last_hash", F.when(F.col("step") == "extract", F.col("content_hash")).otherwise(F.col("last_hash")))

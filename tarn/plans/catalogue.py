@@ -1,7 +1,7 @@
 """All registered queries: name -> (function of session and folder, SQL for the same rows or None)."""
 
-from . import ledger, operations, retrieval
+from . import building, ledger, operations, retrieval
 
-CATALOGUE = {**retrieval.QUERIES, **operations.QUERIES, **ledger.QUERIES}
+CATALOGUE = {**retrieval.QUERIES, **operations.QUERIES, **ledger.QUERIES, **building.QUERIES}
 
 CATALOGUE["review_fold"] = (CATALOGUE["review_fold"][0], ledger.REVIEW_SQL)
