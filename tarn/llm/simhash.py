@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, stored
 
@@ -98,7 +100,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 SHINGLE, LANES = 5, 16  # words a shingle, 64-bit lanes a long fingerprint; the first lane is kept for the Hamming check
-FAR = 22  # of its 64 bits: at a Jaccard similarity of 0.8 the mean is 10 and the deviation 3, for strangers 32 and 4
+FAR = 20  # of its 64 bits: at a Jaccard similarity of 0.8 the mean is 10 and the deviation 3, for strangers 32 and 4
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -125,25 +127,96 @@ def long_fingerprint(h: np.ndarray, lanes: int = LANES) -> np.ndarray:
 def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.97) -> np.ndarray:
     """(keys, bits): which bits of the long fingerprint make up each key, for `n` texts.
 
-    A key has as many bits as leave a few strangers in a bucket, and there are as many keys as let a pair of the given
-    Jaccard similarity share one with the chance `recall`; so pairs grow little faster than the texts.
+    A key has as many bits as leave some 32 to 64 strangers in a bucket, which are told apart where the bucket lies, and
+    there are as many keys as let a pair of the given Jaccard similarity share one with the chance `recall`.
     """
-    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2)))) - 2))
+    bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2)))) - 6))
     same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     keys = int(np.ceil(np.log(1 - recall) / np.log1p(-(same**bits))))
     rng = np.random.default_rng(5)
     return np.array([rng.permutation(64 * LANES)[:bits] for _ in range(keys)])
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, most_in_bucket: int = 32, leaders: int = 4) -> DataFrame:
+def settled(batches, similarity: float, most_in_bucket: int, most_pairs: int):
+    """Pairs of the buckets that lie whole in this range of (bucket, node, size, a), sorted; rows of the other buckets.
+
+    A bucket is left open (its rows go out as they came) if it is the range's first or last, and may go on in the next,
+    if it has over `most_in_bucket` rows, or if over `most_pairs` pairs a row pass the cheap tests.
+    """
+    names = ["bucket", "node", "other", "size", "a"]
+    kinds = [pa.int64()] * 5
+
+    def out(rows, other=None):
+        bucket, node, size, a = rows if other is None else (None, rows, None, None)
+        columns = [bucket, node, other, size, a]
+        none = pa.nulls(rows.shape[-1], pa.int64())
+        return pa.RecordBatch.from_arrays([none if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    rest, first, crowded = np.zeros((4, 0), np.int64), None, None
+    for b in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+        if not rows.shape[1]:
+            continue
+        first = rows[0, 0] if first is None else first
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
+        if rows.shape[1] - cuts[-1] > most_in_bucket:
+            crowded = rows[0, -1]
+        going_on = rows[0, cuts[-1]] != crowded
+        ends = cuts[1:] if going_on else np.append(cuts[1:], rows.shape[1])
+        left, u, v = [], [], []
+        for lo, hi in zip(cuts, ends):
+            bucket, node, size, a = rows[:, lo:hi]
+            if bucket[0] == first or bucket[0] == crowded or hi - lo > most_in_bucket:
+                left.append(rows[:, lo:hi])
+            elif hi - lo > 1:
+                i, j = pairs_of(int(hi - lo))
+                close = np.flatnonzero(np.bitwise_count((a[i] ^ a[j]).view(np.uint64)) <= FAR)
+                i, j = i[close], j[close]
+                alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+                if alike.sum() > most_pairs * (hi - lo):
+                    left.append(rows[:, lo:hi])
+                else:
+                    u.append(node[i[alike]])
+                    v.append(node[j[alike]])
+        rest = rows[:, cuts[-1] :] if going_on else rows[:, :0]
+        if left:
+            yield out(np.concatenate(left, axis=1))
+        if u:
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield out(np.minimum(u, v), np.maximum(u, v))
+    if rest.shape[1]:
+        yield out(rest)
+
+
+@lru_cache(maxsize=256)
+def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all pairs of n rows."""
+    return np.triu_indices(n, 1)
+
+
+def central(rows: DataFrame, n: int) -> DataFrame:
+    """Of each bucket of (bucket, node, size, a) the `n` rows nearest to the majority of its fingerprints, bit by bit."""
+    bit = lambda i: F.shiftrightunsigned("a", i).bitwiseAND(F.lit(1).cast("long"))
+    ones = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)))
+    most = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(BITS)]
+    ones = ones.select("bucket", reduce(lambda x, y: x.bitwiseOR(y), most).alias("centre"))
+    away = rows.join(ones, "bucket").select("bucket", "node", "size", "a", F.bit_count(F.col("a").bitwiseXOR(F.col("centre"))).alias("away"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("away", "node"))
+    return away.withColumn("nth", nth).where(F.col("nth") <= n).select("bucket", "nth", F.col("node").alias("leader"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, most_in_bucket: int = 1024, leaders: int = 4, most_pairs: int = 4) -> DataFrame:
     """(doc_id, text_hash, component_id): the different texts under each id, in components of similar shingle sets.
 
-    Texts whose long fingerprints share a key are in one bucket. In a bucket of up to `most_in_bucket` all pairs are
-    candidates. In a larger one, which near copies by the hundred make, every member is compared with `leaders` of it
-    first; what that links is one component, and only pairs of different components are left to compare, those of the
-    bucket's largest component with the rest of it. Candidates no more than FAR of 64 bits apart are decided by the
-    exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts with the same
-    shingles, or both without words, are always in one component. Rows without an id are left out.
+    Texts whose long fingerprints share a key are in one bucket. The rows of all buckets are dealt by range, so a bucket
+    of any size is split where it must be, and the pairs of a bucket that lies whole in a task, with few close pairs, are
+    read off there. In the others, which near copies by the hundred make, every member's similarity to `leaders` near the
+    bucket's majority is measured first; what that links is one component, and only pairs of different components are
+    left to compare, those of the bucket's largest component with the rest of it. 1 - Jaccard is a metric, so two whose
+    similarities to a leader differ by more than 1 - `similarity` cannot be similar and are not compared, nor are two of
+    which one has too many shingles that no other such member has. Candidates no
+    more than FAR of 64 bits apart are decided by the exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts
+    with the same shingles, or both without words, are always in one component. Rows without an id are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     drawn = drawn_bits(rows.count(), similarity)
@@ -159,17 +232,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 size.append(len(h))
                 keys.append(bits[drawn] @ power if len(h) else [])
                 kept.append(int(np.packbits(bits[:64], bitorder="little").view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(kept, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "a", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "a", "keys"])
 
     def sets(batches):
         for b in batches:
             h = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "set"])
 
-    found = stored(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size int, a long, keys array<long>"), "prints")
+    found = stored(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, a long, keys array<long>"), "prints")
     named = found.select("doc_id", "text_hash", "node").distinct()
     once = found.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", "a", "keys")))
-    filed = once.select("node", "size", "a", F.posexplode("keys").alias("nth", "key")).select(F.xxhash64("nth", "key").alias("bucket"), "node", "size", "a")
+    bucket = F.shiftleft(F.col("nth").cast("long"), 40).bitwiseOR(F.col("key"))
+    filed = once.select("node", "size", "a", F.posexplode("keys").alias("nth", "key")).select(bucket.alias("bucket"), "node", "size", "a")
 
     def near(u: DataFrame, v: DataFrame, more: Column) -> DataFrame:
         """(node_u, node_v) of a bucket's u and v that pass the cheap tests; the smaller node first."""
@@ -178,13 +252,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         pairs = u.join(v, "bucket").where(more & alike & (F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) <= FAR))
         return pairs.select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"))
 
-    large = stored(filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most_in_bucket).select("bucket"), "large-buckets")
-    cold = filed.join(large, "bucket", "left_anti")
-    hot = stored(filed.join(large, "bucket", "left_semi"), "hot")
-    order = [F.xxhash64("node", "bucket", F.lit(i)) for i in range(leaders)]
-    first = hot.groupBy("bucket").agg(*(F.min(F.struct(o.alias("o"), "node", "size", "a")).alias(f"l{i}") for i, o in enumerate(order)))
-    first = stored(first.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in ("node", "size", "a"))) for i in range(leaders))))).alias("l")).select("bucket", "l.*"), "leaders")
-    candidates = near(cold, cold, F.col("node_u") < F.col("node_v")).unionByName(near(first, hot, F.col("node_u") != F.col("node_v")))
+    dealt = filed.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+    dealt = stored(dealt.mapInArrow(lambda b: settled(b, similarity, most_in_bucket, most_pairs), "bucket long, node long, other long, size long, a long"), "buckets")
+    hot = dealt.where("bucket is not null").select("bucket", "node", "size", "a")
+    cold = dealt.where("bucket is null").select(F.col("node").alias("node_u"), F.col("other").alias("node_v"))
+    first = stored(central(hot, leaders), "leaders")
+    led = hot.join(first, "bucket").select("bucket", "nth", "node", F.least("node", "leader").alias("node_u"), F.greatest("node", "leader").alias("node_v"))
+    led = stored(led, "led")
+    candidates = cold.unionByName(led.where("node_u <> node_v").select("node_u", "node_v"))
     candidates = stored(candidates.distinct(), "candidates")
 
     asked = candidates.select(F.col("node_u").alias("node")).union(candidates.select("node_v")).union(hot.select("node")).distinct()
@@ -193,21 +268,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     texts = rows.join(at, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
     held = stored(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(u, v, alike): the exact similarity of each pair of nodes."""
         both_sets = pairs.join(held.select(F.col("node").alias("node_u"), F.col("set").alias("s")), "node_u")
         both_sets = both_sets.join(held.select(F.col("node").alias("node_v"), F.col("set").alias("t")), "node_v")
         both = F.size(F.array_intersect("s", "t"))
-        links = both_sets.where(both >= similarity * (F.size("s") + F.size("t") - both))
-        return stored(links.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")), "links")
+        return stored(both_sets.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), (both / (F.size("s") + F.size("t") - both)).alias("alike")), "measured")
 
-    links = verified(candidates)
+    known = measured(candidates)
+    links = known.where(F.col("alike") >= similarity).select("u", "v")
     if not hot.isEmpty():
         linked = components(links)
-        members = stored(hot.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+        to_leader = led.join(known.withColumnsRenamed({"u": "node_u", "v": "node_v"}), ["node_u", "node_v"], "left")
+        to_leader = to_leader.groupBy("bucket", "node").agg(*(F.max(F.when(F.col("nth") == i + 1, F.coalesce("alike", F.lit(1.0)))).alias(f"to{i}") for i in range(leaders)))
+        grams = held.join(hot.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("gram"))
+        alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.any_value("node").alias("node")).where("n = 1")
+        own = stored(alone.groupBy("node").agg(F.count("*").alias("own")), "own-shingles")
+        members = hot.join(to_leader, ["bucket", "node"]).join(own, "node", "left").join(linked, "node", "left")
+        members = members.withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+        members = stored(members.withColumn("component", F.coalesce("component", "node")), "members")
         sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         rest = stored(members.join(stored(sizes, "largest"), "bucket").where("component <> largest").drop("largest"), "rest")
         apart = (F.col("component_u") != F.col("component_v")) & (F.col("node_u") != F.col("node_v"))
+        apart &= F.least("shared_u", "shared_v") * (1 + similarity) >= similarity * (F.col("size_u") + F.col("size_v")) - 1e-9
+        for i in range(leaders):
+            apart &= F.coalesce(F.abs(F.col(f"to{i}_u") - F.col(f"to{i}_v")) <= 1 - similarity + 1e-9, F.lit(True))
         more = near(rest, members, apart).distinct().join(candidates, ["node_u", "node_v"], "left_anti")
-        links = links.unionByName(verified(stored(more, "candidates-apart")))
+        more = measured(stored(more, "candidates-apart"))
+        links = links.unionByName(more.where(F.col("alike") >= similarity).select("u", "v"))
     linked = components(links).withColumnRenamed("component", "component_id")
     return named.join(linked, "node", "left").select("doc_id", "text_hash", F.coalesce("component_id", "node").alias("component_id"))
