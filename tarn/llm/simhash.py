@@ -195,14 +195,14 @@ def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def central(rows: DataFrame, n: int) -> DataFrame:
-    """Of each bucket of (bucket, node, size, a) the `n` rows nearest to the majority of its fingerprints, bit by bit."""
+    """(bucket, leaders): of each bucket of (bucket, node, size, a) the `n` nodes nearest to the majority of its fingerprints."""
     bit = lambda i: F.shiftrightunsigned("a", i).bitwiseAND(F.lit(1).cast("long"))
     ones = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)))
     most = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(BITS)]
     ones = ones.select("bucket", reduce(lambda x, y: x.bitwiseOR(y), most).alias("centre"))
-    away = rows.join(ones, "bucket").select("bucket", "node", "size", "a", F.bit_count(F.col("a").bitwiseXOR(F.col("centre"))).alias("away"))
+    away = rows.join(ones, "bucket").select("bucket", "node", F.bit_count(F.col("a").bitwiseXOR(F.col("centre"))).alias("away"))
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("away", "node"))
-    return away.withColumn("nth", nth).where(F.col("nth") <= n).select("bucket", "nth", F.col("node").alias("leader"))
+    return away.withColumn("nth", nth).where(F.col("nth") <= n).groupBy("bucket").agg(F.collect_list("node").alias("leaders"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, most_in_bucket: int = 1024, leaders: int = 4, most_pairs: int = 4) -> DataFrame:
@@ -257,7 +257,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     hot = dealt.where("bucket is not null").select("bucket", "node", "size", "a")
     cold = dealt.where("bucket is null").select(F.col("node").alias("node_u"), F.col("other").alias("node_v"))
     first = stored(central(hot, leaders), "leaders")
-    led = hot.join(first, "bucket").select("bucket", "nth", "node", F.least("node", "leader").alias("node_u"), F.greatest("node", "leader").alias("node_v"))
+    led = hot.join(first, "bucket").select("bucket", "node", F.posexplode("leaders").alias("nth", "leader"))
+    led = led.select("bucket", "nth", "node", F.least("node", "leader").alias("node_u"), F.greatest("node", "leader").alias("node_v"))
     led = stored(led, "led")
     candidates = cold.unionByName(led.where("node_u <> node_v").select("node_u", "node_v"))
     candidates = stored(candidates.distinct(), "candidates")
@@ -280,7 +281,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     if not hot.isEmpty():
         linked = components(links)
         to_leader = led.join(known.withColumnsRenamed({"u": "node_u", "v": "node_v"}), ["node_u", "node_v"], "left")
-        to_leader = to_leader.groupBy("bucket", "node").agg(*(F.max(F.when(F.col("nth") == i + 1, F.coalesce("alike", F.lit(1.0)))).alias(f"to{i}") for i in range(leaders)))
+        to_leader = to_leader.groupBy("bucket", "node").agg(*(F.max(F.when(F.col("nth") == i, F.coalesce("alike", F.lit(1.0)))).alias(f"to{i}") for i in range(leaders)))
         grams = held.join(hot.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("gram"))
         alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.any_value("node").alias("node")).where("n = 1")
         own = stored(alone.groupBy("node").agg(F.count("*").alias("own")), "own-shingles")
