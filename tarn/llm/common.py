@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """`df` sorted over all partitions by `order`, stored, with each row's partition (part) and place in it (at)."""
+    place = F.monotonically_increasing_id()  # of a sorted partition: its number above, the place in it in the lower 33 bits
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", place)
+    rows = rows.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return stored(rows, name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a small DataFrame."""
     shared_folder(df.sparkSession)
