@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def ranged(df: DataFrame, name: str, *order: str) -> DataFrame:
     return stored(rows, name)
 
 
+def records(batches) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, a batch in memory at a time."""
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a small DataFrame."""
     shared_folder(df.sparkSession)

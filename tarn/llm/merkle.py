@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import ranged, stored
+from .common import ranged, records, stored
 
 ARITY = 3
 LOCAL = 9  # levels of a subtree folded in one go: 19,683 leaves are in memory at most
@@ -128,11 +128,6 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 1024) -> Itera
         yield out()
 
 
-def records(batches) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns))
-
-
 _PATH = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 _NODE = [("group", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("level", pa.int64()), ("i", pa.int64()), ("h", pa.string())]
 NODE = "group string, part long, at long, n long, level long, i long, h string"

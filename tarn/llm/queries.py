@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, merkle, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk
+from . import ctw, decontaminate, merkle, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk, turns
 from .common import table
 
 #: op9's vocabulary: the path is a parameter of the query; the file must be there on the driver, which reads it.
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -96,4 +101,5 @@ select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
   sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
 from d left join r on r.doc_id = d.doc_id""",
     "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_conversation_repair": turns.oracle_sql(),
 }
