@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, merkle, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk, turns
+from . import ctw, decontaminate, jaccard, merkle, mixing, pieces, pii, quality, simhash, substrings, suffix_dedup, topk, turns
 from .common import table
 
 #: op9's vocabulary: the path is a parameter of the query; the file must be there on the driver, which reads it.
@@ -66,6 +66,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
