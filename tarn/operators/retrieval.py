@@ -43,34 +43,46 @@ def _literal(q: text.Query) -> Column:
     return F.struct(F.lit(q.text).alias("query"), groups.alias("groups"), none.alias("none"), words.alias("words"), F.lit(every).alias("terms"))
 
 
+def _fields(units: DataFrame) -> dict[str, Column]:
+    context = F.concat_ws(" ", *(F.col(c) for c in ("source_area", "topic", "channel", "author") if c in units.columns))
+    return {"title": F.col("title"), "context": context, "content": F.col("content")}
+
+
 def tagged_tokens(units: DataFrame) -> Column:
     """array<struct<pos, term, weight>>: the tokens of title, context (area, topic, channel, author) and content in turn."""
-    context = F.concat_ws(" ", *(F.col(c) for c in ("source_area", "topic", "channel", "author") if c in units.columns))
-    fields = [("title", F.col("title")), ("context", context), ("content", F.col("content"))]
     tagging = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight"))
-    tagged = F.flatten(F.array(*(F.transform(text.tokens(c), tagging(FIELD_WEIGHTS[n])) for n, c in fields)))
+    tagged = F.flatten(F.array(*(F.transform(text.tokens(c), tagging(FIELD_WEIGHTS[n])) for n, c in _fields(units).items())))
     return F.transform(tagged, lambda t, i: F.struct(i.alias("pos"), t["term"].alias("term"), t["weight"].alias("weight")))
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(unit_id, term, pos, weight): the tokens as a table, for an index that is kept."""
-    return units.select("unit_id", F.explode(tagged_tokens(units)).alias("t")).select("unit_id", "t.term", "t.pos", "t.weight")
+def token_rows(units: DataFrame) -> DataFrame:
+    """(unit_id, pos, term, weight): tagged_tokens() as rows."""
+    rows = units.select("unit_id", *(text.tokens(c).alias(n) for n, c in _fields(units).items()))
+    rows = rows.select("unit_id", F.size("title").alias("n"), (F.size("title") + F.size("context")).alias("m"), F.posexplode(F.concat("title", "context", "content")).alias("pos", "term"))
+    w = {n: F.lit(x) for n, x in FIELD_WEIGHTS.items()}
+    return rows.select("unit_id", "pos", "term", F.when(F.col("pos") < F.col("n"), w["title"]).when(F.col("pos") < F.col("m"), w["context"]).otherwise(w["content"]).alias("weight"))
+
+
+def asked(rows: DataFrame, queries: list[text.Query]) -> DataFrame:
+    """(unit_id, query, groups, none, words, terms, hits) from (unit_id, _all): each query's own hits, if there are any."""
+    rows = rows.select("unit_id", "_all", F.explode(F.array(*map(_literal, queries))).alias("q")).select("unit_id", "_all", "q.*")
+    hits = F.filter("_all", lambda h: F.array_contains("terms", h["term"]))
+    return rows.withColumn("hits", hits).drop("_all").where(F.size("hits") > 0)
 
 
 def occurrences(units: DataFrame, queries: list[text.Query]) -> DataFrame:
     """(unit_id, query, groups, none, words, terms, hits): each query's words in every unit that has any of them.
 
     The queries are a list of the caller's, so they travel in the plan: a unit's tokens are cut down to the words that
-    any query names while the row is read, and nothing is joined or shuffled.
+    any query names while the row is read, and nothing is joined or shuffled. For units searched more than once keep an
+    index (lexindex).
     """
     queries = [q for q in queries if q.words or q.none]
     if not queries:
         raise ValueError("no query has a word")
     every = sorted({w for q in queries for w in (*q.words, *(x for t in q.none for x in t))})
     rows = units.select("unit_id", F.filter(tagged_tokens(units), lambda h: h["term"].isin(*every)).alias("_all")).where(F.size("_all") > 0)
-    rows = rows.select("unit_id", "_all", F.explode(F.array(*map(_literal, queries))).alias("q")).select("unit_id", "_all", "q.*")
-    hits = F.filter("_all", lambda h: F.array_contains("terms", h["term"]))
-    return rows.withColumn("hits", hits).drop("_all").where(F.size("hits") > 0)
+    return asked(rows, queries)
 
 
 def _holds(hits: Column, terms: Column) -> Column:
@@ -108,7 +120,11 @@ def cover_density(hits: Column, words: Column) -> Column:
 
 def matched(units: DataFrame, queries: list[text.Query]) -> DataFrame:
     """(query, unit_id, density) of the units that answer a query: every group met, nothing unwanted."""
-    found = occurrences(units, queries)
+    return answered(occurrences(units, queries))
+
+
+def answered(found: DataFrame) -> DataFrame:
+    """matched(), from the rows of asked()."""
     hits = F.col("hits")
     all_groups = F.forall("groups", lambda g: F.exists(g, lambda t: _holds(hits, t)))
     unwanted = F.exists("none", lambda t: _holds(hits, t))
@@ -121,7 +137,12 @@ def matched(units: DataFrame, queries: list[text.Query]) -> DataFrame:
 def lexical(units: DataFrame, queries: list[text.Query], scope: str = "admin", filters: Filters = Filters(), limit: int = 20, now: datetime | None = None, chat_days: float = 365.0) -> DataFrame:
     """Ranked units by cover density, title, authority, currency (and, with `now`, the recency of chat messages)."""
     rows = units.where(filters.column() & visible(scope))
-    found = matched(rows, queries).join(rows, "unit_id")
+    return scored(matched(rows, queries), rows, limit, now, chat_days)
+
+
+def scored(found: DataFrame, rows: DataFrame, limit: int = 20, now: datetime | None = None, chat_days: float = 365.0) -> DataFrame:
+    """lexical()'s ranking of `found` (query, unit_id, density) among `rows`, the units that may be shown."""
+    found = found.join(rows, "unit_id")
     title, query = F.lower("title"), F.lower("query")
     score = (
         F.col("density")
@@ -132,9 +153,9 @@ def lexical(units: DataFrame, queries: list[text.Query], scope: str = "admin", f
     )
     if now is not None:
         score = score + F.when(F.col("source_type") == "slack_message", scalar.recency(event_time(), now, chat_days, 0.05)).otherwise(0.0)
-    scored = found.withColumn("score", F.round(score, 6))
+    ranked = found.withColumn("score", F.round(score, 6))
     by = Window.partitionBy("query").orderBy(F.desc("score"), event_time().desc_nulls_first(), "unit_id")
-    return scored.withColumn("lexical_rank", F.row_number().over(by)).where(F.col("lexical_rank") <= limit)
+    return ranked.withColumn("lexical_rank", F.row_number().over(by)).where(F.col("lexical_rank") <= limit)
 
 
 def substring_search(units: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import identity, scalar, text
 from ..functions.access import Filters, visible, visible_public
 from ..operators import chunking, evaluation, retrieval
+from ..operators.lexindex import LexicalIndex
+from ..sources.shared import shared_folder
 from ..sources.tables import EMBEDDINGS_SQL, NOW, UNITS_SQL, table, unit_embeddings, units
 
 WORDS = ["the and", "that with for", "les des", "und der", '"of the"', "the -and", "the or und"]
@@ -47,12 +50,30 @@ def _scope_sql(scope: str) -> str:
     return "true" if scope == "admin" else f"{_OPEN} and u.visibility in ({sees[scope]})"
 
 
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def index(spark, folder) -> LexicalIndex:
+    """The kept index of the folder's units: built by the first query of an application that asks for it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex.build(units(spark, folder), f"{shared_folder(spark)}/tarn-lexical-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def lexical_index(spark, folder):
+    """The dictionary of the kept index: in how many units each term stands."""
+    return index(spark, folder).terms.select("term", "documents")
+
+
+INDEX_SQL = f"""with {UNITS_SQL}, {_POST} select t.term as term, count(distinct unit_id) as documents from post group by all"""
+
 AND_QUERIES = {"the and": ["the", "and"], "that with for": ["that", "with", "for"], "les des": ["les", "des"], "und der": ["und", "der"]}
 
 
 def lexical_search(spark, folder):
     queries = [text.parse_query(q) for q in AND_QUERIES]
-    out = retrieval.lexical(units(spark, folder), queries, "committee", limit=20)
+    out = index(spark, folder).search(queries, "committee", limit=20)
     return out.select("query", "unit_id", "score", "lexical_rank")
 
 
@@ -65,7 +86,7 @@ select * from k where lexical_rank <= 20"""
 def web_search(spark, folder):
     """Phrases, alternatives and unwanted words; every match, unranked."""
     queries = [text.parse_query(q) for q in WORDS]
-    return retrieval.matched(units(spark, folder), queries).select("query", "unit_id")
+    return index(spark, folder).matched(queries).select("query", "unit_id")
 
 
 WEB_SQL = f"""with {UNITS_SQL}, t as (select unit_id, ' ' || array_to_string(list_concat(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'),
@@ -82,7 +103,8 @@ union all select 'the or und', unit_id from t where contains(s, ' the ') or cont
 def lexical_multi_query(spark, folder):
     """Rank lists of several phrasings, summed per unit."""
     queries = [text.parse_query(q) for q in AND_QUERIES]
-    hits = retrieval.matched(units(spark, folder).where(visible_public()), queries)
+    kept = index(spark, folder)
+    hits = kept.matched(queries, kept.units.where(visible_public()))
     ranked = hits.withColumn("density", F.round("density", 6)).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("density"), "unit_id")))
     return ranked.groupBy("unit_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("lexical_score"), F.min("r").alias("best_rank"), F.count("*").alias("matched_queries"))
 
@@ -150,8 +172,8 @@ k as (select query, unit_id, similarity, row_number() over (partition by query o
 
 def _lists(spark, folder):
     """Two ranked lists for one question: a word query and a vector."""
-    u = units(spark, folder)
-    words = retrieval.lexical(u, [text.parse_query("the and")], "admin", limit=60)
+    u = index(spark, folder).units
+    words = index(spark, folder).search([text.parse_query("the and")], "admin", limit=60)
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
     return u, words, retrieval.semantic(u, e, _asked(spark, folder, "the and"), "admin", limit=60)
 
@@ -174,8 +196,8 @@ select 'the and' as query, *, row_number() over (order by score desc, unit_id)::
 
 def exact_rescue_union(spark, folder):
     """A query that names an identifier: titles that hold it lead the vector list."""
-    u, _, near = _lists(spark, folder)
-    words = retrieval.lexical(u, [text.parse_query("THE")], "admin", limit=10)
+    _, _, near = _lists(spark, folder)
+    words = index(spark, folder).search([text.parse_query("THE")], "admin", limit=10)
     q = F.lit("THE")
     return retrieval.rescued(words.withColumn("query", q), near.withColumn("query", q), 30)
 
@@ -190,9 +212,9 @@ select 'THE' as query, unit_id, p.part = 0 as rescued, row_number() over (order
 
 
 def rrf_multi_query(spark, folder):
-    u = units(spark, folder).where(visible("admin"))
+    u = index(spark, folder).units.where(visible("admin"))
     queries = [text.parse_query(q) for q in retrieval.phrasings(["The and", " the AND ", "", "les des"])]
-    hits = retrieval.matched(u, queries).withColumn("density", F.round("density", 6))
+    hits = index(spark, folder).matched(queries, u).withColumn("density", F.round("density", 6))
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
     pool = retrieval.semantic(u, e, _asked(spark, folder, "vector"), "admin", Filters(include_history=True), limit=80, floor=0.05).select("unit_id", "similarity")
     return retrieval.multi_query(u, hits, pool, limit=20)
@@ -335,6 +357,7 @@ def recency_decay(spark, folder):
 RECENCY_SQL = f"""with {UNITS_SQL} select unit_id, round(greatest(0.0, 1 - (epoch_us(timestamp '2024-02-01') - epoch_us(occurred_at)) / 86400000000.0 / 30.0), 6) as score from units"""
 
 QUERIES = {
+    "lexical_index": (lexical_index, INDEX_SQL),
     "lexical_search": (lexical_search, LEXICAL_SQL),
     "web_search_syntax": (web_search, WEB_SQL),
     "lexical_multi_query": (lexical_multi_query, LEXICAL_MULTI_SQL),
