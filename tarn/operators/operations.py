@@ -162,55 +162,6 @@ def over_cap(accounts: DataFrame, role: str, most: int = 2, order: tuple[str, ..
     return accounts.where("active").withColumn("nth", nth).where(F.col("nth") > most)
 
 
-# What a reviewer may do in each state, and the state it leads to.
-REVIEW_MOVES = {
-    ("proposed", "approve"): "approved",
-    ("proposed", "edit_approve"): "approved",
-    ("proposed", "reject"): "rejected",
-    ("proposed", "needs_review"): "needs_review",
-    ("proposed", "defer"): "deferred",
-    ("needs_review", "approve"): "approved",
-    ("needs_review", "edit_approve"): "approved",
-    ("needs_review", "reject"): "rejected",
-    ("needs_review", "defer"): "deferred",
-    ("deferred", "approve"): "approved",
-    ("deferred", "edit_approve"): "approved",
-    ("deferred", "reject"): "rejected",
-    ("deferred", "needs_review"): "needs_review",
-    ("approved", "supersede"): "superseded",
-    ("approved", "needs_review"): "needs_review",
-    ("rejected", "needs_review"): "needs_review",
-}
-
-
-def moved(state: Column, action: Column, moves: dict = REVIEW_MOVES) -> Column:
-    """The state after an action; null if the state does not allow it."""
-    table = F.create_map(*(F.lit(x) for (s, a), to in moves.items() for x in (f"{s}|{a}", to)))
-    return table[F.concat_ws("|", state, action)]
-
-
-def reviewed(records: DataFrame, events: DataFrame, moves: dict = REVIEW_MOVES) -> DataFrame:
-    """(record_id, state, version, applied, refused): each record's events folded in order.
-
-    An event applies if it expects the record's version, the state allows it and a rejection gives a reason; it then
-    raises the version by one. A record's own events are folded together; there are as many as its reviews.
-    """
-    table = F.create_map(*(F.lit(x) for (s, a), to in moves.items() for x in (f"{s}|{a}", to)))
-    logs = events.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "action", "expected_version", "reason"))).alias("_log"))
-    start = F.struct(F.col("state"), F.col("version").cast("int").alias("version"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
-
-    def step(acc, e):
-        to = table[F.concat_ws("|", acc["state"], e["action"])]
-        reasoned = (e["action"] != "reject") | (F.trim(F.coalesce(e["reason"], F.lit(""))) != "")
-        ok = to.isNotNull() & (e["expected_version"] == acc["version"]) & reasoned
-        one = F.when(ok, 1).otherwise(0)
-        return F.struct(F.when(ok, to).otherwise(acc["state"]).alias("state"), (acc["version"] + one).alias("version"), (acc["applied"] + one).alias("applied"), (acc["refused"] + 1 - one).alias("refused"))
-
-    empty = F.array().cast("array<struct<event_id:bigint,action:string,expected_version:int,reason:string>>")
-    rows = records.join(logs, "record_id", "left")
-    return rows.select("record_id", F.aggregate(F.coalesce("_log", empty), start, step).alias("s")).select("record_id", "s.*")
-
-
 def field_changes(before: Column, after: Column) -> Column:
     """Of two string maps, what differs: key -> struct(before, after)."""
     pairs = F.map_zip_with(before, after, lambda k, a, b: F.struct(a.alias("before"), b.alias("after")))

@@ -1,7 +1,5 @@
 """All registered queries: name -> (function of session and folder, SQL for the same rows or None)."""
 
-from . import building, ledger, operations, retrieval
+from . import building, ledger, operations, retrieval, reviews
 
-CATALOGUE = {**retrieval.QUERIES, **operations.QUERIES, **ledger.QUERIES, **building.QUERIES}
-
-CATALOGUE["review_fold"] = (CATALOGUE["review_fold"][0], ledger.REVIEW_SQL)
+CATALOGUE = {**retrieval.QUERIES, **operations.QUERIES, **ledger.QUERIES, **reviews.QUERIES, **building.QUERIES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, operations
+from ..operators import ledger
 from ..sources.tables import UNITS_SQL, table, units
 
 RECORD_ACTIONS = ("edit", "approve", "publish", "complete", "reject", "defer", "edit_approve", "assign_owner", "unpublish", "supersede", "attach_evidence", "create", "reopen", "change_due_date", "resolve", "change_execution_status", "detach_evidence", "archive")
@@ -155,14 +155,6 @@ last as (select record_id, arg_max(version, i) as version, arg_max(state, i) as
 select record_id, coalesce(l.version, r.version) as version, coalesce(l.state, r.state) as state, coalesce(l.title, r.title) as title, priority, execution_status, assignee_ids from records r full join last l using (record_id)"""
 
 
-REVIEW_SQL = f"""with recursive moves as (select * from (values {", ".join(f"('{s}', '{a}', '{to}')" for (s, a), to in operations.REVIEW_MOVES.items())}) t(was, act, next)),
-commands as (select user_id as record_id, event_id, (['approve', 'needs_review', 'reject', 'defer'])[event_id % 4 + 1] as act, event_id % 3 + 1 as expected, event_id % 2 = 0 as reasoned, row_number() over (partition by user_id order by event_id) as n from events),
-steps as (select c_custkey as record_id, 0::bigint as n, 'proposed' as state, 1 as version, 0 as applied, 0 as refused from customer
-union all select record_id, n, case when ok then next else state end, version + ok::int, applied + ok::int, refused + 1 - ok::int from (
-  select c.record_id, c.n, s.state, s.version, s.applied, s.refused, m.next, coalesce(m.next is not null and c.expected = s.version and (c.act <> 'reject' or c.reasoned), false) as ok
-  from steps s join commands c on c.record_id = s.record_id and c.n = s.n + 1 left join moves m on m.was = s.state and m.act = c.act))
-select record_id, state, version, applied, refused from steps qualify row_number() over (partition by record_id order by n desc) = 1"""
-
 QUERIES = {
     "record_outcomes": (record_outcomes, RECORD_OUTCOMES_SQL),
     "record_standing": (record_standing, RECORD_STANDING_SQL),

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar, text
 from ..functions.access import Filters, visible
-from ..operators import changes, chunking, evaluation, extraction, operations
+from ..operators import changes, chunking, evaluation, extraction, operations, reviews
 from ..sources.files import html_text
 from ..sources.tables import DELIVERIES_SQL, EMBEDDINGS_SQL, MESSAGES_SQL, NOW, UNITS_SQL, deliveries, messages, table, unit_embeddings, units
 from .retrieval import _ELIGIBLE_SQL, SEMANTIC_SQL, _eligible, semantic_topk
@@ -464,23 +464,38 @@ select query from t left join units using (unit_id) group by query having bool_a
 
 def status_transition_check(spark, folder):
     e = table(spark, folder, "events")
-    state = F.element_at(F.array(*map(F.lit, ("proposed", "approved", "rejected", "deferred", "needs_review"))), (F.col("event_id") % 5 + 1).cast("int"))
-    action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "defer", "supersede", "needs_review", "edit_approve"))), (F.col("user_id") % 6 + 1).cast("int"))
+    state = F.element_at(F.array(*map(F.lit, ("proposed", "approved", "rejected", "superseded", "needs_review", "deferred"))), (F.col("event_id") % 6 + 1).cast("int"))
+    action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "defer", "supersede", "needs_review", "edit_approve", "publish"))), (F.col("user_id") % 7 + 1).cast("int"))
     rows = e.select(state.alias("state"), action.alias("action"))
-    return rows.groupBy("state", "action").agg(F.count("*").alias("n")).withColumn("to_state", operations.moved(F.col("state"), F.col("action")))
+    return rows.groupBy("state", "action").agg(F.count("*").alias("n")).withColumn("to_state", reviews.next_state(F.col("state"), F.col("action")))
 
 
-MOVES_SQL = f"""with m(s, a, t) as (values {", ".join(f"('{s}', '{a}', '{t}')" for (s, a), t in operations.REVIEW_MOVES.items())}),
-e as (select (['proposed', 'approved', 'rejected', 'deferred', 'needs_review'])[event_id % 5 + 1] as state, (['approve', 'reject', 'defer', 'supersede', 'needs_review', 'edit_approve'])[user_id % 6 + 1] as action from events)
-select state, action, count(*) as n, any_value(t) as to_state from e left join m on s = state and a = action group by state, action"""
+MOVES_SQL = """with e as (select (['proposed', 'approved', 'rejected', 'superseded', 'needs_review', 'deferred'])[event_id % 6 + 1] as state, (['approve', 'reject', 'defer', 'supersede', 'needs_review', 'edit_approve', 'publish'])[user_id % 7 + 1] as action from events)
+select state, action, count(*) as n, case when state = 'deferred' then null when action in ('approve', 'edit_approve') then 'approved' when action = 'reject' then 'rejected'
+  when action in ('needs_review', 'defer') then 'needs_review' when action = 'supersede' then 'superseded' end as to_state from e group by state, action"""
 
 
 def review_fold(spark, folder):
+    """Customers' reviews folded: where each stands, and how many of its events applied or were refused."""
     e = table(spark, folder, "events")
     i = F.col("event_id")
-    log = e.select(F.col("user_id").alias("record_id"), i, F.element_at(F.array(*map(F.lit, ("approve", "needs_review", "reject", "defer"))), (i % 4 + 1).cast("int")).alias("action"), (i % 3 + 1).cast("int").alias("expected_version"), F.when(i % 2 == 0, "why").alias("reason"))
-    records = table(spark, folder, "customer").select(F.col("c_custkey").alias("record_id"), F.lit("proposed").alias("state"), F.lit(1).alias("version"))
-    return operations.reviewed(records, log)
+    log = e.select(
+        i, F.lit("requirement").alias("knowledge_type"), F.col("user_id").cast("string").alias("record_id"), F.element_at(F.array(*map(F.lit, ("approve", "needs_review", "reject", "defer", "supersede"))), (i % 5 + 1).cast("int")).alias("action"), (i % 3 + 1).cast("int").alias("expected_version"),
+        F.create_map().cast("map<string,string>").alias("patch"), F.lit(None).cast("string").alias("reason_code"), F.when(i % 2 == 0, "why").alias("reason_note"), F.lit(None).cast("string").alias("visibility"), F.lit("admin").alias("actor_role"), F.lit(True).alias("actor_active"),
+    )
+    none = F.lit(None).cast("string")
+    records = table(spark, folder, "customer").select(F.lit("requirement").alias("knowledge_type"), F.col("c_custkey").cast("string").alias("record_id"), none.alias("process_id"), F.lit("proposed").alias("status"), F.lit(1).alias("version"), F.lit(False).alias("is_stale"), F.lit("internal").alias("visibility"), F.lit(None).cast("int").alias("step_number"))
+    told = reviews.folded(records, log)
+    counts = reviews.outcomes(told).groupBy("record_id").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") != "applied").alias("refused"))
+    rows = reviews.standing(told).join(counts, "record_id", "left")
+    return rows.select(F.col("record_id").cast("long").alias("record_id"), F.col("status").alias("state"), "version", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("applied", "refused")))
+
+
+REVIEW_FOLD_SQL = """with recursive commands as (select user_id as record_id, event_id, (['approve', 'needs_review', 'reject', 'defer', 'supersede'])[event_id % 5 + 1] as act, event_id % 3 + 1 as expected, event_id % 2 = 0 as reasoned, row_number() over (partition by user_id order by event_id) as n from events),
+steps as (select c_custkey as record_id, 0::bigint as n, 'proposed' as state, 1 as version, 0::bigint as applied, 0::bigint as refused from customer
+union all select record_id, n, case when not ok then state when act = 'approve' then 'approved' when act = 'reject' then 'rejected' when act = 'supersede' then 'superseded' else 'needs_review' end, version + ok::int, applied + ok::int, refused + 1 - ok::int from (
+  select c.record_id, c.n, c.act, s.state, s.version, s.applied, s.refused, c.expected = s.version and (c.act <> 'reject' or c.reasoned) as ok from steps s join commands c on c.record_id = s.record_id and c.n = s.n + 1))
+select record_id, state, version, applied, refused from steps qualify row_number() over (partition by record_id order by n desc) = 1"""
 
 
 def priority_pivot(spark, folder):
@@ -596,7 +611,7 @@ QUERIES = {
     "target_status": (target_status, TARGET_SQL),
     "scoped_benchmark": (scoped_benchmark, SCOPED_SQL),
     "status_transition_check": (status_transition_check, MOVES_SQL),
-    "review_fold": (review_fold, None),
+    "review_fold": (review_fold, REVIEW_FOLD_SQL),
     "priority_pivot": (priority_pivot, PIVOT_SQL),
     "union_legacy": (union_legacy, LEGACY_SQL),
     "default_row_if_empty": (default_row_if_empty, DEFAULT_SQL),

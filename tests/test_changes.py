@@ -80,11 +80,7 @@ def test_outbox_never_posts_twice(spark):
     assert {r.id: r.state for r in again.collect()}[3] == "posted"
 
 
-def test_reviews(spark):
-    records = spark.createDataFrame([(1, "proposed", 1), (2, "proposed", 1)], "record_id long, state string, version int")
-    log = spark.createDataFrame([(1, 1, "reject", 1, " "), (1, 2, "approve", 1, None), (1, 3, "defer", 2, None), (1, 4, "supersede", 2, None), (1, 5, "needs_review", 9, None)], "record_id long, event_id long, action string, expected_version int, reason string")
-    got = {r.record_id: (r.state, r.version, r.applied, r.refused) for r in operations.reviewed(records, log).collect()}
-    assert got == {1: ("superseded", 3, 2, 3), 2: ("proposed", 1, 0, 0)}
+def test_field_changes(spark):
     diff = spark.createDataFrame([({"a": "1", "b": "2"}, {"a": "1", "b": "3", "c": "4"})], "x map<string,string>, y map<string,string>").select(operations.field_changes(F.col("x"), F.col("y")).alias("d")).first().d
     assert {k: (v.before, v.after) for k, v in diff.items()} == {"b": ("2", "3"), "c": (None, "4")}
 
