@@ -50,6 +50,23 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str], c
     return out.where(~((F.col("change_type") == "missing") & F.col("_gone"))).drop("_gone")
 
 
+def listed_diff(stored: DataFrame, rows: DataFrame, summary: DataFrame, root: str = "root", key: str = "norm_path", fields: tuple[str, ...] = ("size", "modified")) -> DataFrame:
+    """(root, key, change_type): stored files against a listing; what a root's listing lacks is missing only if it is complete.
+
+    `rows` are the files that were listed, `summary` has (root, complete); a root without a row there was not looked at,
+    and nothing of it is missing. Of a root that is not complete, what is not listed is unknown.
+    """
+    a = stored.select(F.col(root).alias("root"), F.col(key).alias("key"), *(F.col(f).alias(f"_old_{f}") for f in fields), F.lit(True).alias("_a"))
+    b = rows.select(F.col(root).alias("root"), F.col(key).alias("key"), *(F.col(f).alias(f"_new_{f}") for f in fields), F.lit(True).alias("_b"))
+    both = a.join(b, ["root", "key"], "full").join(summary.select("root", "complete"), "root", "left")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"_old_{f}").eqNullSafe(F.col(f"_new_{f}"))
+    gone = F.when(F.coalesce("complete", F.lit(False)), "missing").otherwise("unknown")
+    kind = F.when(F.col("_a").isNull(), "created").when(F.col("_b").isNull(), gone).when(same, "unchanged").otherwise("updated")
+    return both.select(F.col("root").alias(root), F.col("key").alias(key), kind.alias("change_type"))
+
+
 def renames(missing: DataFrame, created: DataFrame, hash_col: str = "hash", path_col: str = "path") -> DataFrame:
     """(hash, old_path, new_path, change_type): files gone and files new that are each other's only one of a content.
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar, text
 from ..functions.access import Filters, visible
 from ..operators import changes, chunking, evaluation, extraction, operations, reviews
+from ..sources import listing
 from ..sources.files import html_text
 from ..sources.tables import DELIVERIES_SQL, EMBEDDINGS_SQL, MESSAGES_SQL, NOW, UNITS_SQL, deliveries, messages, table, unit_embeddings, units
 from .retrieval import _ELIGIBLE_SQL, SEMANTIC_SQL, _eligible, semantic_topk
@@ -62,6 +63,35 @@ def insert_if_absent(spark, folder):
     return changes.insert_absent(d.where("doc_id % 3 = 0"), d.where("doc_id % 3 <> 0"), "hash").select("hash")
 
 
+def _listing(spark, folder):
+    """Documents as a listing of one root a source: some are gone, some changed, some cannot be looked at, one root was not listed."""
+    i = F.col("doc_id")
+    kind = F.when(i % 97 == 0, "error").when(i % 41 == 0, "excluded").otherwise("file")
+    rows = table(spark, folder, "documents").where(i % 10 != 0)
+    kind = F.when(F.col("source").isin("src1", "src2", "src3"), F.when(kind == "excluded", kind).otherwise("file")).otherwise(kind)
+    return rows.where("source <> 'src5'").select(F.col("source").alias("root"), kind.alias("kind"), F.concat(F.col("lang"), F.lit("/d"), i.cast("string")).alias("norm_path"), (F.length("text") + F.when(i % 7 == 0, 1).otherwise(0)).alias("size"))
+
+
+def listing_summary(spark, folder):
+    return listing.summary(_listing(spark, folder))
+
+
+def listing_diff(spark, folder):
+    rows = _listing(spark, folder)
+    stored = table(spark, folder, "documents").where("doc_id % 8 <> 0").select(F.col("source").alias("root"), F.concat(F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string")).alias("norm_path"), F.length("text").alias("size"))
+    return changes.listed_diff(stored, rows.where("kind = 'file'"), listing.summary(rows), fields=("size",))
+
+
+_LISTED_SQL = """l as (select source as root, lang || '/d' || doc_id as norm_path, length(text) + (doc_id % 7 = 0)::int as size,
+  case when doc_id % 97 = 0 and source not in ('src1', 'src2', 'src3') then 'error' when doc_id % 41 = 0 and not (doc_id % 97 = 0) then 'excluded' else 'file' end as kind from documents where doc_id % 10 <> 0 and source <> 'src5'),
+s as (select root, count(*) filter (kind = 'file') as files, count(*) filter (kind = 'excluded') as excluded, count(*) filter (kind = 'error') as errors, count(*) filter (kind = 'error') = 0 as complete from l group by root)"""
+LISTING_SUMMARY_SQL = f"with {_LISTED_SQL} select * from s"
+LISTING_DIFF_SQL = f"""with {_LISTED_SQL}, o as (select source as root, lang || '/d' || doc_id as norm_path, length(text) as size from documents where doc_id % 8 <> 0)
+select coalesce(o.root, n.root) as root, coalesce(o.norm_path, n.norm_path) as norm_path,
+  case when o.root is null then 'created' when n.root is null then case when complete then 'missing' else 'unknown' end when o.size = n.size then 'unchanged' else 'updated' end as change_type
+from o full join (select * from l where kind = 'file') n on n.root = o.root and n.norm_path = o.norm_path left join s on s.root = coalesce(o.root, n.root)"""
+
+
 def rename_match(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
@@ -611,6 +641,8 @@ QUERIES = {
     "target_status": (target_status, TARGET_SQL),
     "scoped_benchmark": (scoped_benchmark, SCOPED_SQL),
     "status_transition_check": (status_transition_check, MOVES_SQL),
+    "listing_summary": (listing_summary, LISTING_SUMMARY_SQL),
+    "listing_diff": (listing_diff, LISTING_DIFF_SQL),
     "review_fold": (review_fold, REVIEW_FOLD_SQL),
     "priority_pivot": (priority_pivot, PIVOT_SQL),
     "union_legacy": (union_legacy, LEGACY_SQL),
