@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar, text
 from ..functions.access import Filters, visible
 from ..operators import changes, chunking, evaluation, extraction, operations, reviews
-from ..sources import listing
+from ..sources import chat, listing
 from ..sources.files import html_text
 from ..sources.tables import DELIVERIES_SQL, EMBEDDINGS_SQL, MESSAGES_SQL, NOW, UNITS_SQL, deliveries, messages, table, unit_embeddings, units
 from .retrieval import _ELIGIBLE_SQL, SEMANTIC_SQL, _eligible, semantic_topk
@@ -63,6 +63,35 @@ def insert_if_absent(spark, folder):
     return changes.insert_absent(d.where("doc_id % 3 = 0"), d.where("doc_id % 3 <> 0"), "hash").select("hash")
 
 
+def _recording(spark, folder):
+    """Conversations as the rows of a recorded workspace: roots and their replies, some of these in the history as well."""
+    m = messages(spark, folder)
+    turn = F.col("turn")
+    raw = F.to_json(F.struct("ts", F.when(turn > 0, F.col("thread_ts")).alias("thread_ts"), "user", "text", F.when(turn % 7 == 5, F.lit("channel_join")).when(turn % 3 == 2, F.lit("thread_broadcast")).alias("subtype")))
+    rows = m.select(F.when(turn == 0, "message").otherwise("reply").alias("kind"), F.col("channel_id").alias("channel"), "ts", raw.alias("raw"), "turn")
+    both = rows.unionByName(rows.where("turn % 3 = 2").withColumn("kind", F.lit("message"))).drop("turn")
+    person = m.select("user").distinct().select(F.lit("user").alias("kind"), F.to_json(F.struct(F.col("user").alias("id"), F.col("user").alias("name"), F.struct(F.lit(" ").alias("display_name"), F.upper("user").alias("real_name"), F.concat(F.upper("user"), F.lit("@x.org")).alias("email")).alias("profile"), (F.col("user") == "system").alias("is_bot"))).alias("raw"))
+    place = m.select("channel_id").distinct().select(F.lit("channel").alias("kind"), F.to_json(F.struct(F.col("channel_id").alias("id"), F.concat(F.lit("room-"), F.col("channel_id")).alias("name"), (F.col("channel_id") == "C3").alias("is_private"))).alias("raw"))
+    return both.unionByName(person, allowMissingColumns=True).unionByName(place, allowMissingColumns=True)
+
+
+def chat_messages(spark, folder):
+    return chat.messages(_recording(spark, folder), "https://chat.example")
+
+
+def chat_people_and_places(spark, folder):
+    rows = _recording(spark, folder)
+    a = chat.users(rows).select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "name", "email", F.col("is_bot").alias("flag"))
+    b = chat.channels(rows).select(F.lit("channel").alias("kind"), F.col("channel_id").alias("id"), "name", F.lit(None).cast("string").alias("email"), F.col("is_private").alias("flag"))
+    return a.unionByName(b)
+
+
+CHAT_SQL = f"""with {MESSAGES_SQL} select channel_id, ts, case when turn > 0 then thread_ts end as thread_ts, turn > 0 as is_reply, "user" as user_id, text, null::varchar as edited_ts,
+  'https://chat.example/archives/' || channel_id || '/p' || replace(ts, '.', '') || case when turn > 0 then '?thread_ts=' || thread_ts || '&cid=' || channel_id else '' end as permalink from messages where turn % 7 <> 5"""
+CHAT_WHO_SQL = f"""with {MESSAGES_SQL} select distinct 'user' as kind, "user" as id, upper("user") as name, lower("user") || '@x.org' as email, "user" = 'system' as flag from messages
+union all select distinct 'channel', channel_id, 'room-' || channel_id, null, channel_id = 'C3' from messages"""
+
+
 def _listing(spark, folder):
     """Documents as a listing of one root a source: some are gone, some changed, some cannot be looked at, one root was not listed."""
     i = F.col("doc_id")
@@ -641,6 +670,8 @@ QUERIES = {
     "target_status": (target_status, TARGET_SQL),
     "scoped_benchmark": (scoped_benchmark, SCOPED_SQL),
     "status_transition_check": (status_transition_check, MOVES_SQL),
+    "chat_messages": (chat_messages, CHAT_SQL),
+    "chat_people_and_places": (chat_people_and_places, CHAT_WHO_SQL),
     "listing_summary": (listing_summary, LISTING_SUMMARY_SQL),
     "listing_diff": (listing_diff, LISTING_DIFF_SQL),
     "review_fold": (review_fold, REVIEW_FOLD_SQL),
