@@ -97,17 +97,23 @@ def _group_numbers(sizes: pd.Series, most: pd.Series) -> pd.Series:
 def transcript_groups(segments: DataFrame, most: int = 2400) -> DataFrame:
     """(artifact_id, group, start_ms, end_ms, content): segments of a transcript in order of seq, joined up to `most` characters.
 
-    `segments` is (artifact_id, seq, start_ms, end_ms, speaker, text). Where a group ends follows from the lengths of
+    `segments` is (artifact_id, seq, start_ms, end_ms, speaker, text). A line has its time and speaker where they are
+    known; blank lines stay. A group begins with its first known start and ends with its last line's end, or start where
+    that has none. Where a group ends follows from the lengths of
     the lines alone, so these are all that is folded, an artifact at a time.
     """
-    line = F.concat(F.lit("["), scalar.clock(F.col("start_ms")), F.lit("] "), F.coalesce(F.concat(F.col("speaker"), F.lit(": ")), F.lit("")), F.trim("text"))
+    mark = F.when(F.col("start_ms").isNotNull(), F.concat(F.lit("["), scalar.clock(F.col("start_ms")), F.lit("] "))).otherwise("")
+    said = F.when(F.coalesce("speaker", F.lit("")) != "", F.concat(F.col("speaker"), F.lit(": "))).otherwise("")
+    line = F.concat(mark, said, F.coalesce("text", F.lit("")))
     item = F.struct("seq", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), line.alias("line"))
-    ordered = segments.where("trim(text) <> ''").groupBy("artifact_id").agg(F.array_sort(F.collect_list(item)).alias("lines"))
+    ordered = segments.groupBy("artifact_id").agg(F.array_sort(F.collect_list(item)).alias("lines"))
     sizes = F.transform("lines", lambda x: F.length(x["line"]))
     zipped = ordered.withColumn("g", _group_numbers(sizes, F.lit(most)))
-    each = zipped.select("artifact_id", F.explode(F.arrays_zip("g", "lines")).alias("z")).select("artifact_id", F.col("z.g").alias("group"), "z.lines.*")
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "line"))), lambda x: x["line"]), "\n")
-    return each.groupBy("artifact_id", "group").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), content.alias("content"))
+    each = zipped.select("artifact_id", F.posexplode(F.arrays_zip("g", "lines")).alias("n", "z")).select("artifact_id", "n", F.col("z.g").alias("group"), "z.lines.*")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    start = F.min_by("start_ms", F.when(F.col("start_ms").isNotNull(), F.col("n")))
+    end = F.max_by(F.coalesce(F.nullif("end_ms", F.lit(0)), "start_ms"), "n")
+    return each.groupBy("artifact_id", "group").agg(start.alias("start_ms"), end.alias("end_ms"), content.alias("content"))
 
 
 def index_diff(old: DataFrame, new: DataFrame, scope: Column | None = None) -> DataFrame:

@@ -193,12 +193,14 @@ def ticket_commands(tickets: DataFrame, commands: DataFrame, officers: DataFrame
     """create, update, status and assign on tickets, decided: see `decided`; `effect` is what a command sets.
 
     `tickets` is (record_id, version, state, fields with visibility), `officers` (officer_id, active). Assignees are a
-    JSON list of officer ids, all active, twenty at most.
+    JSON list of officer ids, all active, twenty at most; the first in order owns the ticket, whatever owner was written
+    down before. A record that says it is not an action item is not found.
     """
     ids = F.from_json(F.col("patch")["assignee_ids"], "array<string>")
     asked = commands.where(F.map_contains_key("patch", "assignee_ids")).select("event_id", F.explode_outer(ids).alias("officer_id"))
     strangers = asked.where("officer_id is not null").join(officers.where("active").select("officer_id"), "officer_id", "left_anti")
-    rows = _flagged(_started(tickets, commands), strangers, "stranger")
+    mine = tickets.where(F.coalesce(F.col("fields")["record_type"], F.lit("action_item")) == "action_item")
+    rows = _flagged(_started(mine, commands), strangers, "stranger")
     a, at = F.col("action"), F.col("at").cast("string")
     longer = lambda key, most: F.length(F.coalesce(F.col("patch")[key], F.lit(""))) > most
     has = lambda key: F.map_contains_key("patch", key)
@@ -218,13 +220,14 @@ def ticket_commands(tickets: DataFrame, commands: DataFrame, officers: DataFrame
     allowed = (F.col("actor_role") == "admin") | ((F.col("actor_role") == "committee") & (seen == "committee"))
     closed = F.col("start_state") != "approved"
     fault = F.when(~F.coalesce(allowed, F.lit(False)) | (closed & (a != "create")), "unauthorized").when(invalid, "validation_error")
-    assigned = F.to_json(F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))))
-    opened = _map(priority=F.coalesce(F.col("patch")["priority"], F.lit("medium")), execution_status=F.lit("open"), visibility=F.lit("committee"), assignee_ids=assigned)
+    people_ids = F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>"))))
+    assigned = _map(assignee_ids=F.to_json(people_ids), owner_officer_id=F.get(people_ids, F.lit(0)), owner_text=F.lit(None))
+    opened = merged(_map(priority=F.coalesce(F.col("patch")["priority"], F.lit("medium")), execution_status=F.lit("open"), visibility=F.lit("committee")), assigned)
     effect = (
         F.when(a == "create", merged(_patched(TICKET_FIELDS), opened))
         .when(a == "update", _patched(TICKET_FIELDS))
         .when(a == "status", _map(execution_status=status, completed_at=F.when(status == "completed", at)))
-        .when(a == "assign", _map(assignee_ids=assigned))
+        .when(a == "assign", assigned)
         .otherwise(F.create_map().cast("map<string,string>"))
     )
     rows = rows.withColumns({"fault": fault, "effect": effect}).drop("stranger", "start_fields")

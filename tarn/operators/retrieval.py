@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,23 +172,61 @@ def substring_search(units: DataFrame, query: str, limit: int = 20) -> DataFrame
 def semantic(units: DataFrame, embeddings: DataFrame, queries: list[tuple[str, list[float]]], scope: str = "admin", filters: Filters = Filters(), limit: int = 20, floor: float | None = None) -> DataFrame:
     """The most similar units for each query vector, exactly: (query, unit_id, similarity, semantic_rank) and unit columns.
 
-    `queries` is the caller's list of (name, vector). It travels in the plan, so each vector is compared where it is
-    read; before the ranking's exchange every task cuts its rows to its own best `limit` of a query (Spark's window
-    group limit). Vectors and queries that are not finite take no part.
+    `queries` is the caller's list of (name, vector) and goes to the tasks. Each batch of vectors is multiplied with all
+    of them at once, and a task hands on its own best of each query, so neither rows times queries nor more than
+    `limit` (and ties) a task and query are ever rows. Vectors and queries that are not finite take no part.
     """
     asked = [(n, [float(x) for x in v]) for n, v in queries if v and all(abs(float(x)) < float("inf") for x in v)]
     if not asked:
         raise ValueError("no query has a usable vector")
     rows = units.where(filters.column() & visible(scope))
-    vectors = rows.join(embeddings.where(scalar.usable(F.col("embedding"))), "unit_id").withColumn("_norm", scalar.norm(F.col("embedding")))
-    literal = [F.struct(F.lit(n).alias("query"), F.lit(v).alias("v"), F.lit(sum(x * x for x in v) ** 0.5).alias("norm")) for n, v in asked]
-    pairs = vectors.withColumn("_q", F.explode(F.array(*literal))).withColumn("query", F.col("_q.query"))
-    cosine = F.try_divide(scalar.dot(F.col("embedding"), F.col("_q.v")), F.col("_norm") * F.col("_q.norm"))
-    pairs = pairs.withColumn("similarity", F.round(cosine, 6)).where("similarity is not null")
+    usable = embeddings.where(scalar.usable(F.col("embedding"))).select("unit_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = usable.join(rows.select("unit_id"), "unit_id")
+    near = vectors.mapInArrow(lambda b: nearest(b, asked, limit), f"query string, unit_id {dict(units.dtypes)['unit_id']}, similarity double")
+    near = near.withColumn("similarity", F.round("similarity", 6))
     if floor is not None:
-        pairs = pairs.where(F.col("similarity") >= floor)
+        near = near.where(F.col("similarity") >= floor)
     by = Window.partitionBy("query").orderBy(F.desc("similarity"), "unit_id")
-    return pairs.drop("_norm", "_q", "embedding").withColumn("semantic_rank", F.row_number().over(by)).where(F.col("semantic_rank") <= limit)
+    ranked = near.withColumn("semantic_rank", F.row_number().over(by)).where(F.col("semantic_rank") <= limit)
+    return ranked.join(rows, "unit_id")
+
+
+def nearest(batches, asked: list[tuple[str, list[float]]], limit: int):
+    """(query, unit_id, cosine) of a task's candidates among (unit_id, vector): its best `limit` of each query, and all so
+    near the last of them that rounding to six digits could put them before it.
+
+    A batch is multiplied with all queries of its length at once; a query's candidates are cut back after each batch.
+    """
+    by_length: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(asked):
+        by_length.setdefault(len(v), []).append(i)
+    best = [(np.zeros(0), []) for _ in asked]
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        lengths = pc.list_value_length(b.column(1))
+        for n, which in by_length.items():
+            fits = pc.fill_null(pc.equal(lengths, n), False)
+            ids = b.column(0).filter(fits)
+            if not n or not len(ids):
+                continue
+            rows = b.column(1).filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            wanted = np.array([asked[i][1] for i in which])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cosines = rows @ wanted.T / (np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(wanted, axis=1))
+            for i, column in zip(which, cosines.T):
+                at = np.flatnonzero(np.isfinite(column))
+                if len(best[i][0]) >= limit:
+                    at = at[column[at] >= np.partition(best[i][0], -limit)[-limit] - 2e-6]
+                found = np.concatenate((best[i][0], column[at]))
+                names = [*best[i][1], *ids.take(pa.array(at)).to_pylist()]
+                if len(found) > limit:
+                    keep = np.flatnonzero(found >= np.partition(found, -limit)[-limit] - 2e-6)
+                    found, names = found[keep], [names[k] for k in keep]
+                best[i] = found, names
+    for (name, _), (found, names) in zip(asked, best):
+        if len(names):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(names)), pa.array(names, kind), pa.array(found)], ["query", "unit_id", "similarity"])
 
 
 def fused(lexical_rows: DataFrame, semantic_rows: DataFrame, units: DataFrame, limit: int = 20, semantic_weight: float = 1.0) -> DataFrame:

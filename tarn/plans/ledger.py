@@ -124,9 +124,15 @@ def _ticket_patch(i, a):
     )
 
 
+def _tickets(spark, folder):
+    """The records as action items, one in five a decision."""
+    kind = F.when(F.col("record_id") % 5 == 0, "decision").otherwise("action_item")
+    return _records(spark, folder).withColumn("fields", ledger.merged(F.col("fields"), ledger._map(record_type=kind)))
+
+
 def _told_tickets(spark, folder):
     officers = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("officer_id"), (F.col("n_nationkey") % 6 != 5).alias("active"))
-    return ledger.ticket_commands(_records(spark, folder), _commands(spark, folder, TICKET_ACTIONS, _ticket_patch), officers)
+    return ledger.ticket_commands(_tickets(spark, folder), _commands(spark, folder, TICKET_ACTIONS, _ticket_patch), officers)
 
 
 def ticket_outcomes(spark, folder):
@@ -135,11 +141,11 @@ def ticket_outcomes(spark, folder):
 
 def ticket_standing(spark, folder):
     f = F.col("fields")
-    rows = ledger.standing(_records(spark, folder), _told_tickets(spark, folder))
-    return rows.select("record_id", "version", "state", f["title"].alias("title"), f["priority"].alias("priority"), f["execution_status"].alias("execution_status"), f["assignee_ids"].alias("assignee_ids"))
+    rows = ledger.standing(_tickets(spark, folder), _told_tickets(spark, folder))
+    return rows.select("record_id", "version", "state", *(f[k].alias(k) for k in ("title", "priority", "execution_status", "assignee_ids", "owner_officer_id")))
 
 
-TICKET_FOLD_SQL = f"""with recursive {RECORDS_SQL}, {_commands_sql(TICKET_ACTIONS)},
+TICKET_FOLD_SQL = f"""with recursive all_{RECORDS_SQL}, records as (select * from all_records where record_id % 5 <> 0), {_commands_sql(TICKET_ACTIONS)},
 checked as (select c.*, r.visibility, r.state as at_first, case when a = 'update' then case when i % 9 = 0 then '' else 'ticket ' || i end when a = 'create' then 'made ' || i end as title,
   (['low', 'medium', 'high', 'urgent', 'odd'])[i // 2 % 5 + 1] as priority, ({_list(PROGRESS)})[i // 3 % 5 + 1] as progress, i % 27 as who from commands c left join records r using (record_id)),
 faulted as (select x.*, case when actor = 'member' or actor = 'committee' and visibility = 'internal' or a <> 'create' and at_first <> 'approved' then 'unauthorized'
@@ -151,8 +157,9 @@ TICKET_OUTCOMES_SQL = TICKET_FOLD_SQL + " select i as event_id, record_id, outco
 TICKET_STANDING_SQL = TICKET_FOLD_SQL + """, done as (select f.*, s.version, s.state from steps s join faulted f using (record_id, n) where s.outcome = 'applied'),
 last as (select record_id, arg_max(version, i) as version, arg_max(state, i) as state, arg_max(title, i) as title, arg_max(case when a = 'create' then 'medium' else priority end, i) filter (a in ('create', 'update')) as priority,
   arg_max(case when a = 'create' then 'open' else progress end, i) filter (a in ('create', 'status')) as execution_status,
+  nullif(arg_max(case when a = 'create' then ' ' when who::varchar < '3' then who::varchar else '3' end, i) filter (a in ('create', 'assign')), ' ') as owner_officer_id,
   arg_max(case when a = 'create' then '[]' when who = 3 then '["3"]' when who::varchar < '3' then '["' || who || '","3"]' else '["3","' || who || '"]' end, i) filter (a in ('create', 'assign')) as assignee_ids from done group by record_id)
-select record_id, coalesce(l.version, r.version) as version, coalesce(l.state, r.state) as state, coalesce(l.title, r.title) as title, priority, execution_status, assignee_ids from records r full join last l using (record_id)"""
+select record_id, coalesce(l.version, r.version) as version, coalesce(l.state, r.state) as state, coalesce(l.title, r.title) as title, priority, execution_status, assignee_ids, owner_officer_id from all_records r full join last l using (record_id)"""
 
 
 QUERIES = {

@@ -277,15 +277,19 @@ RECAP_SQL = "select conv_id, string_agg(role || ': ' || substr(text, 1, 40), chr
 
 
 def transcript_groups(spark, folder):
-    c = table(spark, folder, "conversations")
-    return chunking.transcript_groups(c.select(F.col("conv_id").alias("artifact_id"), F.col("turn").alias("seq"), (F.col("turn") * 15000).alias("start_ms"), (F.col("turn") * 15000 + 14000).alias("end_ms"), F.col("role").alias("speaker"), "text"))
+    """Conversations as transcripts: some lines have no start, no end, no speaker or no words."""
+    c, n = table(spark, folder, "conversations"), F.col("turn")
+    start = F.when(n % 5 != 3, n * 15000)
+    end = F.when(n % 4 == 1, None).when(n % 4 == 3, 0).otherwise(n * 15000 + 14000)
+    return chunking.transcript_groups(c.select(F.col("conv_id").alias("artifact_id"), n.alias("seq"), start.alias("start_ms"), end.alias("end_ms"), F.when(n % 6 != 5, F.col("role")).otherwise("").alias("speaker"), F.when(n % 7 == 6, "  ").otherwise(F.col("text")).alias("text")))
 
 
-TRANSCRIPT_SQL = """with recursive l as (select conv_id, turn * 15000 as s, turn * 15000 + 14000 as e, row_number() over (partition by conv_id order by turn) as n,
-  '[' || lpad((turn * 15 // 3600)::varchar, 2, '0') || ':' || lpad((turn * 15 // 60 % 60)::varchar, 2, '0') || ':' || lpad((turn * 15 % 60)::varchar, 2, '0') || '] ' || coalesce(role || ': ', '') || trim(text) as line from conversations where trim(text) <> ''),
+TRANSCRIPT_SQL = """with recursive l as (select conv_id, case when turn % 5 <> 3 then turn * 15000 end as s, case when turn % 4 in (1, 3) then case when turn % 5 <> 3 then turn * 15000 end else turn * 15000 + 14000 end as e, row_number() over (partition by conv_id order by turn) as n,
+  case when turn % 5 <> 3 then '[' || lpad((turn * 15 // 3600)::varchar, 2, '0') || ':' || lpad((turn * 15 // 60 % 60)::varchar, 2, '0') || ':' || lpad((turn * 15 % 60)::varchar, 2, '0') || '] ' else '' end
+    || case when turn % 6 <> 5 and role <> '' then role || ': ' else '' end || case when turn % 7 = 6 then '  ' else text end as line from conversations),
 g as (select conv_id, n, 0 as grp, length(line) as size from l where n = 1
 union all select l.conv_id, l.n, case when size + 1 + length(line) > 2400 then grp + 1 else grp end, case when size + 1 + length(line) > 2400 then length(line) else size + 1 + length(line) end from g join l on l.conv_id = g.conv_id and l.n = g.n + 1)
-select conv_id as artifact_id, grp as "group", min(s) as start_ms, max(e) as end_ms, string_agg(line, chr(10) order by n) as content from g join l using (conv_id, n) group by conv_id, grp"""
+select conv_id as artifact_id, grp as "group", arg_min(s, n) filter (s is not null) as start_ms, (list(e order by n desc))[1] as end_ms, string_agg(line, chr(10) order by n) as content from g join l using (conv_id, n) group by conv_id, grp"""
 
 
 def evidence_join(spark, folder):
