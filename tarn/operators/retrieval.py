@@ -318,15 +318,6 @@ def context_package(ranked: DataFrame) -> DataFrame:
     )
 
 
-def snippet(content: Column, words: list[str], most_words: int = 50) -> Column:
-    """The stretch of `most_words` words around the first wanted one, wanted words marked."""
-    parts = F.filter(F.split(F.coalesce(content, F.lit("")), "\\s+"), lambda w: w != "")
-    bare = lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}\\p{N}_]", ""))
-    hit = F.transform(parts, lambda w: bare(w).isin(*words))
-    at = F.greatest(F.lit(1), F.coalesce(F.array_position(hit, F.lit(True)), F.lit(1)) - most_words // 3).cast("int")
-    return F.array_join(F.transform(F.slice(parts, at, most_words), lambda w: F.when(bare(w).isin(*words), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
-
-
 class SearchError(ValueError):
     """A search that cannot be run as asked."""
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalar, text
+from ..functions import documents, scalar, text
 from ..functions.access import Filters, visible
 from ..operators import changes, chunking, evaluation, extraction, operations, reviews
 from ..sources import chat, listing
@@ -358,6 +358,40 @@ def json_props_extract(spark, folder):
 JSON_SQL = "select event_type, sum((props->>'k')::int)::bigint as sum_k, count(props->>'k') as with_k, max((props->>'k')::int) as max_k from events group by event_type"
 
 
+def _order_documents(spark, folder):
+    """Orders as JSON texts with every kind of value; some are arrays, some no JSON at all."""
+    k = F.col("o_orderkey")
+    body = F.to_json(F.struct(k.alias("id"), "o_orderpriority", (k % 3 == 0).alias("late"), F.struct((k % 7).alias("n"), F.struct(F.col("o_orderstatus").alias("s")).alias("deep")).alias("at"), F.array(k % 2, k % 5).alias("list")))
+    body = F.when(k % 11 == 0, F.concat(F.lit('{"none":null,'), F.substring(body, 2, 10000))).when(k % 13 == 0, F.lit("[1,2]")).when(k % 17 == 0, F.lit("{broken")).otherwise(body)
+    return table(spark, folder, "orders").select(k.alias("order_id"), F.col("o_orderstatus").alias("status"), body.alias("body"))
+
+
+def json_kinds(spark, folder):
+    """Every field of every document by key and kind of value, and what is no object."""
+    docs = _order_documents(spark, folder)
+    fields = documents.exploded(docs, "body", "order_id").groupBy("key", "kind").agg(F.count("*").alias("n"), F.min(F.when(F.col("kind") != "object", F.col("value"))).alias("least"))
+    top = docs.select(F.coalesce(documents.kind(documents.parsed(F.col("body"))), F.lit("invalid")).alias("kind"))
+    return fields.unionByName(top.groupBy("kind").agg(F.count("*").alias("n")), allowMissingColumns=True)
+
+
+def json_set_path(spark, folder):
+    """Documents with a value put deep inside, beside what was there."""
+    docs = _order_documents(spark, folder)
+    put = documents.with_value(F.col("body"), ("at", "deep", "put"), F.concat(F.lit('{"by":"'), F.col("status"), F.lit('"}')))
+    out = docs.select("order_id", documents.parsed(put).alias("v"))
+    return out.select("order_id", *(F.try_variant_get("v", F.lit(path), kind).alias(name) for name, path, kind in (("put_by", "$.at.deep.put.by", "string"), ("was", "$.at.deep.s", "string"), ("n", "$.at.n", "long"), ("id", "$.id", "long"))))
+
+
+_BODIES_SQL = """b as (select o_orderkey as k, o_orderstatus as status, '{"id":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","late":' || (o_orderkey % 3 = 0) || ',"at":{"n":' || (o_orderkey % 7) || ',"deep":{"s":"' || o_orderstatus || '"}},"list":[' || (o_orderkey % 2) || ',' || (o_orderkey % 5) || ']}' as body from orders),
+d as (select k, status, case when k % 11 = 0 then '{"none":null,' || body[2:] when k % 13 = 0 then '[1,2]' when k % 17 = 0 then '{broken' else body end as body from b)"""
+JSON_KINDS_SQL = f"""with {_BODIES_SQL}, o as (select body from d where json_valid(body) and json_type(body) = 'OBJECT'),
+f as (select unnest(json_keys(body)) as key, body from o), t as (select key, json_extract(body, '$.' || key) as value from f)
+select key, case json_type(value) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind, count(*) as n, min(case when json_type(value) <> 'OBJECT' then value::varchar end) as least from t group by all
+union all select null, case when not json_valid(body) then 'invalid' when json_type(body) = 'ARRAY' then 'array' else 'object' end, count(*), null from d group by all"""
+JSON_SET_SQL = f"""with {_BODIES_SQL} select k as order_id, status as put_by, case when ok then status end as was, case when ok then k % 7 end as n, case when ok then k end as id
+from (select *, json_valid(body) and coalesce(json_type(case when json_valid(body) then body end) = 'OBJECT', false) as ok from d)"""
+
+
 def emails_extract(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
 
@@ -656,6 +690,8 @@ QUERIES = {
     "reference_numbering": (reference_numbering, NUMBER_SQL),
     "progress_map": (progress_map, PROGRESS_SQL),
     "json_props_extract": (json_props_extract, JSON_SQL),
+    "json_kinds": (json_kinds, JSON_KINDS_SQL),
+    "json_set_path": (json_set_path, JSON_SET_SQL),
     "emails_extract": (emails_extract, EMAILS_SQL),
     "links_extract": (links_extract, LINKS_SQL),
     "canonical_urls": (canonical_urls, CANONICAL_SQL),

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import identity, scalar, text
+from ..functions import identity, scalar, snippets, text
 from ..functions.access import Filters, visible, visible_public
 from ..operators import chunking, evaluation, retrieval
 from ..operators.lexindex import LexicalIndex
@@ -100,6 +100,13 @@ union all select 'the -and', unit_id from t where contains(s, ' the ') and not c
 union all select 'the or und', unit_id from t where contains(s, ' the ') or contains(s, ' und ')) select * from m"""
 
 
+def search_snippets(spark, folder):
+    """The lexical hits of two words with two fragments of their whole texts."""
+    query = text.parse_query("the and")
+    hits = index(spark, folder).search([query], "admin", limit=50).select("query", "unit_id", "lexical_rank")
+    return hits.join(units(spark, folder).select("unit_id", "content"), "unit_id").select("query", "unit_id", "lexical_rank", snippets.snippet(list(query.words))("content").alias("snippet"))
+
+
 def lexical_multi_query(spark, folder):
     """Rank lists of several phrasings, summed per unit."""
     queries = [text.parse_query(q) for q in AND_QUERIES]
@@ -361,6 +368,7 @@ QUERIES = {
     "lexical_search": (lexical_search, LEXICAL_SQL),
     "web_search_syntax": (web_search, WEB_SQL),
     "lexical_multi_query": (lexical_multi_query, LEXICAL_MULTI_SQL),
+    "search_snippets": (search_snippets, None),
     "title_boost_ilike": (title_boost_ilike, ILIKE_SQL),
     **{f"scope_{s}": (_scope(s), _scope_query(s)) for s in ("public", "member", "committee", "admin")},
     "time_range_filter": (time_range_filter, f"with {UNITS_SQL} select unit_id, occurred_at from units where is_current and topic = 'en' and occurred_at >= timestamp '2024-01-10' and occurred_at < timestamp '2024-01-20'"),
