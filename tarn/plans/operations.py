@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import documents, scalar, text
-from ..functions.access import Filters, visible
+from ..functions import documents, policies, scalar, text
+from ..functions.access import ROLES, Filters, visible
 from ..operators import changes, chunking, evaluation, extraction, operations, reviews
 from ..sources import chat, listing
 from ..sources.files import html_text
@@ -358,6 +360,57 @@ def json_props_extract(spark, folder):
 JSON_SQL = "select event_type, sum((props->>'k')::int)::bigint as sum_k, count(props->>'k') as with_k, max((props->>'k')::int) as max_k from events group by event_type"
 
 
+def _guarded_tables(spark, folder):
+    """Units and their vectors, orders as records with lines as evidence and customers as assignees and profiles, parts as requirements."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    seen, states = ("internal", "committee", "member", "public"), ("approved", "proposed", "approved")
+    k, c, p = F.col("o_orderkey"), F.col("c_custkey"), F.col("p_partkey")
+    orders = table(spark, folder, "orders").select(k.alias("record_id"), pick(seen, k).alias("visibility"), pick(states, k).alias("review_status"), (k % 5 != 0).alias("is_current"), pick(("action_item", "decision"), F.floor(k / 2)).alias("record_type"))
+    made = {
+        "retrieval_units": lambda: units(spark, folder),
+        "retrieval_embeddings": lambda: unit_embeddings(spark, folder).select("unit_id", F.lit(1).alias("one")),
+        "operational_records": lambda: orders,
+        "operational_record_evidence": lambda: table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("record_id"), "l_linenumber"),
+        "ticket_assignees": lambda: table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("ticket_id"), F.col("l_linenumber").alias("nth")),
+        "operational_review_events": lambda: table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("record_id"), "l_quantity"),
+        "profiles": lambda: table(spark, folder, "customer").select(F.concat(F.lit("u"), c.cast("string")).alias("auth_user_id")),
+        "knowledge_requirements": lambda: table(spark, folder, "part").select(p, pick(seen, p).alias("visibility"), pick(states, p).alias("review_status"), (p % 7 == 0).alias("is_stale")),
+        "documents": lambda: table(spark, folder, "documents").select("doc_id", F.when(F.col("source") == "src0", "filesystem").when(F.col("source") != "src1", F.col("source")).alias("source_type")),
+        "ingestion_runs": lambda: table(spark, folder, "region"),
+    }
+    return lambda name: made[name]()
+
+
+GUARDED = ("retrieval_units", "retrieval_embeddings", "operational_records", "operational_record_evidence", "ticket_assignees", "operational_review_events", "profiles", "knowledge_requirements", "documents", "ingestion_runs")
+
+
+def policy_rows(spark, folder):
+    """How many rows of each table a reader of each role may see."""
+    tables = _guarded_tables(spark, folder)
+    counts = [policies.guarded(name, policies.Reader(role, "u7"), tables).agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), F.lit(name).alias("table_name"), "n") for role in ROLES for name in GUARDED]
+    return reduce(DataFrame.unionByName, counts)
+
+
+POLICY_SQL = f"""with {UNITS_SQL}, {EMBEDDINGS_SQL}, roles(role, rank) as (values ('anon', 0), ('member', 1), ('verified', 2), ('committee', 3), ('admin', 4)),
+level as (select 'public' as seen, 0 as need union all select 'member', 1 union all select 'committee', 3 union all select 'internal', 4),
+u as (select role, unit_id from units join roles on rank = 4 or (source_type not in ('document', 'slack_message', 'meeting_transcript', 'meeting_summary', 'meeting_notes') and review_status = 'approved' and is_current and not is_stale and not is_deleted
+  and rank >= (select need from level where seen = visibility))),
+o as (select o_orderkey as id, (['internal', 'committee', 'member', 'public'])[o_orderkey % 4 + 1] as seen, (['approved', 'proposed', 'approved'])[o_orderkey % 3 + 1] = 'approved' and o_orderkey % 5 <> 0 as good, o_orderkey // 2 % 2 = 0 as action from orders),
+r as (select role, rank, o.* from o join roles on rank = 4 or (good and (rank >= 1 and seen in ('member', 'public') or rank >= 3 and seen = 'committee'))),
+p as (select p_partkey as k, (['internal', 'committee', 'member', 'public'])[p_partkey % 4 + 1] as seen, (['approved', 'proposed', 'approved'])[p_partkey % 3 + 1] = 'approved' and p_partkey % 7 <> 0 as good from part),
+n as (select role, 'retrieval_units' as t, count(*) as n from u group by role
+  union all select role, 'retrieval_embeddings', count(*) from u join unit_embeddings using (unit_id) group by role
+  union all select role, 'operational_records', count(*) from r group by role
+  union all select role, 'operational_record_evidence', count(*) from r join lineitem on l_orderkey = id group by role
+  union all select role, 'ticket_assignees', count(*) from r join lineitem on l_orderkey = id where action group by role
+  union all select role, 'operational_review_events', count(*) from roles cross join lineitem join o on l_orderkey = id where rank = 4 or rank = 3 and good and action and seen = 'committee' group by role
+  union all select role, 'profiles', count(*) from roles join customer on rank = 4 or c_custkey = 7 group by role
+  union all select role, 'knowledge_requirements', count(*) from roles join p on rank >= 3 or rank >= 1 and good and seen in ('member', 'public') group by role
+  union all select role, 'documents', count(*) from roles join documents on rank = 4 or rank = 3 and source is distinct from 'src0' group by role
+  union all select role, 'ingestion_runs', count(*) from roles join region on rank = 4 group by role)
+select role, t as table_name, coalesce(n, 0) as n from roles cross join (select unnest({list(GUARDED)}) as t) left join n using (role, t)"""
+
+
 def _order_documents(spark, folder):
     """Orders as JSON texts with every kind of value; some are arrays, some no JSON at all."""
     k = F.col("o_orderkey")
@@ -690,6 +743,7 @@ QUERIES = {
     "reference_numbering": (reference_numbering, NUMBER_SQL),
     "progress_map": (progress_map, PROGRESS_SQL),
     "json_props_extract": (json_props_extract, JSON_SQL),
+    "policy_rows": (policy_rows, POLICY_SQL),
     "json_kinds": (json_kinds, JSON_KINDS_SQL),
     "json_set_path": (json_set_path, JSON_SET_SQL),
     "emails_extract": (emails_extract, EMAILS_SQL),
