@@ -4,6 +4,7 @@ import tempfile
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,11 +16,13 @@ T0 = datetime(2024, 1, 1)
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, timers.ROCKSDB)
+    settings = {"spark.sql.streaming.stateStore.providerClass": timers.ROCKSDB, "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     yield spark
-    spark.conf.set(key, before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def folder():
@@ -30,7 +33,7 @@ def started(df, out, checkpoint, **trigger):
     return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
 
 
-def wait_for(spark, out, schema, n, seconds=60):
+def wait_for(spark, out, schema, n, seconds=120):
     end = time.time() + seconds
     while time.time() < end:
         rows = spark.read.schema(schema).parquet(out).collect()
@@ -49,7 +52,7 @@ def test_two_writes_in_the_wait_are_one_and_a_restart_keeps_the_timer(rocks):
 
     def run():
         # not availableNow: with timers by the clock such a query would wait for all of them
-        return started(timers.quiet_paths(jobs.file_stream(rocks, looks, schema), timedelta(seconds=15)), out, checkpoint, processingTime="500 milliseconds")
+        return started(timers.quiet_paths(jobs.file_stream(rocks, looks, schema), timedelta(seconds=25)), out, checkpoint, processingTime="500 milliseconds")
 
     def taken(query, n):
         end = time.time() + 60
@@ -71,6 +74,61 @@ def test_two_writes_in_the_wait_are_one_and_a_restart_keeps_the_timer(rocks):
     assert sorted((r.path, r.size) for r in rows) == [("a", 2), ("b", 5)]
 
 
+class Handle:
+    """State and timers of one key in memory, for the processor alone."""
+
+    class Value:
+        def __init__(self):
+            self.now = None
+
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, value):
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return self.Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_a_change_sets_the_timer_anew():
+    path, handle = timers._Quiet(1000), Handle()
+    path.init(handle)
+    look = lambda ms, size, second: list(path.handleInputRows(("a",), iter([pd.DataFrame({"size": [size], "modified": [pd.Timestamp(T0 + timedelta(seconds=second))]})]), Clock(ms)))
+    look(0, 1, 0)
+    look(400, 1, 0)  # nothing new
+    assert handle.timers == {1000}
+    look(900, 2, 1)
+    assert handle.timers == {1900}
+    (told,) = path.handleExpiredTimer(("a",), Clock(1900), None)
+    assert told.values.tolist()[0][:2] == ["a", 2]
+    handle.timers.clear()
+    look(5000, 2, 1)  # told already
+    assert not handle.timers
+    look(6000, 2, 2)
+    assert handle.timers == {7000}
+
+
 def test_reminders_are_those_of_the_batch(rocks):
     at = lambda s: T0 + timedelta(seconds=s)
     schema = "ticket_id long, version long, at timestamp"
