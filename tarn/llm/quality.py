@@ -108,7 +108,8 @@ def scorer(docs: DataFrame, weights: np.ndarray):
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from `least` on) of every row; null and empty texts get the bias's score.
 
-    Repeated rows give repeated results; a row without id counts as not held out and is scored like any other.
+    Repeated rows give repeated results; a row without id counts as not held out and is scored like any other. Texts of
+    any length are read whole. No labels: every score is 0.5. Other columns are not read, whatever their names.
     """
     score = scorer(docs, train(docs, labels, id_col, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col).cast("string")).alias("score"))

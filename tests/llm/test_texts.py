@@ -137,7 +137,7 @@ def test_quality_learns_and_leaves_held_out_labels_alone(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["sun", "rain", "wind", "sea", "hill"]) for _ in range(30)) + "."
     bad = lambda: " ".join(rng.choice(["SUN!!", "BUY$$$", "win%%%"]) for _ in range(30))
-    rows = [(i, bad() if i % 4 == 0 else good()) for i in range(400)] + ODD[:5]
+    rows = [(i, bad() if i % 4 == 0 else good()) for i in range(400)] + ODD
     labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(400)]
     flip = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels] + [(None, 1, 0), (901, None, 0)]
     schema = "doc_id long, quality int, toxic int"
@@ -220,7 +220,7 @@ def test_token_counts(spark):
 
 def test_base_scores(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join("W%d" % int(rng.expovariate(0.05)) for _ in range(rng.randint(0, 60)))) for i in range(150)] + ODD[:5]
+    rows = [(i, " ".join("W%d" % int(rng.expovariate(0.05)) for _ in range(rng.randint(0, 60)))) for i in range(150)] + ODD
     for most in (1 << 17, 3):
         out = ctw.scored(frame(spark, rows), most_common=most).collect()
         count = Counter()
@@ -398,7 +398,7 @@ def test_contaminated_documents(spark):
             body[len(body) // 2 : len(body) // 2] = w
             want.add((i, k))
         docs.append((i, " ".join(body)))
-    extra = [*ODD[:3], (None, items[0][1]), (1, docs[1][1])]
+    extra = [*ODD[:3], ODD[6], (None, items[0][1]), (1, docs[1][1])]
     bench = spark.createDataFrame([*items, (100, None), (101, ""), (102, "too short")], "item_id long, text string")
     out = decontaminate.matches(frame(spark, docs + extra), bench).collect()
     got = {(r.doc_id, r.item_id) for r in out}
@@ -493,12 +493,12 @@ def test_pipeline_is_its_stages(spark, tmp_path):
 
 def test_stages_on_odd_rows(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.createDataFrame([*((i, t, None, None, None) for i, t in ODD[:6]), (None, None, None, None, None), (4, "again and again and again", "en", "s", 3)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    docs = spark.createDataFrame([*((i, t, None, None, None) for i, t in ODD), (None, None, None, None, None), (4, "again and again and again", "en", "s", 3)], spark.read.parquet(f"{sf}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), sf).collect()
         stage(spark, docs, sf).collect()
     left = corpus_pipeline.near_dedup(spark, docs, sf)
-    assert Counter(r.doc_id for r in left.collect()) == Counter([900, 3, None, None, 4])
+    assert Counter(r.doc_id for r in left.collect()) == Counter([900, 3, None, None, 4, 950])
 
 
 def test_near_dedup_reads_five_word_shingles(spark):
