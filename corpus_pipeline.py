@@ -18,7 +18,8 @@ from tarn.llm.queries import topics
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
-    A null or empty text is judged by the classifier's bias, a repeated row like its first, a row without an id too.
+    A null or empty text is judged by the classifier's bias, a repeated row like its first, a row without an id too; a
+    text of any length is read whole.
     """
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
@@ -43,12 +44,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go; null texts hold none, rows without an id stay."""
+    """Documents that hold a benchmark item, or nearly, go; null texts hold none, rows without an id stay.
+
+    A text of any length is read whole.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes its kind in brackets; n_chars follows the text. No row goes; null texts stay null."""
+    """Every span of personal data becomes its kind in brackets; n_chars follows the text. No row goes; null texts stay null.
+
+    A text of any length is read whole, and repeated rows are changed alike.
+    """
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
