@@ -83,6 +83,21 @@ k as (select query, unit_id, score, row_number() over (partition by query order
 select * from k where lexical_rank <= 20"""
 
 
+def lexical_recency(spark, folder):
+    """The same search with the recency of chat messages in the score, history included."""
+    queries = [text.parse_query(q) for q in AND_QUERIES]
+    out = index(spark, folder).search(queries, "admin", Filters(include_history=True), limit=30, now=NOW)
+    return out.select("query", "unit_id", "score", "lexical_rank")
+
+
+_RECENT = _SCORE.rsplit(", 6)", 1)[0] + """
+  + case when u.source_type = 'slack_message' then greatest(0.0, 0.05 * (1 - (epoch_us(timestamp '2024-02-01') - epoch_us(occurred_at)) / 86400000000.0::double / 365.0)) else 0.0 end, 6)"""
+LEXICAL_RECENCY_SQL = f"""with {_lexical_sql(AND_QUERIES)},
+r as (select query, u.unit_id, {_RECENT} as score, u.occurred_at from density join units u using (unit_id)),
+k as (select query, unit_id, score, row_number() over (partition by query order by score desc, occurred_at desc, unit_id)::int as lexical_rank from r)
+select * from k where lexical_rank <= 30"""
+
+
 def web_search(spark, folder):
     """Phrases, alternatives and unwanted words; every match, unranked."""
     queries = [text.parse_query(q) for q in WORDS]
@@ -366,6 +381,7 @@ RECENCY_SQL = f"""with {UNITS_SQL} select unit_id, round(greatest(0.0, 1 - (epoc
 QUERIES = {
     "lexical_index": (lexical_index, INDEX_SQL),
     "lexical_search": (lexical_search, LEXICAL_SQL),
+    "lexical_recency": (lexical_recency, LEXICAL_RECENCY_SQL),
     "web_search_syntax": (web_search, WEB_SQL),
     "lexical_multi_query": (lexical_multi_query, LEXICAL_MULTI_SQL),
     "search_snippets": (search_snippets, None),
