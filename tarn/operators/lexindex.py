@@ -62,8 +62,7 @@ class LexicalIndex:
 
     def _write(self, kept: DataFrame, changed: DataFrame, gen: int) -> None:
         """One generation: the postings of `changed`, the dictionary of these, all of `kept`; it counts once it is named."""
-        spots = F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("spots")
-        posted = retrieval.token_rows(changed).groupBy("term", "unit_id").agg(spots).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
+        posted = retrieval.posted(changed).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
         posted = posted.withColumn("gen", F.lit(gen)).repartitionByRange("bucket", "term", "unit_id").sortWithinPartitions("bucket", "term", "unit_id")
         posted.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         mine = self.postings.where(F.col("gen") == gen)

@@ -58,12 +58,33 @@ def tagged_tokens(units: DataFrame) -> Column:
     return F.transform(tagged, lambda t, i: F.struct(i.alias("pos"), t["term"].alias("term"), t["weight"].alias("weight")))
 
 
-def token_rows(units: DataFrame) -> DataFrame:
-    """(unit_id, pos, term, weight): tagged_tokens() as rows."""
-    rows = units.select("unit_id", *(text.tokens(c).alias(n) for n, c in _fields(units).items()))
-    rows = rows.select("unit_id", F.size("title").alias("n"), (F.size("title") + F.size("context")).alias("m"), F.posexplode(F.concat("title", "context", "content")).alias("pos", "term"))
-    w = {n: F.lit(x) for n, x in FIELD_WEIGHTS.items()}
-    return rows.select("unit_id", "pos", "term", F.when(F.col("pos") < F.col("n"), w["title"]).when(F.col("pos") < F.col("m"), w["context"]).otherwise(w["content"]).alias("weight"))
+def posted(units: DataFrame) -> DataFrame:
+    """(unit_id, term, spots array<struct<pos, weight>>): each unit's tokens by term, grouped where the unit lies."""
+    rows = units.select(F.col("unit_id").cast("string").alias("unit_id"), *(text.tokens(c).alias(n) for n, c in _fields(units).items()))
+    rows = rows.select("unit_id", F.size("title").alias("n"), (F.size("title") + F.size("context")).alias("m"), F.concat("title", "context", "content").alias("tokens"))
+    weights = [FIELD_WEIGHTS[n] for n in ("title", "context", "content")]
+
+    def group(batches):
+        for b in batches:
+            lists = b.column(3)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            tokens = lists.flatten().dictionary_encode()
+            if not len(tokens):
+                continue
+            unit = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n, m = (b.column(k).to_numpy()[unit] for k in (1, 2))
+            weight = np.select([pos < n, pos < m], weights[:2], weights[2])
+            code = tokens.indices.to_numpy()
+            key = unit * len(tokens.dictionary) + code
+            order = np.argsort(key, kind="stable")  # places stay in order
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            spots = pa.StructArray.from_arrays([pa.array(pos[order], pa.int32()), pa.array(weight[order])], ["pos", "weight"])
+            spots = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), spots)
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(unit[at])), tokens.dictionary.take(pa.array(code[at])), spots], ["unit_id", "term", "spots"])
+
+    return rows.mapInArrow(group, "unit_id string, term string, spots array<struct<pos: int, weight: double>>")
 
 
 def asked(rows: DataFrame, queries: list[text.Query]) -> DataFrame:
