@@ -2,6 +2,9 @@
 
 The field scores whole candidate segments (a run of characters, not a tag a character) and a bounded-entity dynamic
 programme picks boundaries and types together. It is fitted here on sequences that this module makes up.
+
+Entities are bounded by MOST_PARTS parts, but for addresses: the whole of a run that has an address's shape is a candidate
+however long it is, so a long disguised address is never reported, or redacted, in part.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_PARTS = 24  # parts in one entity at most
+MOST_PARTS = 24  # parts in one entity at most; whole addresses may have more
+REACH = 40  # characters of context around a digit or at-mark, before the ends move out to white space
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -26,6 +31,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SEED = re.compile(r"[0-9@]|[\[(]at[\])]")
 _DIGITS = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -67,6 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _PART = re.compile(r"[A-Za-z0-9_%]+|[^A-Za-z0-9_%\s]|\s")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
+_AT_MARK = re.compile(r"@| ?[\[(]at[\])] ?")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]{1,3}(?:(?:\.| ?[\[(]dot[\])] ?)[0-9]{1,3}){3}")
 _GROUPS = re.compile(r"[0-9]+(?:[ .-][0-9]+)*")
 _LOOSE = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])*")
@@ -102,9 +110,39 @@ def span_features(text: str, start: int, end: int, kind: str) -> list[str]:
     return out
 
 
+def address_runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the longest run around each at-mark that has an address's shape, whole however long it is.
+
+    Two runs share no at-mark and no local part.
+    """
+    out, last = [], 0
+    for m in _AT_MARK.finditer(text):
+        host = _HOST.match(text, m.end())
+        start = m.start()
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < m.start() and text[start] in ".+-":
+            start += 1
+        last = m.end()
+        if host and start < m.start():
+            end = host.end()
+            while not text[end - 1].isalnum():
+                end -= 1
+            if _MAIL.fullmatch(text, start, end):
+                out.append((start, end))
+    return out
+
+
 def candidates(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """(first part, part after the last, kind): segments that could be an entity, MOST_PARTS parts at most."""
+    """(first part, part after the last, kind): segments that could be an entity.
+
+    They have MOST_PARTS parts at most, but for the whole address runs.
+    """
     out = []
+    for a, b in address_runs(text):
+        i, j = bisect_left(parts, (a, a)), bisect_left(parts, (b, b))
+        if j - i > MOST_PARTS and parts[i][0] == a and parts[j - 1][1] == b:
+            out.append((i, j, "email"))
     for i, (a, _) in enumerate(parts):
         c = text[a]
         if not (c.isalnum() or c in "+("):
@@ -230,26 +268,41 @@ def fitted(sequences: int = 600, passes: int = 6, rate: float = 0.3, l2: float =
     return w
 
 
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where an entity can lie: around every digit and at-mark, out to white space, and every address run as a whole."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    near = [(max(0, m.start() - REACH), min(len(text), m.end() + REACH)) for m in _SEED.finditer(text)]
+    out: list[list[int]] = []
+    for a, b in sorted([*near, *address_runs(text)]):
+        first, last = bisect_left(words, (a + 1,)) - 1, bisect_left(words, (b,)) - 1
+        if first >= 0 and words[first][1] > a:
+            a = words[first][0]
+        if last >= 0:
+            b = max(b, words[last][1])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], w: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The field's best segments that touch no span of `base`. Only stretches near a digit or an at-sign can hold any."""
-    out, stretches = [], []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - 40), min(len(text), m.end() + 40)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
+    """The field's best segments that touch no span of `base`, in order. Only `stretches` can hold any."""
+    taken: list[list[int]] = []
+    for s, _, e in sorted(base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
         else:
-            stretches.append([a, b])
-    for a, b in stretches:
-        while a and not text[a - 1].isspace():
-            a -= 1
-            if b - a > 4096:
-                break
+            taken.append([s, e])
+    out = []
+    for a, b in stretches(text):
         piece = text[a:b]
         parts, segments = lattice(piece)
         scored = [(i, j, k, sum(w.get(f, 0.0) for f in (*fs, f"{k}:bias"))) for i, j, k, fs in segments]
         for i, j, k in viterbi(len(parts), scored):
             s, e = a + parts[i][0], a + parts[j - 1][1]
-            if all(e <= x or s >= y for x, _, y in base) and all(e <= x or s >= y for x, _, y in out):
+            at = bisect_left(taken, [e])
+            if not at or taken[at - 1][1] <= s:
                 out.append((s, KINDS.index(k), e))
     return out
 

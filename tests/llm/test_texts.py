@@ -115,6 +115,31 @@ def test_field_on_sequences_written_by_hand():
     assert want == 10 and hit / max(1, made) >= 0.8 and hit / want >= 0.8, (made, want, hit)
 
 
+LABELS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda sigma omega delta nu xi omicron".split()
+
+
+@pytest.mark.parametrize("address", [
+    "bob[at]" + ".".join(LABELS[:10]) + ".org",
+    "bob (at) " + " (dot) ".join(LABELS) + " (dot) org",
+    ".".join(LABELS * 3) + "[at]mail.org",
+    ".".join(LABELS * 3) + "[at]" + ".".join(LABELS * 20) + ".org",
+    "_bob." + "-".join(LABELS * 2) + " [at] host.org",
+], ids=["dots", "spelled", "long local part", "both long", "underscore"])
+def test_pii_long_addresses_are_whole(spark, address):
+    w = pii.fitted()
+    for text in (f"please write to {address} about it", address, f"a {address}, b {address} 12 c"):
+        found = [text[s:e] for s, k, e in pii.added_spans(text, pii.base_spans(text), w)]
+        assert found == [address] * text.count(address)
+    row = pii.redacted(frame(spark, [(1, f"write to {address} now")])).first()
+    assert row.text == "write to [EMAIL] now"
+
+
+def test_pii_very_long_words():
+    w = pii.fitted()
+    text = "a1." * 60_000 + "[at]" + "b." * 60_000 + "org"
+    assert [(s, e) for s, _, e in pii.added_spans(text, [], w)] == [(0, len(text))]
+
+
 def test_pii_rows(spark):
     rows = [(1, "x a.b@c.de y 10.0.0.1 +1 (743) 555-3824"), (2, "é 4465758382889437"), *ODD]
     out = pii.found(frame(spark, rows)).collect()
