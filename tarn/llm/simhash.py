@@ -212,7 +212,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     of any size is split where it must be, and the pairs of a bucket that lies whole in a task, with few close pairs, are
     read off there. In the others, which near copies by the hundred make, every member's similarity to `leaders` near the
     bucket's majority is measured first; what that links is one component, and only pairs of different components are
-    left to compare, those of the bucket's largest component with the rest of it. 1 - Jaccard is a metric, so two whose
+    left to compare, those of the bucket's largest component with the rest of it, each pair only in the first of the
+    crowded buckets that both are in. 1 - Jaccard is a metric, so two whose
     similarities to a leader differ by more than 1 - `similarity` cannot be similar and are not compared, nor are two of
     which one has too many shingles that no other such member has. Candidates no
     more than FAR of 64 bits apart are decided by the exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts
@@ -245,11 +246,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     bucket = F.shiftleft(F.col("nth").cast("long"), 40).bitwiseOR(F.col("key"))
     filed = once.select("node", "size", "a", F.posexplode("keys").alias("nth", "key")).select(bucket.alias("bucket"), "node", "size", "a")
 
-    def near(u: DataFrame, v: DataFrame, more: Column) -> DataFrame:
-        """(node_u, node_v) of a bucket's u and v that pass the cheap tests; the smaller node first."""
+    def near(u: DataFrame, v: DataFrame, more: Column, last: Column) -> DataFrame:
+        """(node_u, node_v) of a bucket's u and v that pass the tests, `last` after the cheap ones; the smaller node first."""
         u, v = (x.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "bucket")) for x, s in ((u, "u"), (v, "v")))
         alike = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")
-        pairs = u.join(v, "bucket").where(more & alike & (F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) <= FAR))
+        pairs = u.join(v, "bucket").where(more & alike & (F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) <= FAR) & last)
         return pairs.select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"))
 
     dealt = filed.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
@@ -285,16 +286,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         grams = held.join(hot.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("gram"))
         alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.any_value("node").alias("node")).where("n = 1")
         own = stored(alone.groupBy("node").agg(F.count("*").alias("own")), "own-shingles")
-        members = hot.join(to_leader, ["bucket", "node"]).join(own, "node", "left").join(linked, "node", "left")
+        filed_in = hot.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # one a key at most
+        members = hot.join(to_leader, ["bucket", "node"]).join(own, "node", "left").join(linked, "node", "left").join(filed_in, "node")
         members = members.withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
         members = stored(members.withColumn("component", F.coalesce("component", "node")), "members")
         sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        rest = stored(members.join(stored(sizes, "largest"), "bucket").where("component <> largest").drop("largest"), "rest")
-        apart = (F.col("component_u") != F.col("component_v")) & (F.col("node_u") != F.col("node_v"))
+        members = stored(members.join(sizes, "bucket").withColumn("aside", F.col("component") != F.col("largest")).drop("largest"), "sides")
+        rest = members.where("aside")
+        apart = (F.col("component_u") != F.col("component_v")) & (~F.col("aside_v") | (F.col("node_u") < F.col("node_v")))
         apart &= F.least("shared_u", "shared_v") * (1 + similarity) >= similarity * (F.col("size_u") + F.col("size_v")) - 1e-9
         for i in range(leaders):
             apart &= F.coalesce(F.abs(F.col(f"to{i}_u") - F.col(f"to{i}_v")) <= 1 - similarity + 1e-9, F.lit(True))
-        more = near(rest, members, apart).distinct().join(candidates, ["node_u", "node_v"], "left_anti")
+        first_met = F.array_min(F.array_intersect("buckets_u", "buckets_v")) == F.col("bucket")
+        more = near(rest, members, apart, first_met).join(candidates, ["node_u", "node_v"], "left_anti")
         more = measured(stored(more, "candidates-apart"))
         links = links.unionByName(more.where(F.col("alike") >= similarity).select("u", "v"))
     linked = components(links).withColumnRenamed("component", "component_id")
