@@ -72,3 +72,12 @@ def test_json(spark):
     assert sorted(tuple(r) for r in documents.exploded(df, "t").collect()) == [("a", "object", '{"b":[1]}'), ("c", "null", "null")]
     put = df.select(documents.with_value(F.col("t"), ("a", "d"), F.lit("true")).alias("p")).collect()
     assert [r.p for r in put] == ['{"c":null,"a":{"b":[1],"d":true}}'] + ['{"a":{"d":true}}'] * 4
+
+
+def test_a_deep_path_parses_once(spark):
+    df = spark.createDataFrame([('{"z": 1, "a": {"b": {"c": {"x": null, "d": 0}}}}',), ('{"a": [1]}',), ("{broken",), (None,)], "t string")
+    put = df.select(documents.with_value(F.col("t"), ("a", "b", "c", "d", "e"), F.lit('[1,{"f":2}]')).alias("p"))
+    made = '{"a":{"b":{"c":{"d":{"e":[1,{"f":2}]}}}}}'
+    assert [r.p for r in put.collect()] == ['{"z":1,"a":{"b":{"c":{"d":{"e":[1,{"f":2}]},"x":null}}}}', made, made, made]
+    plan = put._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") <= 2 and "from_json" not in plan and len(plan) < 20_000
