@@ -20,6 +20,7 @@ TITLE_EQUAL, TITLE_HOLDS, CURRENT = 2.0, 0.35, 0.15
 RRF_K = 60
 FUSED_AUTHORITY, FUSED_CURRENT = {"approved_operational": 0.012, "article_source": 0.008, "governance": 0.008}, 0.004
 FIELD_WEIGHTS = {"title": 1.0, "context": 0.4, "content": 0.2}
+TOKENS_AT_ONCE = 1 << 17
 
 
 def authority_weight(column: str = "authority", weights: dict = AUTHORITY_WEIGHTS) -> Column:
@@ -62,18 +63,30 @@ def posted(units: DataFrame) -> DataFrame:
     """(unit_id, term, spots array<struct<pos, weight>>): each unit's tokens by term, grouped where the unit lies."""
     rows = units.select(F.col("unit_id").cast("string").alias("unit_id"), *(text.tokens(c).alias(n) for n, c in _fields(units).items()))
     rows = rows.select("unit_id", F.size("title").alias("n"), (F.size("title") + F.size("context")).alias("m"), F.concat("title", "context", "content").alias("tokens"))
-    weights = [FIELD_WEIGHTS[n] for n in ("title", "context", "content")]
+    return rows.mapInArrow(lambda b: by_term(b), "unit_id string, term string, spots array<struct<pos: int, weight: double>>")
+
 
-    def group(batches):
-        for b in batches:
-            lists = b.column(3)
+def by_term(batches, most: int = TOKENS_AT_ONCE):
+    """posted(), from batches of (unit_id, n, m, tokens).
+
+    However many units a batch has, the arrays made of it hold `most` tokens, or one unit's if those are more.
+    """
+    weights = [FIELD_WEIGHTS[n] for n in ("title", "context", "content")]
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            past = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            part, start = b.slice(start, past - start), past
+            lists = part.column(3)
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             tokens = lists.flatten().dictionary_encode()
             if not len(tokens):
                 continue
             unit = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n, m = (b.column(k).to_numpy()[unit] for k in (1, 2))
+            n, m = (part.column(k).to_numpy()[unit] for k in (1, 2))
             weight = np.select([pos < n, pos < m], weights[:2], weights[2])
             code = tokens.indices.to_numpy()
             key = unit * len(tokens.dictionary) + code
@@ -82,9 +95,7 @@ def posted(units: DataFrame) -> DataFrame:
             spots = pa.StructArray.from_arrays([pa.array(pos[order], pa.int32()), pa.array(weight[order])], ["pos", "weight"])
             spots = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), spots)
             at = order[first]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(unit[at])), tokens.dictionary.take(pa.array(code[at])), spots], ["unit_id", "term", "spots"])
-
-    return rows.mapInArrow(group, "unit_id string, term string, spots array<struct<pos: int, weight: double>>")
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(unit[at])), tokens.dictionary.take(pa.array(code[at])), spots], ["unit_id", "term", "spots"])
 
 
 def asked(rows: DataFrame, queries: list[text.Query]) -> DataFrame:

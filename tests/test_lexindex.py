@@ -3,6 +3,7 @@
 import tempfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,15 @@ def test_empty(spark):
     assert empty.matched(parsed()).collect() == []
     assert [r.change for r in empty.refresh(spark.createDataFrame([unit(1, "red fox", "x")], SCHEMA)).collect()] == ["created"]
     assert {r.query for r in empty.matched(parsed()).collect()} == {"red fox", '"red fox"', "red or blue", "fox -blue"}
+
+
+def test_postings_a_few_tokens_at_a_time():
+    said = [["a"] * 3 + ["b"], [], ["c", "a"], ["b"] * 20, ["a", "b"], []]
+    batch = pa.RecordBatch.from_pydict({"unit_id": [f"u{i}" for i in range(6)], "n": pa.array([1, 0, 2, 0, 0, 0], pa.int32()), "m": pa.array([2, 0, 2, 0, 1, 0], pa.int32()), "tokens": pa.array(said, pa.list_(pa.string()))})
+    whole = [r for b in retrieval.by_term([batch]) for r in b.to_pylist()]
+    parts = list(retrieval.by_term([batch, batch.slice(0, 0), batch.slice(1, 1)], 6))
+    assert [r for b in parts for r in b.to_pylist()] == whole
+    assert [sum(len(x) for x in b.column(2).to_pylist()) for b in parts] == [6, 20, 2]  # one unit has more
+    weights = {("u0", "a"): [1.0, 0.4, 0.2], ("u0", "b"): [0.2], ("u2", "c"): [1.0], ("u2", "a"): [1.0], ("u3", "b"): [0.2] * 20, ("u4", "a"): [0.4], ("u4", "b"): [0.2]}
+    assert {(r["unit_id"], r["term"]): [s["weight"] for s in r["spots"]] for r in whole} == weights
+    assert [s["pos"] for r in whole if (r["unit_id"], r["term"]) == ("u0", "a") for s in r["spots"]] == [0, 1, 2]
