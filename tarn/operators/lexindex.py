@@ -17,6 +17,7 @@ from ..functions import text
 from . import chunking, retrieval
 
 BUCKETS = 64
+SHARES = 8  # a bucket's postings are dealt over so many tasks by unit, as one frequent word can be most of them
 SELECTIVE = 4  # the rarest words are looked up first if the others have over this many times their postings
 POSTINGS = "term string, unit_id string, spots array<struct<pos: int, weight: double>>, gen int, bucket int"
 TERMS = "term string, documents long, bucket int"
@@ -63,7 +64,8 @@ class LexicalIndex:
     def _write(self, kept: DataFrame, changed: DataFrame, gen: int) -> None:
         """One generation: the postings of `changed`, the dictionary of these, all of `kept`; it counts once it is named."""
         posted = retrieval.posted(changed).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
-        posted = posted.withColumn("gen", F.lit(gen)).repartitionByRange("bucket", "term", "unit_id").sortWithinPartitions("bucket", "term", "unit_id")
+        # dealt by hash: ranges would be drawn from a first pass over all texts
+        posted = posted.withColumn("gen", F.lit(gen)).repartition("bucket", F.pmod(F.xxhash64("unit_id"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "unit_id")
         posted.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         mine = self.postings.where(F.col("gen") == gen)
         counts = mine.groupBy("bucket", "term").agg(F.count("*").alias("documents")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")

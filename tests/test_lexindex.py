@@ -103,3 +103,16 @@ def test_postings_a_few_tokens_at_a_time():
     weights = {("u0", "a"): [1.0, 0.4, 0.2], ("u0", "b"): [0.2], ("u2", "c"): [1.0], ("u2", "a"): [1.0], ("u3", "b"): [0.2] * 20, ("u4", "a"): [0.4], ("u4", "b"): [0.2]}
     assert {(r["unit_id"], r["term"]): [s["weight"] for s in r["spots"]] for r in whole} == weights
     assert [s["pos"] for r in whole if (r["unit_id"], r["term"]) == ("u0", "a") for s in r["spots"]] == [0, 1, 2]
+
+
+def test_a_build_reads_the_texts_once_for_postings(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(content):
+        read.add(1)
+        return content
+
+    units = spark.createDataFrame(rows(), SCHEMA).repartition(3).withColumn("content", seen.asNondeterministic()("content"))
+    LexicalIndex.build(units, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    assert read.value == 2 * len(rows())  # postings, and the units' own rows with their hashes
