@@ -35,12 +35,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
     gone = found.select("doc_id", "text_hash").join(first, ["doc_id", "text_hash"], "left_anti")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
     key = ["doc_id", "text_hash"]
-    twice = stored(rows.where("doc_id is not null").groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    left = rows.join(gone, key, "left_anti")
+    # numbered where the join has dealt them, so the texts are shuffled once
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("text_hash"))
-    once = left.join(twice, key, "left_semi").withColumn("nth", nth).where("nth = 1").select("row")
-    return once.unionByName(left.join(twice, key, "left_anti").select("row")).select("row.*")
+    return left.withColumn("nth", nth).where("nth = 1 or doc_id is null").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,8 +99,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SHINGLE, LANES = 5, 16  # words a shingle, 64-bit lanes a long fingerprint; the first lane is kept for the Hamming check
-FAR = 20  # of its 64 bits: at a Jaccard similarity of 0.8 the mean is 10 and the deviation 3, for strangers 32 and 4
+SHINGLE, LANES = 5, 16  # words a shingle, 64-bit lanes a long fingerprint
+HAMMING, PARITY = ("a", "b"), ("p0", "p1", "p2", "p3")  # kept of a text: the first lanes, and the words of its parity sketch
+SKETCH = HAMMING + PARITY
+FAR = 34  # of the lanes' 128 bits: at a Jaccard similarity of 0.8 the mean is 19 and the deviation 4, for strangers 64 and 6
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -124,6 +126,17 @@ def long_fingerprint(h: np.ndarray, lanes: int = LANES) -> np.ndarray:
     return 2 * ones > len(h)
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of hashes: whether an odd number of them falls on each bit, as signed longs.
+
+    Two sets differ in at least as many hashes as their sketches in bits, so many bits rule a pair out for certain.
+    """
+    bits = 64 * len(PARITY)
+    at = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(bits)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.97) -> np.ndarray:
     """(keys, bits): which bits of the long fingerprint make up each key, for `n` texts.
 
@@ -138,21 +151,22 @@ def drawn_bits(n: int, similarity: float = 0.8, recall: float = 0.97) -> np.ndar
 
 
 def settled(batches, similarity: float, most_in_bucket: int, most_pairs: int):
-    """Pairs of the buckets that lie whole in this range of (bucket, node, size, a), sorted; rows of the other buckets.
+    """Pairs of the buckets that lie whole in this range of (bucket, node, size, SKETCH), sorted; rows of the other buckets.
 
     A bucket is left open (its rows go out as they came) if it is the range's first or last, and may go on in the next,
     if it has over `most_in_bucket` rows, or if over `most_pairs` pairs a row pass the cheap tests.
     """
-    names = ["bucket", "node", "other", "size", "a"]
-    kinds = [pa.int64()] * 5
+    names = ["bucket", "node", "other", "size", *SKETCH]
 
     def out(rows, other=None):
-        bucket, node, size, a = rows if other is None else (None, rows, None, None)
-        columns = [bucket, node, other, size, a]
+        columns = [*rows[:2], None, *rows[2:]] if other is None else [None, rows, other, *[None] * (len(names) - 3)]
         none = pa.nulls(rows.shape[-1], pa.int64())
-        return pa.RecordBatch.from_arrays([none if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return pa.RecordBatch.from_arrays([none if c is None else pa.array(c, pa.int64()) for c in columns], names)
+
+    def differ(words, i, j):
+        return sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in words)
 
-    rest, first, crowded = np.zeros((4, 0), np.int64), None, None
+    rest, first, crowded = np.zeros((3 + len(SKETCH), 0), np.int64), None, None
     for b in batches:
         rows = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], axis=1)
         if not rows.shape[1]:
@@ -165,14 +179,15 @@ def settled(batches, similarity: float, most_in_bucket: int, most_pairs: int):
         ends = cuts[1:] if going_on else np.append(cuts[1:], rows.shape[1])
         left, u, v = [], [], []
         for lo, hi in zip(cuts, ends):
-            bucket, node, size, a = rows[:, lo:hi]
+            bucket, node, size, *sketch = rows[:, lo:hi]
             if bucket[0] == first or bucket[0] == crowded or hi - lo > most_in_bucket:
                 left.append(rows[:, lo:hi])
             elif hi - lo > 1:
                 i, j = pairs_of(int(hi - lo))
-                close = np.flatnonzero(np.bitwise_count((a[i] ^ a[j]).view(np.uint64)) <= FAR)
+                close = np.flatnonzero(differ(sketch[: len(HAMMING)], i, j) <= FAR)
                 i, j = i[close], j[close]
                 alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+                alike &= (1 + similarity) * differ(sketch[len(HAMMING) :], i, j) <= (1 - similarity) * (size[i] + size[j]) + 1e-9
                 if alike.sum() > most_pairs * (hi - lo):
                     left.append(rows[:, lo:hi])
                 else:
@@ -194,15 +209,27 @@ def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def possible(one, other, similarity: float) -> Column:
+    """Whether sizes and parity sketches allow two sets to be similar; `one` and `other` give the columns of each by name."""
+    sizes = one("size") + other("size")
+    alike = F.least(one("size"), other("size")) >= similarity * F.greatest(one("size"), other("size"))
+    return alike & ((1 + similarity) * differing(one, other, PARITY) <= (1 - similarity) * sizes + 1e-9)
+
+
+def differing(one, other, words: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(one(c).bitwiseXOR(other(c))) for c in words))
+
+
 def central(rows: DataFrame, n: int) -> DataFrame:
-    """(bucket, leaders): of each bucket of (bucket, node, size, a) the `n` nodes nearest to the majority of its fingerprints."""
+    """(bucket, leaders): of each bucket of (bucket, node, size, SKETCH) the `n` rows nearest to the majority of its first lanes."""
     bit = lambda i: F.shiftrightunsigned("a", i).bitwiseAND(F.lit(1).cast("long"))
     ones = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)))
     most = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(BITS)]
     ones = ones.select("bucket", reduce(lambda x, y: x.bitwiseOR(y), most).alias("centre"))
-    away = rows.join(ones, "bucket").select("bucket", "node", F.bit_count(F.col("a").bitwiseXOR(F.col("centre"))).alias("away"))
+    leader = F.struct("node", "size", *SKETCH).alias("leader")
+    away = rows.join(ones, "bucket").select("bucket", "node", leader, F.bit_count(F.col("a").bitwiseXOR(F.col("centre"))).alias("away"))
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("away", "node"))
-    return away.withColumn("nth", nth).where(F.col("nth") <= n).groupBy("bucket").agg(F.collect_list("node").alias("leaders"))
+    return away.withColumn("nth", nth).where(F.col("nth") <= n).groupBy("bucket").agg(F.collect_list("leader").alias("leaders"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, most_in_bucket: int = 1024, leaders: int = 4, most_pairs: int = 4) -> DataFrame:
@@ -215,8 +242,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     left to compare, those of the bucket's largest component with the rest of it, each pair only in the first of the
     crowded buckets that both are in. 1 - Jaccard is a metric, so two whose
     similarities to a leader differ by more than 1 - `similarity` cannot be similar and are not compared, nor are two of
-    which one has too many shingles that no other such member has. Candidates no
-    more than FAR of 64 bits apart are decided by the exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts
+    which one has too many shingles that no other such member has, nor any two (a leader included) whose parity sketches
+    prove that they differ in too many. Candidates no
+    more than FAR of 128 bits apart are decided by the exact Jaccard similarity of their five-word shingles. text_hash is xxhash64 of the text; texts
     with the same shingles, or both without words, are always in one component. Rows without an id are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -225,49 +253,52 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     def prints(batches):
         power = np.int64(1) << np.arange(drawn.shape[1], dtype=np.int64)
         for b in batches:
-            node, size, keys, kept = [], [], [], []
+            node, size, keys, sketch = [], [], [], []
             for text in b.column(2).to_pylist():
                 h = shingles(text)
                 bits = long_fingerprint(h)
                 node.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 size.append(len(h))
                 keys.append(bits[drawn] @ power if len(h) else [])
-                kept.append(int(np.packbits(bits[:64], bitorder="little").view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", "a", "keys"])
+                sketch.append(np.concatenate([np.packbits(bits[: 64 * len(HAMMING)], bitorder="little").view(np.int64), parity(h)]))
+            words = np.array(sketch, np.int64).reshape(-1, len(SKETCH)).T
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *map(pa.array, words), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "size", *SKETCH, "keys"])
 
     def sets(batches):
         for b in batches:
             h = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "set"])
 
-    found = stored(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, size long, a long, keys array<long>"), "prints")
+    longs = ", ".join(f"{c} long" for c in SKETCH)
+    found = stored(rows.mapInArrow(prints, f"doc_id long, text_hash long, node long, size long, {longs}, keys array<long>"), "prints")
     named = found.select("doc_id", "text_hash", "node").distinct()
-    once = found.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", "a", "keys")))
+    once = found.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", *SKETCH, "keys")))
     bucket = F.shiftleft(F.col("nth").cast("long"), 40).bitwiseOR(F.col("key"))
-    filed = once.select("node", "size", "a", F.posexplode("keys").alias("nth", "key")).select(bucket.alias("bucket"), "node", "size", "a")
+    filed = once.select("node", "size", *SKETCH, F.posexplode("keys").alias("nth", "key")).select(bucket.alias("bucket"), "node", "size", *SKETCH)
 
     def near(u: DataFrame, v: DataFrame, more: Column, last: Column) -> DataFrame:
         """(node_u, node_v) of a bucket's u and v that pass the tests, `last` after the cheap ones; the smaller node first."""
         u, v = (x.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "bucket")) for x, s in ((u, "u"), (v, "v")))
-        alike = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")
-        pairs = u.join(v, "bucket").where(more & alike & (F.bit_count(F.col("a_u").bitwiseXOR(F.col("a_v"))) <= FAR) & last)
+        one, other = (lambda c: F.col(f"{c}_u")), (lambda c: F.col(f"{c}_v"))
+        pairs = u.join(v, "bucket").where(more & (differing(one, other, HAMMING) <= FAR) & possible(one, other, similarity) & last)
         return pairs.select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"))
 
     dealt = filed.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
-    dealt = stored(dealt.mapInArrow(lambda b: settled(b, similarity, most_in_bucket, most_pairs), "bucket long, node long, other long, size long, a long"), "buckets")
-    hot = dealt.where("bucket is not null").select("bucket", "node", "size", "a")
+    dealt = stored(dealt.mapInArrow(lambda b: settled(b, similarity, most_in_bucket, most_pairs), f"bucket long, node long, other long, size long, {longs}"), "buckets")
+    hot = dealt.where("bucket is not null").select("bucket", "node", "size", *SKETCH)
     cold = dealt.where("bucket is null").select(F.col("node").alias("node_u"), F.col("other").alias("node_v"))
     first = stored(central(hot, leaders), "leaders")
-    led = hot.join(first, "bucket").select("bucket", "node", F.posexplode("leaders").alias("nth", "leader"))
-    led = led.select("bucket", "nth", "node", F.least("node", "leader").alias("node_u"), F.greatest("node", "leader").alias("node_v"))
+    led = hot.join(first, "bucket").select("bucket", "node", "size", *SKETCH, F.posexplode("leaders").alias("nth", "leader"))
+    may = possible(F.col, lambda c: F.col(f"leader.{c}"), similarity).alias("may")
+    led = led.select("bucket", "nth", "node", F.least("node", "leader.node").alias("node_u"), F.greatest("node", "leader.node").alias("node_v"), may)
     led = stored(led, "led")
-    candidates = cold.unionByName(led.where("node_u <> node_v").select("node_u", "node_v"))
+    candidates = cold.unionByName(led.where("may and node_u <> node_v").select("node_u", "node_v"))
     candidates = stored(candidates.distinct(), "candidates")
 
     asked = candidates.select(F.col("node_u").alias("node")).union(candidates.select("node_v")).union(hot.select("node")).distinct()
     at = found.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
     at = stored(at.select("node", "at.*"), "asked")
-    texts = rows.join(at, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+    texts = rows.join(at, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text")  # one a node
     held = stored(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -281,8 +312,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = known.where(F.col("alike") >= similarity).select("u", "v")
     if not hot.isEmpty():
         linked = components(links)
+        alike = F.when(F.col("node_u") == F.col("node_v"), 1.0).otherwise(F.col("alike"))  # null where the sketches forbid a link
         to_leader = led.join(known.withColumnsRenamed({"u": "node_u", "v": "node_v"}), ["node_u", "node_v"], "left")
-        to_leader = to_leader.groupBy("bucket", "node").agg(*(F.max(F.when(F.col("nth") == i, F.coalesce("alike", F.lit(1.0)))).alias(f"to{i}") for i in range(leaders)))
+        to_leader = to_leader.groupBy("bucket", "node").agg(*(F.max(F.when(F.col("nth") == i, alike)).alias(f"to{i}") for i in range(leaders)))
         grams = held.join(hot.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("gram"))
         alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.any_value("node").alias("node")).where("n = 1")
         own = stored(alone.groupBy("node").agg(F.count("*").alias("own")), "own-shingles")

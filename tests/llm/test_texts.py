@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -576,6 +577,33 @@ def test_large_buckets_lose_no_component(spark, most):
     assert len(links) > 300 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_sketches_rule_out_what_cannot_be_similar():
+    """Sketches differ in no more bits than the sets in hashes, and near copies well below 0.8 are no pairs of a bucket."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in (0, 5, 10, 30, 40, 50)]
+    rows = []
+    for i, h in enumerate(sets):
+        lanes = np.packbits(simhash.long_fingerprint(h)[:128], bitorder="little").view(np.int64)
+        rows.append([7, i, len(h), *lanes.tolist(), *simhash.parity(h).tolist()])
+    for g, x in zip(sets, rows):
+        for h, y in zip(sets, rows):
+            assert sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x[5:], y[5:])) <= len(np.setxor1d(g, h))
+    rows = np.array([[1, 99, 1, *[0] * 6], *rows, [9, 98, 1, *[0] * 6]], np.int64).T
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["bucket", "node", "size", *simhash.SKETCH])
+    pairs = {(r["node"], r["other"]) for b in simhash.settled([batch], 0.8, 100, 100) for r in b.to_pylist() if r["bucket"] is None}
+    similar = {(i, j) for i in range(6) for j in range(i + 1, 6) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {(0, 1), (0, 2), (1, 2)} <= similar <= pairs
+    assert not pairs & {(0, 4), (0, 5), (1, 5), (2, 5)}  # similarities of 0.6 and less
+
+
+def test_near_dedup_deals_the_texts_once(spark):
+    out = corpus_pipeline.near_dedup(spark, frame(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (None, "x y"), (None, "x y")]), "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 2 and "LeftSemi" not in plan and "Union" not in plan  # the other is of ids alone
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "x y"), (0, "x y"), (1, "a b c"), (3, "")]
+
+
 @pytest.mark.parametrize("name", ["op9_token_counts", "op3_pii"])
 def test_registered(name):
     import __spark_entry__
