@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, scalar
 
+CHARS_AT_ONCE = 1 << 20
+
 
 def _packed(paragraphs: list[str], most: int, overlap: int) -> Iterator[str]:
     """As many paragraphs a chunk as fit; every chunk after the first opens with the end of the one before it."""
@@ -56,21 +59,47 @@ def chunks_of(text: str | None, most: int = 2400, overlap: int = 220) -> list[st
     return [c for c in chunks if c]
 
 
-def chunker(most: int = 2400, overlap: int = 220):
-    """A pandas UDF text -> chunks; the packing carries state from paragraph to paragraph, which expressions cannot."""
+def pieces(records: DataFrame, most: int = 2400, overlap: int = 220) -> DataFrame:
+    """A row a chunk of `records`: their columns, chunk_index and, in content's place at the end, the chunk.
+
+    The packing carries state from paragraph to paragraph, which expressions cannot.
+    """
+    others = [c for c in records.columns if c != "content"]
+    fields = [*(records.schema[c] for c in others), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())]
+    return records.select(*others, "content").mapInArrow(lambda b: chunked(b, most, overlap), T.StructType(fields))
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks_of(t, most, overlap))
 
-    return split
+def chunked(batches, most: int, overlap: int, at_once: int = CHARS_AT_ONCE):
+    """pieces(), from batches whose last column is content.
+
+    However many texts a batch has, one is taken out of it at a time, and chunks go on once they have `at_once` characters.
+    """
+    for b in batches:
+        names = [*b.schema.names[:-1], "chunk_index", "content"]
+        texts = b.column(b.num_columns - 1)
+        rows, numbers, out, size = [], [], [], 0
+
+        def made():
+            columns = [c.take(pa.array(rows, pa.int32())) for c in b.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(out, pa.string())], names)
+
+        for i in range(len(texts)):
+            for n, chunk in enumerate(chunks_of(texts[i].as_py(), most, overlap)):
+                rows.append(i)
+                numbers.append(n)
+                out.append(chunk)
+                size += len(chunk)
+                if size >= at_once:
+                    yield made()
+                    rows, numbers, out, size = [], [], [], 0
+        if rows:
+            yield made()
 
 
 def make_units(records: DataFrame, source_type: Column, most: int = 2400, overlap: int = 220) -> DataFrame:
     """A row a chunk of `records` (record_id, version_id, title, content, other columns), with key, id and hashes."""
     extra = [c for c in records.columns if c not in ("record_id", "version_id", "title", "content")]
-    pieces = records.select("record_id", "version_id", "title", *extra, F.posexplode(chunker(most, overlap)(F.col("content"))).alias("chunk_index", "content"))
-    rows = pieces.withColumn("source_type", source_type)
+    rows = pieces(records.select("record_id", "version_id", "title", *extra, "content"), most, overlap).withColumn("source_type", source_type)
     rows = rows.withColumn("stable_key", identity.stable_key(F.col("source_type"), F.col("record_id"), F.col("version_id"), F.col("chunk_index")))
     hashed = {c: F.col(c) for c in sorted({"title", "content", "source_type", *extra})}
     return rows.withColumns({"unit_id": identity.unit_id(F.col("stable_key")), "content_hash": identity.content_hash(F.col("content")), "index_hash": identity.json_hash(**hashed)})

@@ -4,6 +4,7 @@ import hashlib
 import uuid
 from datetime import date, datetime
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,3 +130,12 @@ def test_access(spark):
     assert one(spark, access.role_at_least(F.lit("committee"), "verified")) and not one(spark, access.role_at_least(F.lit("member"), "verified"))
     ok = lambda e, a=None, x=None: one(spark, access.access_granted(F.lit(e), ("uni.org",), F.lit(a).cast("boolean"), F.lit(x).cast("timestamp"), datetime(2024, 1, 1)))
     assert ok("A@Uni.org") and not ok("a@uni.org.evil") and not ok("a@b@uni.org") and ok("x@y.z", True) and not ok("x@y.z", True, datetime(2023, 1, 1))
+
+
+def test_chunks_leave_a_batch_a_few_at_a_time():
+    texts = ["one\n\ntwo", None, "", "x" * 250, "a b " * 60, "last"]
+    batch = pa.RecordBatch.from_pydict({"record_id": list("abcdef"), "content": texts})
+    want = [(r, n, c) for r, t in zip("abcdef", texts) for n, c in enumerate(chunking.chunks_of(t, 100, 10))]
+    parts = list(chunking.chunked([batch, batch.slice(0, 0)], 100, 10, 150))
+    assert [tuple(r.values()) for b in parts for r in b.to_pylist()] == want
+    assert len(parts) > 3 and all(sum(map(len, b.column(2).to_pylist())) <= 150 + 112 for b in parts)
