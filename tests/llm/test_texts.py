@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import ctw, decontaminate, mixing, pieces, pii, quality, simhash
+from tarn.llm import ctw, decontaminate, mixing, pieces, pii, quality, simhash, suffix_dedup
 
 ODD = [(900, None), (901, ""), (902, " \n "), (None, "a b c"), (3, "again"), (3, "again"), (950, "long word " * 30000)]
 
@@ -597,6 +597,15 @@ def test_sketches_rule_out_what_cannot_be_similar():
     assert not pairs & {(0, 4), (0, 5), (1, 5), (2, 5)}  # similarities of 0.6 and less
 
 
+def test_anchors_are_the_least_hashes_of_strings():
+    h = np.random.default_rng(1).integers(0, 40, 300).astype(np.uint64)
+    for width in (1, 2, 7, 64, 300):
+        least, anchors, met = suffix_dedup.anchored(h, width)
+        assert least.tolist() == [min(h[i : i + width]) for i in range(301 - width)]
+        places = {j for i in range(301 - width) for j in range(i, i + width) if h[j] == least[i]}
+        assert dict(zip(anchors.tolist(), met.tolist())) == Counter(h[j].item() for j in places)
+
+
 def test_near_dedup_deals_the_texts_once(spark):
     out = corpus_pipeline.near_dedup(spark, frame(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (None, "x y"), (None, "x y")]), "")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
