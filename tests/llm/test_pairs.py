@@ -148,6 +148,33 @@ def plain_bytes(rows, size):
     return Counter(out)
 
 
+def test_strings_in_memory_as_on_disk(tmp_path):
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    for size in (64, 70, 400):
+        words = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(1, 2 * size, 6)]
+        pieces = [p for p in (b" ".join(words[k] for k in rng.integers(0, 6, 8)) for _ in range(12)) if len(p) >= size]
+        met = Counter(p[a : a + size] for p in pieces for a in range(len(p) - size + 1))
+        found = {}
+        for most_bytes in (1 << 19, 100):
+            shard = suffix_dedup._Shard(str(tmp_path))
+            for k, p in enumerate(pieces):
+                shard.add(p, (0, k, 0, len(p) - size + 1))
+            found[most_bytes] = {row[1]: runs for row, runs in shard.repeats(size, 64, most_bytes, str(tmp_path))}
+        assert found[1 << 19] == found[100]
+        for k, p in enumerate(pieces):
+            runs = found[100].get(k, [])
+            mine = {a for x, y in zip(runs[::2], runs[1::2]) for a in range(x, y)}
+            assert mine == {a for a in range(len(p) - size + 1) if met[p[a : a + size]] > 1}
+        data = b"\0".join(pieces)
+        starts = np.zeros(len(data), bool)
+        starts[: len(data) - size + 1] = True
+        order, same = suffixes.ordered(data, starts, size)
+        strings = [data[a : a + size] for a in order.tolist()]
+        assert strings == sorted(strings) and same.tolist() == [k > 0 and strings[k] == strings[k - 1] for k in range(len(strings))]
+
+
 @pytest.mark.parametrize("options", [{}, {"most_alike": 1}, {"batch": 64, "most_bytes": 100, "shard_bytes": 2000}, {"most_alike": 2, "levels": 1}])
 def test_suffix_dedup(spark, options):
     rows = [(i, t if t is None or len(t) < 3000 else t[:1500]) for i, t in texts(4, 30)] + [(970, "y" * 900), (971, "ab" * 700), (972, "y" * 401)]
