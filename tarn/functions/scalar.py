@@ -63,6 +63,14 @@ def recency(when: Column, now: datetime, days: float, most: float = 1.0) -> Colu
     return F.coalesce(F.greatest(F.lit(0.0), most * (1 - age_days(when, now) / days)), F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many digits as the SQL has it: times a power of ten, rounded, divided. F.round goes by the decimal form.
+
+    They part at halves that no double holds: 1/125 + 1/5120 is 0.0081953125, a product just below 8195312.5.
+    """
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def backoff_seconds(attempts: Column, first: int = 30, most: int = 3600, doublings: int = 7) -> Column:
     return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), F.least(attempts, F.lit(doublings)))).cast("int")
 

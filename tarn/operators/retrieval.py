@@ -292,6 +292,14 @@ def rescued(lexical_rows: DataFrame, semantic_rows: DataFrame, limit: int = 20)
     return out.where(F.col("rank") <= limit)
 
 
+def rank_sums(lexical_hits: DataFrame) -> DataFrame:
+    """(unit_id, lexical_score, best_rank, matched_queries): each query's ranks by density, six digits of it, summed per unit."""
+    hits = lexical_hits.withColumn("density", scalar.rounded(F.col("density"), 6))
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("density"), "unit_id")))
+    score = scalar.rounded(F.sum(1.0 / (RRF_K + F.col("r"))), 9)
+    return ranked.groupBy("unit_id").agg(score.alias("lexical_score"), F.min("r").alias("best_rank"), F.count("*").alias("matched_queries"))
+
+
 def multi_query(units: DataFrame, lexical_hits: DataFrame, semantic_pool: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Several phrasings of one question: their rank lists summed, then fused with one vector pool.
 
@@ -303,7 +311,7 @@ def multi_query(units: DataFrame, lexical_hits: DataFrame, semantic_pool: DataFr
     pool = semantic_pool.withColumn("semantic_rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "unit_id")))  # the pool is cut to size before
     both = words.join(pool, "unit_id", "full").join(units.select("unit_id", "authority", event_time().alias("at")), "unit_id")
     zero = F.lit(0.0)
-    score = F.round(F.coalesce("lexical_score", zero) + F.coalesce(1.0 / (RRF_K + F.col("semantic_rank")), zero), 9)
+    score = scalar.rounded(F.coalesce("lexical_score", zero) + F.coalesce(1.0 / (RRF_K + F.col("semantic_rank")), zero), 9)
     out = both.select(
         "unit_id",
         F.coalesce("similarity", zero).alias("similarity"),

@@ -6,7 +6,6 @@ import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import identity, scalar, snippets, text
 from ..functions.access import Filters, visible, visible_public
@@ -126,9 +125,7 @@ def lexical_multi_query(spark, folder):
     """Rank lists of several phrasings, summed per unit."""
     queries = [text.parse_query(q) for q in AND_QUERIES]
     kept = index(spark, folder)
-    hits = kept.matched(queries, kept.units.where(visible_public()))
-    ranked = hits.withColumn("density", F.round("density", 6)).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("density"), "unit_id")))
-    return ranked.groupBy("unit_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("lexical_score"), F.min("r").alias("best_rank"), F.count("*").alias("matched_queries"))
+    return retrieval.rank_sums(kept.matched(queries, kept.units.where(visible_public())))
 
 
 LEXICAL_MULTI_SQL = f"""with {_lexical_sql(AND_QUERIES)},
@@ -236,7 +233,7 @@ select 'THE' as query, unit_id, p.part = 0 as rescued, row_number() over (order
 def rrf_multi_query(spark, folder):
     u = index(spark, folder).units.where(visible("admin"))
     queries = [text.parse_query(q) for q in retrieval.phrasings(["The and", " the AND ", "", "les des"])]
-    hits = index(spark, folder).matched(queries, u).withColumn("density", F.round("density", 6))
+    hits = index(spark, folder).matched(queries, u).withColumn("density", scalar.rounded(F.col("density"), 6))
     e = unit_embeddings(spark, folder).where("model = 'base'").select("unit_id", "embedding")
     pool = retrieval.semantic(u, e, _asked(spark, folder, "vector"), "admin", Filters(include_history=True), limit=80, floor=0.05).select("unit_id", "similarity")
     return retrieval.multi_query(u, hits, pool, limit=20)

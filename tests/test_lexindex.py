@@ -3,6 +3,7 @@
 import tempfile
 import zlib
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,17 @@ def test_dictionary(spark, index):
     assert count["rare"] == 1 and count["red"] == 60 and count["common"] == 61
 
 
+def test_rank_sums_round_as_the_sql_does(spark):
+    hits = """select 'a' as query, i as unit_id, 1 - i / cast(10000 as double) as density from {0}
+    union all select 'b', case when i = 65 then 5060 else i + 10000 end, 1 - i / cast(10000 as double) from {0}"""
+    want = duckdb.sql(f"""with hits as ({hits.format("range(1, 5061) t(i)")}),
+    r as (select query, unit_id, row_number() over (partition by query order by round(density, 6) desc, unit_id) as r from hits)
+    select unit_id, round(sum(1.0::double / (60 + r)), 9), min(r), count(*) from r group by unit_id""").fetchall()
+    got = retrieval.rank_sums(spark.sql(hits.format("(select id as i from range(1, 5061))")))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert {x[0]: x[1] for x in want}[5060] == 0.008195312  # 1/125 + 1/5120, which is 0.0081953125
+
+
 def test_empty(spark):
     empty = LexicalIndex.build(spark.createDataFrame([], SCHEMA), "file://" + tempfile.mkdtemp(prefix="spark-"))
     assert empty.matched(parsed()).collect() == []
